@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from alphaloom.llm import media
+from alphaloom.llm import media, packing, pieces
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op7_packing": packing.op7_packing,
 }
 
 SQL: dict[str, str] = {}
