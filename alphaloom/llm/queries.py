@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from alphaloom.llm import media, packing, pieces
+from alphaloom.llm import media, packing, pieces, quality_rules
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
     "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
     "op7_packing": packing.op7_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_quality_rules": quality_rules.OP4_SQL,
+}
