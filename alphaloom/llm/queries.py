@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from alphaloom.llm import media, packing, pieces, quality_rules
+from alphaloom.llm import media, packing, pieces, pii, quality_rules
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op7_packing": packing.op7_packing,
+    "op10_pii": pii.op10_pii,
 }
 
 SQL: dict[str, str] = {
