@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from alphaloom.llm import media, packing, pieces, pii, quality_rules
+from alphaloom.llm import html, media, packing, pieces, pii, quality_rules, url_filters
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
+    "op2_url_filters": url_filters.op2_url_filters,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_html_extraction": html.op6_html_extraction,
     "op7_packing": packing.op7_packing,
     "op10_pii": pii.op10_pii,
 }
 
 SQL: dict[str, str] = {
+    "op2_url_filters": url_filters.OP2_SQL,
     "op4_quality_rules": quality_rules.OP4_SQL,
 }
