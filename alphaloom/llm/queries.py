@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from alphaloom.llm import classifier, html, media, packing, pieces, pii, quality_rules, url_filters
+from alphaloom.llm import classifier, html, media, ngram_join, packing, pieces, pii, quality_rules, url_filters
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_html_extraction": html.op6_html_extraction,
     "op7_packing": packing.op7_packing,
     "op8_quality_classifier": classifier.op8_quality_classifier,
+    "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_pii": pii.op10_pii,
 }
 
