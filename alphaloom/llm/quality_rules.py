@@ -79,7 +79,8 @@ def base_features(df: DataFrame, id_col: str = "doc_id", host_col: str = "source
     d = d.withColumn("at", F.when(F.col("placed").isNotNull(), F.sort_array(twice))).drop("placed")
     start = F.struct(F.lit(-5).alias("last"), F.lit(0).cast("long").alias("sum"))
     covered = F.aggregate("at", start, lambda a, p: F.struct(p.alias("last"), (a["sum"] + F.least(F.lit(5), p - a["last"])).alias("sum")), lambda a: a["sum"])
-    return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("at")
+    # The partition number makes this column one that no filter is pushed through: a filter on the verdict would else be rewritten in terms of the text, each array once per mention.
+    return d.withColumn("n_repeat_words", F.when(F.spark_partition_id() >= 0, F.coalesce(covered, F.lit(0).cast("long")))).drop("at")
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS,
