@@ -1,11 +1,36 @@
-"""Registry of the engine's named queries."""
+"""Registry of the engine's named queries: each operator as a Spark DataFrame and, where SQL can say it, as DuckDB SQL."""
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
+from functools import lru_cache
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+#: Modules with OPS (relations with both renderings) and, where SQL has no form, FREE (Spark functions only).
+MODULES = ("points", "neighbours", "joins", "aggregates", "ranking", "temporal", "reports")
 
-def oracle_sql():
-    return {}
+
+@lru_cache(maxsize=1)
+def _modules() -> tuple:
+    found = []
+    for name in MODULES:
+        spec = importlib.util.find_spec(f"alphaloom.operators.{name}")
+        if spec is not None:
+            found.append(importlib.import_module(f"alphaloom.operators.{name}"))
+    return tuple(found)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    for m in _modules():
+        out |= {k: r.frame for k, r in m.OPS.items()} | dict(getattr(m, "FREE", {}))
+    return out
+
+
+def oracle_sql() -> dict[str, str]:
+    out: dict[str, str] = {}
+    for m in _modules():
+        out |= {k: r.sql() for k, r in m.OPS.items()}
+    return out
