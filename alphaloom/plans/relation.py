@@ -22,7 +22,7 @@ Expr = "str | tuple[str, str]"
 #: Spark function names and what DuckDB calls them.
 _NAMES = {
     "percentile": "quantile_cont", "bround": "round_even", "format_string": "printf", "size": "len", "array": "list_value", "collect_list": "list", "array_join": "array_to_string",
-    "count_if": "count_if", "array_contains": "list_contains", "rlike": "regexp_matches", "explode": "unnest", "array_distinct": "list_distinct", "bool_and": "bool_and", "array_sort": "list_sort",
+    "array_contains": "list_contains", "rlike": "regexp_matches", "explode": "unnest", "array_distinct": "list_distinct", "bool_and": "bool_and", "array_sort": "list_sort",
     "array_size": "len", "char_length": "length", "instr": "instr", "map_keys": "map_keys", "sha1": "sha1", "unix_seconds": "epoch", "pow": "pow", "median": "median",
 }
 _CALL = re.compile(r"\b(" + "|".join(_NAMES) + r")\(")
@@ -32,9 +32,21 @@ def spark_text(e) -> str:
     return e[0] if isinstance(e, tuple) else e
 
 
+def _counted(e: str) -> str:
+    """count_if as a count of a case, so that it is a 64-bit number in DuckDB too."""
+    while (at := e.find("count_if(")) >= 0:
+        depth, end = 1, at + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(e[end], 0)
+            end += 1
+        e = f"{e[:at]}count(case when {e[at + len('count_if(') : end - 1]} then 1 end){e[end:]}"
+    return e
+
+
 def duck_text(e) -> str:
     if isinstance(e, tuple):
-        return e[1]
+        return _counted(e[1])
+    e = _counted(e)
     return _CALL.sub(lambda m: _NAMES[m[1]] + "(", e)
 
 
@@ -96,6 +108,11 @@ class Relation:
         return self._then(lambda df: df.withColumn(name, F.explode(F.expr(spark_text(array)))), lambda q: f"SELECT *, unnest({duck_text(array)}) AS {name} FROM ({q})")
 
 
+def isum(x: str) -> tuple[str, str]:
+    """A sum of whole numbers as a 64-bit number in both engines."""
+    return f"sum({x})", f"sum({x})::BIGINT"
+
+
 def table(name: str, *columns: str) -> Relation:
     """An input table, with only the named columns if any are given."""
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
