@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from alphaloom.operators.aggregates import CLASSIFIED, QUALITY, R_HAIR
-from alphaloom.operators.points import KEYS, rnd
+from alphaloom.operators.points import DESPILLED, EFFECT_LAYER, KEYED, KEYS, rnd, shown
 from alphaloom.plans.relation import Relation, isum, rows, table
-from alphaloom.plans.views import BASELINE, JOBS, MASKS, METRICS, PIXELS
+from alphaloom.plans.views import BASELINE, CANDIDATES, JOBS, MASKS, METRICS, PIXELS
 
 THREE = "%.3f"
 
@@ -73,4 +73,21 @@ OPS: dict[str, Relation] = {
     "s13_alpha_image_scan": PIXELS.agg("clip frame_idx", top="max(r)").join(PIXELS, "clip frame_idx").select(*KEYS, alpha=rnd("(case when top > 1 then r / 255e0 else r end)")),
     "s14_first_matte_pick": PATHS.let(folder="regexp_extract(path, '^(.*)/', 1)").where(f"{SUFFIX} = '.png'").agg("folder", first_path="min(path)"),
     "s16_preview_frame_scan": PATHS.let(folder="regexp_extract(path, '^(.*)/', 1)", prio=f"(case when {SUFFIX} = '.png' then 0 when {SUFFIX} = '.jpg' then 1 else 2 end)").let(k="row_number() over (partition by folder order by prio, path)").where("k = 1").select("folder", "path"),
+    "x01_json_safe": table("events", "event_id", "value").select("event_id", value=rnd("coalesce(value, 0e0)")),
+    "x16_report_build": QUALITY.select("clip", report="concat('{\"frames\":', cast(frames as string), ',\"holes\":', cast(holes as string), ',\"speckles\":', cast(speckles as string), ',\"schema_version\":2}')"),
+    "x29_report_view_sections": QUALITY.select("clip", quality="concat('- edge: ', format_string('%.3f', edge))", regions="concat('- holes: ', cast(holes as string))", fusion="'N/A'"),
+    "x30_report_sections": GATED.select("sample", model="'unavailable'", fusion="'{}'", baseline="(case when base_score is null then '{}' else concat('{\"overall_score\":', format_string('%.3f', base_score), '}') end)"),
+    "x31_report_load_view": PARSED.select("event_id", view="(case when not ok then 'report unavailable' when k is null then 'N/A' else concat('k = ', k) end)"),
+    "s07_decode_dispatch": PATHS.select("p_partkey", reader=f"(case when {SUFFIX} = '' then 'sequence_scan' when {SUFFIX} in {VIDEO} then 'video_scan' when {SUFFIX} in {IMAGE} then 'image_scan' else 'none' end)"),
+    "s11_manifest_scan": PARSED.where("ok").select("event_id", name="concat('sample_', coalesce(k, 'x'))", background_mode="coalesce(cast(null as string), 'auto')", quality_mode="'standard'"),
+    "k04_report_write": RESULTS.select(line="concat('{\"failures\":\"', failures, '\",\"sample\":\"', sample, '\",\"status\":\"', status, '\"}')"),
+    "k05_regression_json": RESULTS.agg("", total="count(*)", failed="count_if(status = 'fail')").select(document="concat('{\"failed\":', cast(failed as string), ',\"total\":', cast(total as string), '}')"),
+    "k09_selection_debug_sheet": CANDIDATES.agg("candidate", pixels="count(*)", mean_alpha=rnd("avg(ca)")).select(line="concat(candidate, ' ', cast(pixels as string), ' ', format_string('%.3f', mean_alpha))"),
+    "u03_quality_driven": CANDIDATES.agg("candidate", n="count(*)", m="avg(ca)").select("candidate", "n", mean=rnd("m"), skipped="(m < 0.3e0)"),
+    "u04_skip_reasons": rows("name string, available boolean, guided boolean, failed boolean", ("gvm", False, False, False), ("sam2", True, False, False), ("rvm", True, True, True), ("traditional", True, True, False)).select(
+        "name", reason="(case when not available then 'model_unavailable' when not guided then 'guidance_missing' when failed then 'generation_failed' else '' end)"),
+    "u12_green_path": shown(KEYED.select(*KEYS, base="alpha").join(EFFECT_LAYER.select(*KEYS, "effect"), "clip frame_idx y x"), alpha="least(1e0, base + effect * (1e0 - base))"),
+    "u14_unknown_path": CLASSIFIED.select("clip", keyer="(case when background <> 'unknown' then background when black > green then 'black' else 'green' end)"),
+    "u17_decontaminate": shown(DESPILLED.let(w="(case when a > 0.02e0 and a < 0.98e0 then 0.35e0 else 0e0 end)"), red="least(255e0, rc * (1e0 - w) + r * w)", green="greatest(0e0, gc * (1e0 - w) + g * w)"),
+    "u27_quality_history_copy": PIXELS.agg("clip frame_idx", n="count(*)").union(PIXELS.where("frame_idx % 2 = 0").agg("clip frame_idx", n="count(*)")).agg("clip", frames="count(*)", pixels=isum("n")),
 }

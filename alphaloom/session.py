@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +22,11 @@ def local_session(cores: int | str = "*", name: str = "alphaloom", **conf: str)
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def share_code(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it, whatever folder they start in."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
+    return spark
