@@ -88,7 +88,8 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page against the example list. Pages carry no fetch time, so the query gives each one by a rule of its id within 2023 to 2025."""
     fetched = F.date_add(F.lit("2023-01-01").cast("date"), F.pmod(F.col("page_id") * 389, F.lit(1096)).cast("int")).cast("timestamp")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched"))
-    return judge(pages, example_entries(spark), "page_id", "url", "fetched").withColumnRenamed("id", "page_id")
+    judged = judge(pages, example_entries(spark), "page_id", "url", "fetched").withColumnRenamed("id", "page_id")
+    return judged.withColumn("fetched", F.col("fetched").cast("timestamp_ntz"))
 
 
 _ROWS = ", ".join(str(r) for r in [(g, "domain", f"{n}.example.{t}", "add", s) for n, g, s in LISTED for t in ("com", "net", "org")] + SINGLE)

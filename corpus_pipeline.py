@@ -18,6 +18,7 @@ from alphaloom.llm.pii import pseudonymise
 from alphaloom.llm.quality_rules import quality_rules, without_boilerplate
 from alphaloom.llm.shared import materialise, table
 from alphaloom.llm.suffix_dedup import remove_repeats
+from alphaloom.session import share_code
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,12 +57,19 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack_documents(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", quality_stage),
-    ("ngram_jaccard", near_duplicate_stage),
-    ("suffix_dedup", passage_stage),
-    ("pii", pii_stage),
-    ("packing", packing_stage),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _ready(stage: Stage) -> Stage:
+    return lambda spark, docs, sf_dir: stage(share_code(spark), docs, sf_dir)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", _ready(quality_stage)),
+    ("ngram_jaccard", _ready(near_duplicate_stage)),
+    ("suffix_dedup", _ready(passage_stage)),
+    ("pii", _ready(pii_stage)),
+    ("packing", _ready(packing_stage)),
 ]
 
 #: SQL can't express the exact tokeniser or the suffix sort; the tests hold run() against brute force.
