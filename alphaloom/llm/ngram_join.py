@@ -235,6 +235,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def linked_pairs(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Those of the (a, b) pairs whose documents link. texts: (id, text) with one row for each id in pairs."""
+    pairs = materialise(pairs, "pairs")  # read several times below
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
     blocks = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / BLOCK)).alias("block"), F.col("b").alias("id"))
     wanted = blocks.union(blocks.select("a", "block", F.col("a").alias("id")).distinct())
@@ -249,7 +250,7 @@ def near_components(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, i
     kind = "id long, n long, fp1 long, fp2 long, prefix array<long>, least array<long>"
     sketch = materialise(docs.mapInArrow(_sketch(width, percent, classes), kind), "sketch")
     reps = materialise(sketch.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep")).where("rep is not null"), "classes")
-    own = sketch.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").where("n > 0").dropDuplicates(["id"])
+    own = materialise(sketch.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").where("n > 0").dropDuplicates(["id"]), "representatives")
 
     def size_fits(a: str, b: str):
         return (100 * F.least(a, b) >= percent * F.greatest(a, b))
