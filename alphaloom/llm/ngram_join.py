@@ -10,7 +10,7 @@ Two documents link when their sets of distinct shingles have |A & B| * 100 >= 90
 3. Representatives that share a minimum hash are compared with the smallest of them: one
    comparison each, which already joins most near copies, however large their group is.
 4. Representatives that share a prefix shingle, fit by size and position and aren't in one
-   component yet are compared. Pairs within a component add nothing, so a group of near
+   component yet are compared if their prefixes share as many shingles as the overlap needs. Pairs within a component add nothing, so a group of near
    copies doesn't cost its square, and no link between components is lost.
 5. Comparing is a T-occurrence search: the shingles of a query document are inverted lists
    over its candidates; the short ones are merged by a heap, the long ones probed by binary
@@ -227,10 +227,51 @@ def _compare(width: int, percent: int):
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(bits: np.ndarray):
+    """Compressed texts of the rows whose id is set in the table; a join takes out the few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in pieces(big):
+                slot = _slots(batch.column(0).to_numpy())
+                batch = batch.filter(pa.array(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 == 1))
+                packed = [zlib.compress(t, 1) for t in _bytes(batch.column(1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
+
+    return run
+
+
+#: Bits of the table that tells which documents a comparison may need; its size doesn't depend on the input.
+FILTER_BITS = 1 << 24
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (_mixed(ids.view(np.uint64), 31) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    bits = np.zeros(FILTER_BITS, bool)
     for batch in batches:
-        packed = [zlib.compress(t, 1) for t in _bytes(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
+        bits[_slots(batch.column(0).to_numpy())] = True
+    ctx = TaskContext.get()
+    part = ctx.partitionId() if ctx else 0
+    yield pa.RecordBatch.from_arrays([pa.array([part % 64], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["salt", "bits"])
+
+
+def _either(key, tbl):
+    total = np.zeros(FILTER_BITS // 8, np.uint8)
+    for b in tbl.column("bits").to_pylist():
+        total |= np.frombuffer(zlib.decompress(b), np.uint8)
+    return pa.table({"salt": pa.array([0], pa.int32()), "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+
+def wanted_bits(ids: DataFrame) -> np.ndarray:
+    """A table of fixed size that is set for every id in a one-column table (and for few others, while these are few)."""
+    kind = "salt int, bits binary"
+    rows = ids.mapInArrow(_mark, kind).groupBy("salt").applyInArrow(_either, kind).groupBy("salt").applyInArrow(_either, kind).collect()
+    return np.frombuffer(zlib.decompress(bytes(rows[0]["bits"])), np.uint8) if rows else np.zeros(FILTER_BITS // 8, np.uint8)
 
 
 def linked_pairs(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -239,7 +280,8 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
     blocks = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / BLOCK)).alias("block"), F.col("b").alias("id"))
     wanted = blocks.union(blocks.select("a", "block", F.col("a").alias("id")).distinct())
-    packed = texts.mapInArrow(_pack, "id long, packed binary")
+    bits = wanted_bits(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    packed = texts.where("id is not null").mapInArrow(_pack(bits), "id long, packed binary")
     return wanted.join(packed, "id").groupBy("a", "block").applyInArrow(_compare(width, percent), "a long, b long")
 
 
@@ -267,7 +309,10 @@ def near_components(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, i
     y = tagged.select("t", *[F.col(k).alias(f"{k}2") for k in ("id", "n", "c", "p")])
     need = F.floor((percent * (F.col("n1") + F.col("n2")) + 99 + percent) / (100 + percent))
     fits = (F.col("id1") < F.col("id2")) & (F.col("c1") != F.col("c2")) & size_fits("n1", "n2") & (F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) >= need)
-    cross = x.join(y, "t").where(fits).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
+    # Beyond the prefix that ends first, its set has only n - length(prefix) elements: the rest of the overlap lies in both prefixes.
+    beyond = F.greatest(*[(percent * F.col(n) + 99 - (percent * F.col(n) + 99) % 100) / 100 - 1 for n in ("n1", "n2")])
+    shared = x.join(y, "t").where(fits).groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("shared"), F.first(need - beyond).alias("least"))
+    cross = shared.where("shared >= least").select(F.col("id1").alias("a"), F.col("id2").alias("b"))
     second = materialise(linked_pairs(cross, docs, width, percent), "links")
     final = components(first.union(second)).select(F.col("node").alias("rep"), "component")
     named = sketch.select("id", "n", "fp1", "fp2").join(reps, ["fp1", "fp2", "n"], "left").join(final, "rep", "left")
