@@ -39,9 +39,11 @@ BUCKET_BYTES = 8 << 20
 #: A key is hot if at least 1 / HOT_KEYS of all keys (and HOT_LEAST documents) are that key.
 HOT_KEYS, HOT_LEAST = 200_000, 2_000
 
+#: Suffixes sorted at once (a group of one key is never cut).
+SORT_WINDOWS = 100_000
+
 _M = 0x9E3779B97F4A7C15
 _LOW48 = np.uint64((1 << 48) - 1)
-_TOP = np.uint64((1 << 64) - 1)
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -51,33 +53,61 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _shifted(x: np.ndarray, k: int, fill) -> np.ndarray:
-    return np.concatenate([x[k:], np.full(min(k, len(x)), fill, x.dtype)])
+#: Bytes hashed at once: the work arrays of a chunk fit a core's cache.
+CHUNK = 1 << 18
 
 
-def runs(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text number, first, last): maximal runs of windows of one text with one key; first and last are positions in the joined texts."""
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(sizes)
-    none = np.zeros(0, np.int64)
-    if len(raw) < length:
-        return np.zeros(0, np.uint64), none, none, none
+def gram_hashes(raw: np.ndarray) -> np.ndarray:
+    """Hash of the GRAM bytes from each position (as many as fit), by doubling."""
     h, n = _BYTE[raw], 1
     while n < GRAM:
-        h = h * np.uint64(pow(_M, n, 1 << 64)) + _shifted(h, n, 0)
+        t = h[:-n] * np.uint64(pow(_M, n, 1 << 64))
+        t += h[n:]
+        h = t
         n *= 2
-    h, n, width = _mixed(h), 1, length - GRAM + 1
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def _window_keys(raw: np.ndarray, length: int) -> np.ndarray:
+    """Least gram hash of each window."""
+    h, n, width = gram_hashes(raw), 1, length - GRAM + 1
     while n * 2 <= width:
-        h = np.minimum(h, _shifted(h, n, _TOP))
+        h = np.minimum(h[:-n], h[n:])
         n *= 2
-    h = np.minimum(h, _shifted(h, width - n, _TOP))
+    return np.minimum(h[: -(width - n)], h[width - n :]) if width > n else h
+
+
+def runs(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text number, first, last): maximal runs of windows of one text with one key; first and last are positions in the joined texts."""
+    out, part, size, begun, base = [], [], 0, 0, 0
+    for k, t in enumerate([*texts, None]):
+        if t is None or size and size + len(t) > CHUNK:
+            if size >= length:
+                key, doc, first, last = _runs(part, length)
+                out.append((key, doc + begun, first + base, last + base))
+            begun, base, part, size = k, base + size, [], 0
+        if t is not None:
+            part.append(t)
+            size += len(t)
+    if not out:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _runs(texts: list[bytes], length: int):
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
     counts = np.maximum(sizes - length + 1, 0)
     doc = np.repeat(np.arange(len(texts)), counts)
     at = np.arange(len(doc)) + np.repeat(ends - sizes - (np.cumsum(counts) - counts), counts)
-    key = h[at]
+    key = _window_keys(raw, length)[at]
     if not len(key):
-        return key, none, none, none
+        return key, doc, at, at
     cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
     last = at[np.r_[cut[1:] - 1, len(at) - 1]]
     return key[cut], doc[cut], at[cut], last
@@ -101,6 +131,14 @@ def _undeltas(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(data), "<i8"))
 
 
+def _small(x) -> bytes:
+    return zlib.compress(np.asarray(x, "<i4").tobytes(), 1)
+
+
+def _unsmall(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<i4")
+
+
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (_mixed(keys ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
 
@@ -220,7 +258,8 @@ def _segments(length: int, buckets: int, hot: np.ndarray):
                 out = []
                 if spans:
                     i, p, n = (np.array(c, np.int64) for c in zip(*spans))
-                    out.append((int(i[0] % buckets), None, n.astype("<i4").tobytes(), i.astype("<i8").tobytes(), p.astype("<i4").tobytes(), b""))
+                    order = np.lexsort((p, i))
+                    out.append((int(i[0] % buckets), None, _small(n[order]), _deltas(i[order]), _small(p[order]), b""))
                 if segs:
                     keys = np.array([s[3] for s in segs], np.uint64)
                     single = np.isin(keys & _LOW48, hot)
@@ -228,13 +267,14 @@ def _segments(length: int, buckets: int, hot: np.ndarray):
                         for j in np.flatnonzero(single):
                             keys[j] = int.from_bytes(hashlib.blake2b(segs[j][0], digest_size=8).digest(), "little")
                     b = _bucket(keys, buckets)
-                    order = np.lexsort((keys, b))
+                    order = np.lexsort(([x[2] for x in segs], [x[1] for x in segs], b))
                     cuts = np.flatnonzero(np.r_[True, b[order][1:] != b[order][:-1]])
                     for s, e in zip(cuts, [*cuts[1:], len(order)]):
                         part = [segs[j] for j in order[s:e]]
+                        # Of a key 32 bits are enough: keys that agree in them are sorted together, no more.
                         out.append((
-                            int(b[order[s]]), zlib.compress(b"".join(x[0] for x in part), 1), np.array([len(x[0]) for x in part], "<i4").tobytes(),
-                            np.array([x[1] for x in part], "<i8").tobytes(), np.array([x[2] for x in part], "<i4").tobytes(), keys[order[s:e]].astype("<u8").tobytes()))
+                            int(b[order[s]]), zlib.compress(b"".join(x[0] for x in part), 6), _small([len(x[0]) for x in part]), _deltas(np.array([x[1] for x in part], np.int64)),
+                            _small([x[2] for x in part]), keys[order[s:e]].astype("<u4").tobytes()))
                 cols = list(zip(*out)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "texts", "sizes", "ids", "starts", "keys"])
 
@@ -326,21 +366,31 @@ def repeated_windows(segments: list[bytes], owner: np.ndarray, group: np.ndarray
     counts = sizes - length + 1
     seg = np.repeat(np.arange(len(order)), counts)
     offset = np.arange(len(seg)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at, own, grp = base[seg] + offset, owner[order][seg], group[order][seg]
+    at, own = base[seg] + offset, owner[order][seg]
+    # Equal windows hold their key's first occurrence at one place, so only suffixes with that distance to it are sorted together.
+    raw = np.frombuffer(text, np.uint8)
+    h = np.concatenate([gram_hashes(raw), np.full(GRAM - 1, np.uint64((1 << 64) - 1))])
+    for k in range(1, GRAM):  # grams that reach into the next segment are none
+        h[base + sizes - k] = np.uint64((1 << 64) - 1)
+    is_key = np.flatnonzero(h == np.repeat(np.minimum.reduceat(h, base), sizes))
+    distance = is_key[np.minimum(np.searchsorted(is_key, at), len(is_key) - 1)] - at
+    _, grp = np.unique(group[order][seg].astype(np.int64) * 4096 + np.clip(distance, 0, 4095), return_inverse=True)
+    by = np.argsort(grp, kind="stable")
+    at, own, seg, offset, grp = at[by], own[by], seg[by], offset[by], grp[by]
     try:
         s = Suffixes(text, length)
         rank = s.sort(at, grp)
         equal = s.equal_neighbours(at[rank])
     except ValueError:
         strings = [text[a : a + length] for a in at.tolist()]
-        rank = np.array(sorted(range(len(at)), key=lambda j: (grp[j], strings[j])))
+        rank = np.array(sorted(range(len(at)), key=lambda j: (grp[j], strings[j])), np.int64)
         equal = np.array([j > 0 and strings[rank[j]] == strings[rank[j - 1]] for j in range(len(rank))])
     equal[1:] &= grp[rank][1:] == grp[rank][:-1]
     first = np.flatnonzero(~equal)
     least = np.repeat(np.minimum.reduceat(own[rank], first), np.diff(np.r_[first, len(rank)]))
     hit = rank[least < own[rank]]
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(segments)
-    hit.sort()
+    hit = hit[np.lexsort((offset[hit], seg[hit]))]
     cuts = np.flatnonzero(np.r_[True, seg[hit][1:] != seg[hit][:-1]][: len(hit)])
     for a, b in zip(cuts, [*cuts[1:], len(hit)]):
         out[order[seg[hit[a]]]] = offset[hit[a:b]]
@@ -352,14 +402,14 @@ def _spans(length: int):
         out_i, out_s, out_n = [], [], []
         known: dict[bytes, list] = {}
         for texts, sizes, ids, starts, keys in zip(*(tbl.column(c).to_pylist() for c in ("texts", "sizes", "ids", "starts", "keys"))):
-            n, i, p = np.frombuffer(sizes, "<i4"), np.frombuffer(ids, "<i8"), np.frombuffer(starts, "<i4")
+            n, i, p = _unsmall(sizes), _undeltas(ids), _unsmall(starts)
             if texts is None:
                 out_i.append(i)
                 out_s.append(p.astype(np.int64))
                 out_n.append(n.astype(np.int64))
                 continue
             text, at = zlib.decompress(texts), 0
-            for size, doc, start, key in zip(n.tolist(), i.tolist(), p.tolist(), np.frombuffer(keys, "<u8").tolist()):
+            for size, doc, start, key in zip(n.tolist(), i.tolist(), p.tolist(), np.frombuffer(keys, "<u4").tolist()):
                 known.setdefault(text[at : at + size], [key]).append((doc, start))
                 at += size
         segments = list(known)
@@ -369,15 +419,21 @@ def _spans(length: int):
             more += [(doc, start, len(seg)) for doc, start in known[seg][1:] if doc > least]
         group = np.array([v[0] for v in known.values()], np.uint64)
         _, number, count = np.unique(group, return_inverse=True, return_counts=True) if len(group) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
-        several = np.flatnonzero(count[number] > 1) if len(group) else []
-        if len(several):
-            found = repeated_windows([segments[j] for j in several], owner[several], number[several], length)
-            for j, offsets in zip(several, found):
+        several = np.flatnonzero(count[number] > 1) if len(group) else np.zeros(0, np.int64)
+        several = several[np.argsort(number[several], kind="stable")]
+        # Whole groups of about SORT_WINDOWS suffixes at a time bound the work arrays.
+        done = np.cumsum([len(segments[j]) - length + 1 for j in several]) // SORT_WINDOWS
+        cuts = np.flatnonzero(np.r_[True, (done[1:] != done[:-1])][: len(several)])
+        cuts = sorted({int(np.searchsorted(number[several], number[several[c]])) for c in cuts})
+        for a, z in zip(cuts, [*cuts[1:], len(several)]):
+            part = several[a:z]
+            found = repeated_windows([segments[j] for j in part], owner[part], number[part], length)
+            for j, offsets in zip(part, found):
                 if len(offsets):
                     cut = np.flatnonzero(np.r_[True, np.diff(offsets) > 1])
                     ends = offsets[np.r_[cut[1:] - 1, len(offsets) - 1]] + length
-                    for a, z in zip(offsets[cut].tolist(), ends.tolist()):
-                        more += [(doc, start + a, z - a) for doc, start in known[segments[j]][1:] if doc == owner[j]]
+                    for at, end in zip(offsets[cut].tolist(), ends.tolist()):
+                        more += [(doc, start + at, end - at) for doc, start in known[segments[j]][1:] if doc == owner[j]]
         if more:
             for x, c in zip((out_i, out_s, out_n), zip(*more)):
                 x.append(np.array(c, np.int64))
@@ -426,11 +482,13 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, keep_text: bool = True,
     bound = max(HOT_LEAST, total // (10 * HOT_KEYS))
     hot = np.array([r["key"] for r in repeated.where((F.col("id") == -1) & (F.col("docs") >= bound)).select("key").collect()], np.int64).view(np.uint64)
     told = repeated.where("id >= 0").groupBy("id").agg(F.collect_list("key").alias("keys"))
-    packed = docs.mapInArrow(_pack, "id long, packed binary")
+    packed = docs.mapInArrow(_pack, "id long, packed binary").where("id is not null")  # both joins read one exchange of it
     found = packed.join(told, "id").select("id", "packed", "keys").mapInArrow(_segments(length, buckets, hot), SEGMENT_ROWS)
     spans = found.groupBy("bucket").applyInArrow(_spans(length), "id long, start int, size int")
     each = spans.groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    return packed.join(each, "id", "left").select("id", "packed", "spans").mapInArrow(_apply(keep_text), "id long, n_bytes long, n_removed long, n_spans long, kept string")
+    without = docs.where("id is null").mapInArrow(_pack, "id long, packed binary").select("id", "packed", F.lit(None).cast("array<struct<start:int,size:int>>").alias("spans"))
+    both = packed.join(each, "id", "left").select("id", "packed", "spans").union(without)
+    return both.mapInArrow(_apply(keep_text), "id long, n_bytes long, n_removed long, n_spans long, kept string")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
