@@ -295,20 +295,34 @@ class Suffixes:
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffix pairs, by binary search."""
         got = np.zeros(len(a), np.int64)
+        pa_, pb, sa, sb = self.power[a], self.power[b], self.sums[a], self.sums[b]
         step = 1 << (self.length.bit_length() - 1)
         while step:
             to = np.minimum(got + step, self.length)
-            x, y = self.sums[a + to] - self.sums[a + got], self.sums[b + to] - self.sums[b + got]
-            same = x * self.power[b] == y * self.power[a]
-            got = np.where(same, to, got)
+            x, y = self.sums[a + to], self.sums[b + to]
+            x -= sa
+            y -= sb
+            x *= pb
+            y *= pa_
+            np.copyto(got, to, where=x == y)
             step >>= 1
         return got
 
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether suffix pairs agree over `length` bytes, by one comparison of hashes."""
+        n = self.length
+        return (self.sums[a + n] - self.sums[a]) * self.power[b] == (self.sums[b + n] - self.sums[b]) * self.power[a]
+
     def before(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         """Whether suffix a sorts before b (or is equal, where or_equal)."""
+        out = or_equal.copy()
+        other = np.flatnonzero(~self.same(a, b))
+        a, b = a[other], b[other]
         n = self.common(a, b)
+        # Hashes that differ over `length` bytes differ at a byte before its end, or the search was misled and the last byte decides.
         at = np.minimum(n, self.length - 1)
-        return np.where(n == self.length, or_equal, self.raw[a + at] < self.raw[b + at])
+        out[other] = self.raw[a + at] < self.raw[b + at]
+        return out
 
     def sort(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
         """Order of suffixes `at` within ascending groups: a bottom-up mergesort of all groups at once.
@@ -347,7 +361,7 @@ class Suffixes:
         """For suffixes in order: whether each equals the one before it; ValueError if hashes say so and bytes don't."""
         out = np.zeros(len(at), bool)
         if len(at) > 1:
-            out[1:] = self.common(at[:-1], at[1:]) == self.length
+            out[1:] = self.same(at[:-1], at[1:])
         pairs = np.flatnonzero(out)
         for s in range(0, len(pairs), 1 << 16):
             p = pairs[s : s + (1 << 16)]
@@ -443,28 +457,53 @@ def _spans(length: int):
     return run
 
 
+#: Bytes of text cut at once.
+CUT_BYTES = 1 << 20
+
+
+def without_spans(texts: list[bytes], doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(bytes removed, maximal runs removed, bytes left) of each text; spans are (text number, start, size), in any order, and may overlap."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    end = np.cumsum(sizes)
+    base = end - sizes
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    edge = np.zeros(len(data) + 1, np.int32)
+    np.add.at(edge, base[doc] + start, 1)
+    np.add.at(edge, base[doc] + start + size, -1)
+    gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+    before = np.zeros(len(data), bool)
+    before[1:] = gone[:-1]
+    before[base[sizes > 0]] = False
+    count = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+    removed, begun = count(gone), count(gone & ~before)
+    left, kept = data[~gone].tobytes(), np.arange(len(data) + 1) - removed
+    cuts = zip(kept[base].tolist(), kept[end].tolist())
+    return removed[end] - removed[base], begun[end] - begun[base], [left[a:z] for a, z in cuts]
+
+
 def _apply(keep_text: bool):
+    def rows(ids: pa.Array, texts: list[bytes], doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        removed, begun, left = without_spans(texts, doc, start, size)
+        kept = [x.decode("utf-8", "ignore") for x in left] if keep_text else [hashlib.sha256(x).hexdigest() for x in left]
+        cols = [ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(begun, pa.int64()), pa.array(kept, pa.string())]
+        return pa.RecordBatch.from_arrays(cols, ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in pieces(big, 1 << 20, "packed"):
-                out = []
-                for i, packed, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                    data = zlib.decompress(packed)
-                    row = {"id": i, "n_bytes": len(data), "n_removed": 0, "n_spans": 0}
-                    if spans:
-                        a = np.array([s["start"] for s in spans], np.int64)
-                        edge = np.zeros(len(data) + 1, np.int32)
-                        np.add.at(edge, a, 1)
-                        np.add.at(edge, a + np.array([s["size"] for s in spans], np.int64), -1)
-                        gone = np.cumsum(edge)[: len(data)] > 0
-                        row |= {"n_removed": int(gone.sum()), "n_spans": int((gone & ~np.r_[False, gone[:-1]]).sum())}
-                        data = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                    if keep_text:
-                        row["kept"] = data.decode("utf-8", "ignore")
-                    else:
-                        row["kept"] = hashlib.sha256(data).hexdigest()
-                    out.append(row)
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string())]))
+                ids, spans = batch.column(0), batch.column(2)
+                flat = spans.flatten()
+                start, size = (flat.field(k).to_numpy().astype(np.int64) for k in ("start", "size"))
+                lens = spans.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+                at = np.concatenate([[0], np.cumsum(lens)])
+                texts, begun, total = [], 0, 0
+                for k, packed in enumerate(batch.column(1).to_pylist(), 1):
+                    texts.append(zlib.decompress(packed))
+                    total += len(texts[-1])
+                    if total >= CUT_BYTES or k == batch.num_rows:
+                        part = slice(at[begun], at[k])
+                        yield rows(ids.slice(begun, k - begun), texts, np.repeat(np.arange(k - begun), lens[begun:k]), start[part], size[part])
+                        texts, begun, total = [], k, 0
 
     return run
 
