@@ -10,7 +10,9 @@ Two documents link when their sets of distinct shingles have |A & B| * 100 >= 90
 3. Representatives that share a minimum hash are compared with the smallest of them: one
    comparison each, which already joins most near copies, however large their group is.
 4. Representatives that share a prefix shingle, fit by size and position and aren't in one
-   component yet are compared if their prefixes share as many shingles as the overlap needs. Pairs within a component add nothing, so a group of near
+   component yet are compared if their prefixes share as many shingles as the overlap needs
+   (the whole prefixes are compared; only the first shared shingle must leave room for the
+   whole overlap). Pairs within a component add nothing, so a group of near
    copies doesn't cost its square, and no link between components is lost.
 5. Comparing is a T-occurrence search: the shingles of a query document are inverted lists
    over its candidates; the short ones are merged by a heap, the long ones probed by binary
@@ -308,11 +310,14 @@ def near_components(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, i
     x = tagged.select("t", *[F.col(k).alias(f"{k}1") for k in ("id", "n", "c", "p")])
     y = tagged.select("t", *[F.col(k).alias(f"{k}2") for k in ("id", "n", "c", "p")])
     need = F.floor((percent * (F.col("n1") + F.col("n2")) + 99 + percent) / (100 + percent))
+    # Before the first shared shingle nothing is shared, so what follows it must suffice; later ones needn't leave that room, so this finds pairs but doesn't count.
     fits = (F.col("id1") < F.col("id2")) & (F.col("c1") != F.col("c2")) & size_fits("n1", "n2") & (F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) >= need)
-    # Beyond the prefix that ends first, its set has only n - length(prefix) elements: the rest of the overlap lies in both prefixes.
+    met = x.join(y, "t").where(fits).select("id1", "id2").distinct()
+    # Beyond the prefix that ends first, its set has only n - length(prefix) elements: the rest of the overlap lies in both prefixes, of which all shared shingles count.
     beyond = F.greatest(*[(percent * F.col(n) + 99 - (percent * F.col(n) + 99) % 100) / 100 - 1 for n in ("n1", "n2")])
-    shared = x.join(y, "t").where(fits).groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("shared"), F.first(need - beyond).alias("least"))
-    cross = shared.where("shared >= least").select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+    for k in "12":
+        met = met.join(own.select(F.col("id").alias(f"id{k}"), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"prefix{k}")), f"id{k}")
+    cross = met.where(F.size(F.array_intersect("prefix1", "prefix2")) >= need - beyond).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
     second = materialise(linked_pairs(cross, docs, width, percent), "links")
     final = components(first.union(second)).select(F.col("node").alias("rep"), "component")
     named = sketch.select("id", "n", "fp1", "fp2").join(reps, ["fp1", "fp2", "n"], "left").join(final, "rep", "left")

@@ -224,6 +224,37 @@ def test_jaccard_join_against_brute_force(spark):
     assert got == brute_components(list(enumerate(t)))
 
 
+def far_heads(groups=12, words=100, seed=9):
+    """Groups of texts whose smallest id is further off than the limit from all others, which link among themselves; changes at the ends only touch few shingles, some of them rare."""
+    rng = random.Random(seed)
+    out = []
+    for g in range(groups):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(words)]
+        head = list(base)
+        for k in range(10, 90, 16):
+            head[k] = f"far{g}x{k}"
+        out.append(" ".join(head))
+        for c in range(4):
+            copy = list(base)
+            copy[-1] = f"end{g}y{c}" if c % 2 else "common"
+            copy[0] = f"start{g}y{c}" if c > 1 else "usual"
+            out.append(" ".join(copy))
+    return out
+
+
+def test_jaccard_join_counts_all_shared_prefix_shingles(spark):
+    for width, percent in ((3, 90), (5, 80)):
+        t = [*far_heads(), *texts(120, 6)]
+        df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").repartition(3)
+        got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.near_components(df, width, percent).collect()}
+        sets = [set(zip(*[re.findall(r"[^ \t-\r]+", x.lower())[k:] for k in range(width)])) or {x.lower()} for x in t]
+        assert all(got[k][1] == got[5 * (k // 5) + 1][1] != got[5 * (k // 5)][1] for k in range(60) if k % 5)
+        for i in range(len(t)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                assert got[i][1] == got[j][1] or 100 * both < percent * (len(sets[i]) + len(sets[j]) - both) or not t[i].strip()
+
+
 def test_jaccard_edge_cases(edge):
     rows = ngram_join.near_components(edge).collect()
     assert len(rows) == len(EDGE)
