@@ -3,9 +3,12 @@
 One pattern finds candidates; each is validated, and what isn't valid stays as it is:
 
 * card: 13 to 19 digits (single spaces or hyphens between them) that pass the Luhn test;
-  all digits but the last are permuted and the check digit is computed anew;
+  all digits but the last are permuted and the check digit is computed anew. In a row of
+  numbers with spaces between, the longest valid one from each number on is taken, and the
+  search goes on behind it;
 * ssn: ddd-dd-dddd outside the ranges never issued; permuted within the valid ones;
-* phone: + country code and 7 to 14 more digits; the digits after the code are permuted;
+* phone: + country code and 7 to 14 more digits, up to where a value of another kind
+  begins; the digits after the code are permuted;
 * ipv4: four numbers up to 255 without leading zeros; permuted among all addresses;
 * date: a day of 1700 to 2099 as yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, dd-mm-yyyy,
   mm/dd/yyyy (or dd/mm/yyyy where only that is a day); permuted among these 146,097 days;
@@ -33,15 +36,29 @@ from alphaloom.llm.shared import table
 ROUNDS = 8
 KEY = "alphaloom-pseudonym-key"
 
-#: What a candidate of each kind looks like, in order of precedence.
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,252}[A-Za-z0-9])?\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
+_IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
+_SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+#: A date without back references, to look for one within another pattern.
+_DAY = "(?<![0-9./-])(?:" + "|".join([f"[0-9]{{4}}{m}[0-9]{{2}}{m}[0-9]{{2}}" for m in "-/"] + [f"[0-9]{{2}}{m}[0-9]{{2}}{m}[0-9]{{4}}" for m in ("[.]", "/", "-")]) + r")(?![0-9/-]|\.[0-9])"
+_OTHER = "|".join([_EMAIL, _IPV4, _SSN, _DAY])
+_SPACELESS = r"(?<![0-9-])[0-9](?:-?[0-9]){12,18}(?![0-9-])"
+_CODE = r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{1,4})(?:[ .-]?[0-9]{2,4})"
+#: 8 to 15 digits since the plus sign; written out, as a look-behind takes no repeated groups.
+_ENOUGH = "(?<=" + "|".join(r"\+[0-9]" + "[ .()-]{0,2}[0-9]" * k for k in range(7, 15)) + ")(?![0-9])"
+_CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+_NUMBER = "[0-9]++(?:-[0-9]++)*+"
+
+#: What a candidate of each kind looks like, in order of precedence. A phone number ends before a value of another kind if it can; a card
+#: candidate is a whole row of numbers (possessive, so that a long row needs no stack), in which _numbers() looks for the valid ones.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,252}[A-Za-z0-9])?\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": _EMAIL,
     "secret": r"(?<=(?i:token|passwd|password|secret|apikey|api_key|api-key|access_key|auth_key)\s?[=:]\s?[\"'])[A-Za-z0-9+/_=.-]{16,512}(?=[\"'])",
-    "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "ipv4": _IPV4,
+    "phone": _CODE + "{1,4}?" + _ENOUGH + f"(?=[ .-](?:{_OTHER}|(?<![0-9-]){_CARD}(?![0-9-])))|" + _CODE + "{1,4}" + _ENOUGH,
+    "ssn": _SSN,
     "date": r"(?<![0-9./-])(?:[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\2[0-9]{4})(?![0-9/-]|\.[0-9])",
-    "card": r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])",
+    "card": f"(?<![0-9-])(?=[0-9](?:[ -]?[0-9]){{12}}){_NUMBER}(?: (?!{_OTHER}){_NUMBER})++-?+|{_SPACELESS}",
 }
 KINDS = list(PATTERNS)
 
@@ -110,7 +127,32 @@ def _card(m: Column, key: str) -> Column:
     d = _digits(m)
     body = F.substring(d, F.lit(1), F.length(d) - 1)
     new = _with(_permuted_digits(body, key, "card"), lambda x: F.concat(x, _check_digit(x)))
-    return F.when(F.call_function("luhn_check", d), _with(new, lambda x: _refill(m, x)))
+    return F.when(_is_card(m), _with(new, lambda x: _refill(m, x)))
+
+
+def _is_card(m: Column) -> Column:
+    return m.rlike(f"^{_CARD}$") & F.call_function("luhn_check", _digits(m))
+
+
+def _numbers(m: Column) -> Column:
+    """A row of numbers as an array to be joined by spaces: from each number on the longest valid card, else the number alone."""
+
+    def cut(parts: Column) -> Column:
+        def card(i: Column) -> Column:
+            """How many numbers from i on make the longest valid card; 0 for none."""
+            to = F.sequence(F.least(i + 19, F.size(parts)) - i, F.lit(1))
+            fit = F.filter(to, lambda k: _is_card(F.array_join(F.slice(parts, i + 1, k), " ")))
+            return F.coalesce(F.get(fit, 0), F.lit(0)).alias("k")
+
+        def step(a: Column, x: Column) -> Column:
+            size = F.greatest(x["k"], F.lit(1))
+            return F.when(x["i"] < a["next"], a).otherwise(F.struct((x["i"] + size).alias("next"), F.concat(a["out"], F.array(F.array_join(F.slice(parts, x["i"] + 1, size), " "))).alias("out")))
+
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
+        sizes = F.transform(parts, lambda _, i: F.struct(card(i), i.alias("i")))
+        return _with(sizes, lambda n: F.when(F.exists(n, lambda x: x["k"] > 0), F.aggregate(n, start, step, lambda a: a["out"])).otherwise(F.array(m)))
+
+    return _with(F.split(m, " "), cut)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -184,7 +226,7 @@ def _kind(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email").when(m.rlike(r"^\+"), "phone").when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ipv4")
         .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").when(m.rlike(r"^([0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4})$"), "date")
-        .when(m.rlike(r"^[0-9]([ -]?[0-9]){12,18}$"), "card").otherwise("secret"))
+        .when(m.rlike(f"^{_CARD}$") | m.contains(" "), "card").otherwise("secret"))
 
 
 def _pattern() -> str:
@@ -193,19 +235,21 @@ def _pattern() -> str:
 
 
 def candidates(text: Column) -> Column:
-    """array of struct(kind, raw, new): every candidate in text order; new is null where it isn't valid."""
+    """array of array of struct(kind, raw): for every match of the pattern in text order its candidates, which spaces join."""
     found = F.regexp_extract_all(text, F.lit(_pattern()), F.lit(0))
-    return F.transform(found, lambda m: F.struct(_kind(m).alias("kind"), m.alias("raw")))
+    split = lambda m: F.when(_kind(m) == "card", _numbers(m)).otherwise(F.array(m))
+    return F.transform(found, lambda m: _with(_kind(m), lambda kind: F.transform(split(m), lambda x: F.struct(kind.alias("kind"), x.alias("raw")))))
 
 
 def _replaced(found: Column, key: str) -> Column:
+    """The candidates with new added, which is null where one isn't valid."""
     def one(x: Column) -> Column:
         new = F.when(F.lit(False), F.lit(None).cast("string"))
         for kind, make in _MAKERS.items():
             new = new.when(x["kind"] == kind, make(x["raw"], key))
         return F.struct(x["kind"].alias("kind"), x["raw"].alias("raw"), new.alias("new"))
 
-    return F.transform(found, one)
+    return F.transform(found, lambda m: F.transform(m, one))
 
 
 def pseudonymise(df: DataFrame, text_col: str = "text", key: str = KEY, found_col: str | None = None) -> DataFrame:
@@ -215,12 +259,12 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str = KEY, found_co
     found, rest = found_col or fresh("found"), fresh("rest")
     t = F.col(f"`{text_col}`")
     hit = F.coalesce(t.rlike("[0-9@=:]"), F.lit(False)) & t.rlike(_pattern())
-    none = F.array().cast("array<struct<kind:string,raw:string>>")
+    none = F.array().cast("array<array<struct<kind:string,raw:string>>>")
     d = df.withColumn(found, F.when(hit, candidates(t)).otherwise(none)).withColumn(found, _replaced(F.col(found), key))
     d = d.withColumn(rest, F.when(F.size(found) > 0, F.split(t, _pattern(), -1)))
-    parts = F.transform(found, lambda x, i: F.concat(F.get(F.col(rest), i), F.coalesce(x["new"], x["raw"])))
+    parts = F.transform(found, lambda m, i: F.concat(F.get(F.col(rest), i), F.array_join(F.transform(m, lambda x: F.coalesce(x["new"], x["raw"])), " ")))
     d = d.withColumn(text_col, F.when(F.col(rest).isNull(), t).otherwise(F.concat(F.array_join(parts, ""), F.get(rest, F.size(found)))))
-    return d.drop(rest) if found_col else d.drop(rest, found)
+    return d.withColumn(found, F.flatten(found)).drop(rest) if found_col else d.drop(rest, found)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

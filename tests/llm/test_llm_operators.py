@@ -284,6 +284,22 @@ def test_pseudonyms(spark):
     assert got[7] is None and got[8] == ""
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    card = "4111111111111111"
+    rows = ["+1 (826) 555-4081 190.137.223.204", "+1 (843) 555-7672 2024-01-05", "+1 (843) 555-7672 123-45-6789", "+1 (843) 555-7672 4111 1111 1111 1111",
+            f"{card} 123", f"12 {card}", f"12345 {card}", f"1 4111 1111 1111 1111 5500 0000 0000 0004 77", f"{card} 2024-01-05", f"{card} 190.137.223.204", f"{card} 9@mail.example.com",
+            "1 2 3 4 5 6 7 8 9 10 11 12", "12345678901234567890123", "9 " * 500 + card, "+1 (826) 555-4081 x", f"{card} 12-"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, found_col="found").collect()}
+    kinds = lambda k: [x.kind for x in got[k].found if x.new is not None]
+    assert [kinds(k) for k in range(16)] == [
+        ["phone", "ipv4"], ["phone", "date"], ["phone", "ssn"], ["phone", "card"], ["card"], ["card"], ["card"], ["card", "card"],
+        ["card", "date"], ["card", "ipv4"], ["card", "email"], [], [], ["card"], ["phone"], ["card"]]
+    assert not any(v in r.text for r in got.values() for v in ("555-4081", "555-7672", "190.137", "2024-01-05", "123-45-6789", card, "4111 1111", "5500 0000", "mail.example"))
+    assert got[4].text.endswith(" 123") and got[6].text.startswith("12345 ") and re.fullmatch(r"1( \d{4}){8} 77", got[7].text) and got[15].text.endswith(" 12-")
+    assert got[11].text == rows[11] and got[12].text == rows[12] and got[13].text[:1000] == "9 " * 500
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
