@@ -84,9 +84,9 @@ def base_features(df: DataFrame, id_col: str = "doc_id", host_col: str = "source
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS,
-                  share_percent: int = SHARE_PERCENT, min_words: int = MIN_WORDS, left_percent: int = LEFT_PERCENT) -> DataFrame:
-    """(id, counts, base_failed, n_lines_removed, words_left, kept) for every row of df."""
-    common = boilerplate_lines(df, host_col, text_col, min_docs, share_percent)
+                  share_percent: int = SHARE_PERCENT, min_words: int = MIN_WORDS, left_percent: int = LEFT_PERCENT, common: DataFrame | None = None) -> DataFrame:
+    """(id, counts, base_failed, n_lines_removed, words_left, kept) for every row of df; common: a table of boilerplate_lines(), by default df's own."""
+    common = boilerplate_lines(df, host_col, text_col, min_docs, share_percent) if common is None else common
     d = base_features(df, id_col, host_col, text_col).join(common, "host", "left")
     stays = F.filter("lines", lambda x: ~F.coalesce(F.array_contains(F.col("common"), x["h"]), F.lit(False)))
     total = F.aggregate("lines", F.lit(0), lambda a, x: a + x["w"])
@@ -98,9 +98,10 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", host_col: str = "source
         (F.size("lines") - F.size("stays")).cast("long").alias("n_lines_removed"), F.col("words_left").cast("long").alias("words_left"), (~failed & enough).alias("kept"))
 
 
-def without_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS, share_percent: int = SHARE_PERCENT) -> DataFrame:
-    """df with the lines above the limits taken out of its texts (null texts stay null), all columns kept."""
-    common = boilerplate_lines(df, host_col, text_col, min_docs, share_percent).select(F.col("host").alias("_host"), F.col("common").alias("_common"))
+def without_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS, share_percent: int = SHARE_PERCENT, common: DataFrame | None = None) -> DataFrame:
+    """df with the lines above the limits taken out of its texts (null texts stay null), all columns kept; common as in quality_rules()."""
+    common = boilerplate_lines(df, host_col, text_col, min_docs, share_percent) if common is None else common
+    common = common.select(F.col("host").alias("_host"), F.col("common").alias("_common"))
     d = df.withColumn("_key", F.coalesce(F.col(host_col).cast("string"), F.lit(""))).join(common, F.col("_key") == F.col("_host"), "left")
     pairs = F.arrays_zip(F.split(text_col, "\n", -1).alias("raw"), _hashes(_normal_lines(F.col(text_col))).alias("h"))
     left = F.filter(pairs, lambda x: ~F.coalesce(F.array_contains(F.col("_common"), x["h"]), F.lit(False)))

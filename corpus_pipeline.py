@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from alphaloom.llm.ngram_join import near_components
 from alphaloom.llm.packing import pack_documents
 from alphaloom.llm.pii import pseudonymise
-from alphaloom.llm.quality_rules import quality_rules, without_boilerplate
+from alphaloom.llm.quality_rules import boilerplate_lines, quality_rules, without_boilerplate
 from alphaloom.llm.shared import materialise, table
 from alphaloom.llm.suffix_dedup import remove_repeats
 from alphaloom.session import share_code
@@ -29,9 +29,10 @@ def _columns(df: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; lines that are boilerplate on their host go from the rest."""
-    kept = quality_rules(docs).where("kept").select(F.col("id").alias("_id")).distinct()
-    return _columns(without_boilerplate(docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")))
+    """Documents that the rules reject go; lines that are boilerplate on their host go from the rest. Both go by one count over all the input."""
+    common = materialise(boilerplate_lines(docs), "boilerplate")
+    kept = quality_rules(docs, common=common).where("kept").select(F.col("id").alias("_id")).distinct()
+    return _columns(without_boilerplate(docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi"), common=common))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -358,3 +358,13 @@ def test_pipeline(spark, sf_dir):
     assert names == ["quality_rules", "ngram_jaccard", "suffix_dedup", "pii", "packing"]
     packed = corpus_pipeline.run(spark, sf_dir).collect()
     assert packed and all(0 < r.length <= 2048 for r in packed)
+
+
+def test_quality_stage_removes_the_lines_its_verdict_counted_out(spark, sf_dir):
+    import corpus_pipeline
+
+    full = [(k, f"unique {chr(97 + k) * (k + 1)} words here to keep this document full enough of text\nthe common footer line", "en", "h", 0) for k in range(15)]
+    stubs = [(100 + k, f"stub {chr(97 + k) * (k + 1)}\nthe common footer line", "en", "h", 0) for k in range(15)]
+    df = spark.createDataFrame(full + stubs, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality_stage(spark, df, sf_dir).collect()}
+    assert sorted(got) == list(range(15)) and not any("footer" in x for x in got.values())
