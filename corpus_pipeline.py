@@ -20,6 +20,8 @@ from alphaloom.llm.shared import materialise, table
 from alphaloom.llm.suffix_dedup import remove_repeats
 from alphaloom.session import share_code
 
+#: Words in a shingle and percent of shingles shared of the near-duplicate stage; op9's query has its own.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -36,8 +38,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
-    stays = near_components(docs).where("id = component_id").select(F.col("id").alias("_id")).distinct()
+    """One document of each group of near duplicates (80 % of the shingles of five words) stays: the one with the smallest id."""
+    stays = near_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT).where("id = component_id").select(F.col("id").alias("_id")).distinct()
     return _columns(docs.join(stays, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
 
 

@@ -368,3 +368,24 @@ def test_quality_stage_removes_the_lines_its_verdict_counted_out(spark, sf_dir):
     df = spark.createDataFrame(full + stubs, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.quality_stage(spark, df, sf_dir).collect()}
     assert sorted(got) == list(range(15)) and not any("footer" in x for x in got.values())
+
+
+def test_near_duplicate_stage_against_brute_force(spark, sf_dir):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    t = texts(160, 8)
+    for k in range(20):
+        words = [f"d{k}w{i}" for i in range(110)]
+        changed = [f"x{k}" if i in (40, 80)[: 1 + k % 2] else w for i, w in enumerate(words)]
+        t += [" ".join(words), " ".join(changed), " ".join(w if rng.random() > 0.1 else "y" for w in words)]
+    sets = [frozenset(zip(*[x.lower().split()[k:] for k in range(5)])) or (frozenset([tuple(x.lower().split())]) if x.split() else frozenset()) for x in t]
+    up = list(range(len(t)))
+    for i in range(len(t)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((up[i], up[j]))
+                up = [low if c == high else c for c in up]
+    df = spark.createDataFrame([(k, x, "en", "h", len(x)) for k, x in enumerate(t)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, sf_dir).collect())
+    assert got == [k for k, c in enumerate(up) if k == c] and not {161, 164, 167} & set(got)
