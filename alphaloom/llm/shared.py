@@ -1,11 +1,15 @@
-"""Helpers shared by the training-data operators: scratch tables, batches, components."""
+"""Helpers shared by the training-data operators: scratch tables, batches, bit tables, components."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,32 +24,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is absent (local runs, tests) a temporary folder is
-    made and set, so every executor of a cluster can read what another wrote.
+    Only a local session without that setting gets a temporary folder; on a cluster
+    nothing may be written where only one machine can read it, so there it is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = "file://" + tempfile.mkdtemp(prefix="alphaloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+class Scope(set):
+    """Paths of the scratch tables made within a scope."""
+
+    def keep(self, df: DataFrame) -> None:
+        """Let a table live on after the scope."""
+        names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+        self.difference_update([at for at in self if at.rsplit("/", 1)[1] in names])
+
+
+#: Paths of scratch tables that still exist, with a session to delete them by; and those of open scopes.
+_made: dict[str, SparkSession] = {}
+_scopes: list[Scope] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared scratch folder and read it back."""
     spark = df.sparkSession
     at = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[at] = spark
+    if _scopes:
+        _scopes[-1].add(at)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def _delete(at: str) -> None:
+    spark = _made.pop(at, None)
+    if spark is not None and spark.sparkContext._jsc is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(at)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+@contextmanager
+def scratch_scope():
+    """Delete at its end the scratch tables made within, for work whose result has been written by then."""
+    _scopes.append(Scope())
+    try:
+        yield _scopes[-1]
+    finally:
+        for at in _scopes.pop():
+            _delete(at)
+
+
+@atexit.register
+def _delete_all() -> None:
+    """Scratch tables that a lazy result still reads live as long as the driver."""
+    for at in list(_made):
+        try:
+            _delete(at)
+        except Exception:  # noqa: BLE001  the session may be gone before
+            return
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete a table made by materialise() once nothing reads it any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        for at in [a for a in _made if a.rsplit("/", 1)[1] == path.rsplit("/", 1)[1]]:
+            _delete(at)
 
 
 def text_or_empty(name: str) -> Column:
@@ -68,6 +118,40 @@ def pieces(batch: pa.RecordBatch, max_bytes: int = 4 << 20, column: str = "text"
     yield batch.slice(start, n - start)
 
 
+def bit_slots(values: np.ndarray, bits: int) -> np.ndarray:
+    """Where in a table of so many bits (a power of two) each 64-bit value has its bit."""
+    h = (values.astype(np.int64).view(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def bit_table(values: DataFrame, bits: int) -> np.ndarray:
+    """A packed bit table, set for every value of a one-column table (and, while these are few, for few others); its size is that of the parameter, not of the input."""
+    kind = "salt int, bits binary"
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        table_, any_ = np.zeros(bits // 8, np.uint8), False
+        for batch in batches:
+            slot = bit_slots(batch.column(0).to_numpy(), bits)
+            np.bitwise_or.at(table_, slot >> 3, (np.uint8(128) >> (slot & 7).astype(np.uint8)))
+            any_ = any_ or batch.num_rows > 0
+        ctx = TaskContext.get()
+        part = ctx.partitionId() if ctx else 0
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array([part % 64], pa.int32()), pa.array([zlib.compress(table_.tobytes(), 1)], pa.binary())], ["salt", "bits"])
+
+    def either(key, tbl):
+        total = np.zeros(bits // 8, np.uint8)
+        for b in tbl.column("bits").to_pylist():
+            total |= np.frombuffer(zlib.decompress(b), np.uint8)
+        return pa.table({"salt": pa.array([0], pa.int32()), "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    rows = values.mapInArrow(mark, kind).groupBy("salt").applyInArrow(either, kind).groupBy("salt").applyInArrow(either, kind).collect()
+    return np.frombuffer(zlib.decompress(bytes(rows[0]["bits"])), np.uint8) if rows else np.zeros(bits // 8, np.uint8)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list: (node, component), component = smallest node.
 
@@ -101,7 +185,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         raise RuntimeError("components did not converge")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v"), F.col("v")).distinct())
-
-
-def from_batches(rows: Iterable[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(list(rows), schema=schema)

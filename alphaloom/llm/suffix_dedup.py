@@ -8,8 +8,10 @@ windows always meet, and windows in a row that share that key form one segment.
    document; what repeats within a batch of documents is settled in the batch, so a key that a
    third of all documents hold is one entry a batch.
 2. Only the segments of repeated keys travel, each distinct one once a batch: its other holders in
-   the batch already know a smaller document. Segments of very frequent keys (at most `HOT_KEYS` of them can
-   reach the threshold, so their list is bounded) are cut into single windows, which spread by content.
+   the batch already know a smaller document. Segments of keys that `HOT_LEAST` documents hold are cut into
+   single windows, which spread by content. The threshold is fixed; which keys reach it is told by a bit table
+   whose size is bounded (`HOT_BITS`): a key that shares its bit with a hot one is cut too, which costs but
+   changes nothing in the result.
 3. In a bucket, equal segments are merged; where a key has several different segments, their suffixes
    are sorted by a mergesort. Its comparisons find the common extension of two suffixes by binary
    search over prefix polynomial hashes, logarithmic in the length; neighbours that seem equal
@@ -17,8 +19,9 @@ windows always meet, and windows in a row that share that key form one segment.
 4. The spans of repeated windows go back to their documents.
 
 Defined results: null text counts as empty; a row with a null id is left as it is and removes
-nothing elsewhere; rows that repeat an id with its text don't remove each other; texts under
-`length` bytes are left as they are; an empty table gives an empty one; other columns are ignored.
+nothing elsewhere; rows that repeat an id, with one text or with several, don't remove each other, and each is
+cut by what documents with smaller ids hold; ids may be negative; texts under `length` bytes are left as
+they are; an empty table gives an empty one; other columns are ignored, or carried along on demand.
 """
 
 from __future__ import annotations
@@ -32,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.shared import materialise, pieces, table, text_or_empty
+from alphaloom.llm.shared import bit_slots, bit_table, materialise, pieces, table, text_or_empty
 
 LENGTH, GRAM = 50, 16
 BUCKET_BYTES = 8 << 20
-#: A key is hot if at least 1 / HOT_KEYS of all keys (and HOT_LEAST documents) are that key.
-HOT_KEYS, HOT_LEAST = 200_000, 2_000
+#: A key is hot if so many documents hold it; bits of the table that tells the hot keys, per input byte between two bounds (2 and 32 MB).
+HOT_LEAST, HOT_BITS = 2_000, (1 << 24, 1 << 28)
 
 #: Suffixes sorted at once (a group of one key is never cut).
 SORT_WINDOWS = 100_000
@@ -147,7 +150,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
         for batch in pieces(big):
             data = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(data, pa.binary())], ["id", *batch.schema.names[2:], "packed"])
 
 
 KEY_ROWS = "bucket int, keys binary, ids binary, counts binary"
@@ -186,7 +189,7 @@ def _keys(length: int, buckets: int):
 
 
 def _repeated(_, tbl):
-    """(id, key, documents): holders of repeated keys, and with id -1 each repeated key's number of documents if that is large."""
+    """(id, key, documents): holders of repeated keys with documents 0, and without an id the keys that many documents hold."""
     k = np.concatenate([_from_six(b) for b in tbl.column("keys").to_pylist()] or [np.zeros(0, np.uint64)])
     i = np.concatenate([_undeltas(b) for b in tbl.column("ids").to_pylist()] or [np.zeros(0, np.int64)])
     c = np.concatenate([np.frombuffer(zlib.decompress(b), "<i4") for b in tbl.column("counts").to_pylist()] or [np.zeros(0, np.int32)]).astype(np.int64)
@@ -200,24 +203,28 @@ def _repeated(_, tbl):
     size = np.diff(np.r_[first, len(k)])
     yes = np.repeat(total > 1, size) & (c == 1)
     hot = total >= HOT_LEAST
-    out_i += [i[yes], np.full(int(hot.sum()), -1)]
+    out_i += [i[yes], np.zeros(int(hot.sum()), np.int64)]
     out_k += [k[yes], k[first][hot]]
     n = np.r_[np.zeros(sum(map(len, out_i[:2])), np.int64), total[hot]]
-    return pa.table({"id": pa.array(np.concatenate(out_i), pa.int64()), "key": pa.array(np.concatenate(out_k).astype(np.int64)), "docs": pa.array(n, pa.int64())})
+    return pa.table({"id": pa.array(np.concatenate(out_i), pa.int64(), mask=n > 0), "key": pa.array(np.concatenate(out_k).astype(np.int64)), "docs": pa.array(n, pa.int64())})
 
 
-SEGMENT_ROWS = "bucket int, texts binary, sizes binary, ids binary, starts binary, keys binary"
+SEGMENT_ROWS = "bucket int, texts binary, sizes binary, ids binary, parts binary, starts binary, keys binary"
 
 
-def _segments(length: int, buckets: int, hot: np.ndarray):
-    """Distinct segments of repeated keys by bucket. A row without texts holds spans already known to be repeated."""
+def _segments(length: int, buckets: int, hot_bits: np.ndarray):
+    """Distinct segments of repeated keys by bucket. A row without texts holds spans already known to be repeated. A part tells texts of one id apart."""
+
+    def is_hot(low: np.ndarray) -> np.ndarray:
+        slot = bit_slots(low, len(hot_bits) * 8)
+        return hot_bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in pieces(big, 1 << 20, "packed"):
-                all_ids = batch.column(0).to_numpy()
-                texts = [zlib.decompress(p) for p in batch.column(1).to_pylist()]
-                told = batch.column(2)
+                all_ids, all_parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                texts = [zlib.decompress(p) for p in batch.column(2).to_pylist()]
+                told = batch.column(3)
                 key, doc, first, last = runs(texts, length)
                 low = key & _LOW48
                 # Which (document, key) pairs were told to repeat: documents are few, so 48 + 16 bits hold both.
@@ -228,55 +235,55 @@ def _segments(length: int, buckets: int, hot: np.ndarray):
                 key, low, doc, first, last = key[yes], low[yes], doc[yes], first[yes], last[yes]
                 joined = b"".join(texts)
                 base = np.r_[0, np.cumsum([len(t) for t in texts])]
-                windows = np.isin(low, hot)
+                windows = is_hot(low)
                 known: dict[bytes, list] = {}
-                spans: list[tuple[int, int, int]] = []
+                spans: list[tuple[int, int, int, int]] = []
 
-                def meet(seg: bytes, i: int, start: int, k: int) -> None:
+                def meet(seg: bytes, i: int, part: int, start: int, k: int) -> None:
                     at = known.get(seg)
                     if at is None:
-                        known[seg] = [i, start, k]
+                        known[seg] = [i, part, start, k]
                     elif i > at[0]:
-                        spans.append((i, start, len(seg)))
+                        spans.append((i, part, start, len(seg)))
                     elif i < at[0]:
-                        spans.append((at[0], at[1], len(seg)))
-                        known[seg] = [i, start, k]
+                        spans.append((*at[:3], len(seg)))
+                        known[seg] = [i, part, start, k]
                         for other in more.pop(seg, []):
-                            spans.append((at[0], other, len(seg)))
+                            spans.append((at[0], *other, len(seg)))
                     else:
-                        more.setdefault(seg, []).append(start)
+                        more.setdefault(seg, []).append((part, start))
 
-                more: dict[bytes, list[int]] = {}
-                ids, starts = all_ids[doc].tolist(), (first - base[doc]).tolist()
-                for k, i, a, z, start, cut in zip(key.tolist(), ids, first.tolist(), (last + length).tolist(), starts, windows.tolist()):
+                more: dict[bytes, list[tuple[int, int]]] = {}
+                ids, parts, starts = all_ids[doc].tolist(), all_parts[doc].tolist(), (first - base[doc]).tolist()
+                for k, i, part, a, z, start, cut in zip(key.tolist(), ids, parts, first.tolist(), (last + length).tolist(), starts, windows.tolist()):
                     if cut:
                         for w in range(z - a - length + 1):
-                            meet(joined[a + w : a + w + length], i, start + w, k)
+                            meet(joined[a + w : a + w + length], i, part, start + w, k)
                     else:
-                        meet(joined[a:z], i, start, k)
-                segs = [(s, i, p, k) for s, (i, start, k) in known.items() for p in (start, *more.get(s, ()))]
+                        meet(joined[a:z], i, part, start, k)
+                segs = [(s, i, q, p, k) for s, (i, part, start, k) in known.items() for q, p in ((part, start), *more.get(s, ()))]
                 out = []
                 if spans:
-                    i, p, n = (np.array(c, np.int64) for c in zip(*spans))
+                    i, q, p, n = (np.array(c, np.int64) for c in zip(*spans))
                     order = np.lexsort((p, i))
-                    out.append((int(i[0] % buckets), None, _small(n[order]), _deltas(i[order]), _small(p[order]), b""))
+                    out.append((int(i[0] % buckets), None, _small(n[order]), _deltas(i[order]), _small(q[order]), _small(p[order]), b""))
                 if segs:
-                    keys = np.array([s[3] for s in segs], np.uint64)
-                    single = np.isin(keys & _LOW48, hot)
+                    keys = np.array([s[4] for s in segs], np.uint64)
+                    single = is_hot(keys & _LOW48)
                     if single.any():  # windows of hot keys go by their content
                         for j in np.flatnonzero(single):
                             keys[j] = int.from_bytes(hashlib.blake2b(segs[j][0], digest_size=8).digest(), "little")
                     b = _bucket(keys, buckets)
-                    order = np.lexsort(([x[2] for x in segs], [x[1] for x in segs], b))
+                    order = np.lexsort(([x[3] for x in segs], [x[1] for x in segs], b))
                     cuts = np.flatnonzero(np.r_[True, b[order][1:] != b[order][:-1]])
                     for s, e in zip(cuts, [*cuts[1:], len(order)]):
                         part = [segs[j] for j in order[s:e]]
                         # Of a key 32 bits are enough: keys that agree in them are sorted together, no more.
                         out.append((
                             int(b[order[s]]), zlib.compress(b"".join(x[0] for x in part), 6), _small([len(x[0]) for x in part]), _deltas(np.array([x[1] for x in part], np.int64)),
-                            _small([x[2] for x in part]), keys[order[s:e]].astype("<u4").tobytes()))
-                cols = list(zip(*out)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "texts", "sizes", "ids", "starts", "keys"])
+                            _small([x[2] for x in part]), _small([x[3] for x in part]), keys[order[s:e]].astype("<u4").tobytes()))
+                cols = list(zip(*out)) or [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "texts", "sizes", "ids", "parts", "starts", "keys"])
 
     return run
 
@@ -413,24 +420,23 @@ def repeated_windows(segments: list[bytes], owner: np.ndarray, group: np.ndarray
 
 def _spans(length: int):
     def run(_, tbl):
-        out_i, out_s, out_n = [], [], []
+        out_i, out_q, out_s, out_n = [], [], [], []
         known: dict[bytes, list] = {}
-        for texts, sizes, ids, starts, keys in zip(*(tbl.column(c).to_pylist() for c in ("texts", "sizes", "ids", "starts", "keys"))):
-            n, i, p = _unsmall(sizes), _undeltas(ids), _unsmall(starts)
+        for texts, sizes, ids, parts, starts, keys in zip(*(tbl.column(c).to_pylist() for c in ("texts", "sizes", "ids", "parts", "starts", "keys"))):
+            n, i, q, p = _unsmall(sizes), _undeltas(ids), _unsmall(parts), _unsmall(starts)
             if texts is None:
-                out_i.append(i)
-                out_s.append(p.astype(np.int64))
-                out_n.append(n.astype(np.int64))
+                for x, c in zip((out_i, out_q, out_s, out_n), (i, q, p, n)):
+                    x.append(c.astype(np.int64))
                 continue
             text, at = zlib.decompress(texts), 0
-            for size, doc, start, key in zip(n.tolist(), i.tolist(), p.tolist(), np.frombuffer(keys, "<u4").tolist()):
-                known.setdefault(text[at : at + size], [key]).append((doc, start))
+            for size, doc, part, start, key in zip(n.tolist(), i.tolist(), q.tolist(), p.tolist(), np.frombuffer(keys, "<u4").tolist()):
+                known.setdefault(text[at : at + size], [key]).append((doc, part, start))
                 at += size
         segments = list(known)
         owner = np.array([min(x[0] for x in v[1:]) for v in known.values()], np.int64)
-        more: list[tuple[int, int, int]] = []
+        more: list[tuple[int, int, int, int]] = []
         for seg, least in zip(segments, owner.tolist()):
-            more += [(doc, start, len(seg)) for doc, start in known[seg][1:] if doc > least]
+            more += [(doc, part, start, len(seg)) for doc, part, start in known[seg][1:] if doc > least]
         group = np.array([v[0] for v in known.values()], np.uint64)
         _, number, count = np.unique(group, return_inverse=True, return_counts=True) if len(group) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
         several = np.flatnonzero(count[number] > 1) if len(group) else np.zeros(0, np.int64)
@@ -447,12 +453,12 @@ def _spans(length: int):
                     cut = np.flatnonzero(np.r_[True, np.diff(offsets) > 1])
                     ends = offsets[np.r_[cut[1:] - 1, len(offsets) - 1]] + length
                     for at, end in zip(offsets[cut].tolist(), ends.tolist()):
-                        more += [(doc, start + at, end - at) for doc, start in known[segments[j]][1:] if doc == owner[j]]
+                        more += [(doc, part_, start + at, end - at) for doc, part_, start in known[segments[j]][1:] if doc == owner[j]]
         if more:
-            for x, c in zip((out_i, out_s, out_n), zip(*more)):
+            for x, c in zip((out_i, out_q, out_s, out_n), zip(*more)):
                 x.append(np.array(c, np.int64))
         flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"id": pa.array(flat(out_i), pa.int64()), "start": pa.array(flat(out_s), pa.int32()), "size": pa.array(flat(out_n), pa.int32())})
+        return pa.table({"id": pa.array(flat(out_i), pa.int64()), "part": pa.array(flat(out_q), pa.int32()), "start": pa.array(flat(out_s), pa.int32()), "size": pa.array(flat(out_n), pa.int32())})
 
     return run
 
@@ -482,16 +488,16 @@ def without_spans(texts: list[bytes], doc: np.ndarray, start: np.ndarray, size:
 
 
 def _apply(keep_text: bool):
-    def rows(ids: pa.Array, texts: list[bytes], doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    def rows(ids: pa.Array, carried: list[pa.Array], texts: list[bytes], doc: np.ndarray, start: np.ndarray, size: np.ndarray, names: list[str]) -> pa.RecordBatch:
         removed, begun, left = without_spans(texts, doc, start, size)
         kept = [x.decode("utf-8", "ignore") for x in left] if keep_text else [hashlib.sha256(x).hexdigest() for x in left]
         cols = [ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(begun, pa.int64()), pa.array(kept, pa.string())]
-        return pa.RecordBatch.from_arrays(cols, ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+        return pa.RecordBatch.from_arrays([*cols, *carried], ["id", "n_bytes", "n_removed", "n_spans", "kept", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in pieces(big, 1 << 20, "packed"):
-                ids, spans = batch.column(0), batch.column(2)
+                ids, spans, carried, names = batch.column(0), batch.column(2), batch.columns[3:], batch.schema.names[3:]
                 flat = spans.flatten()
                 start, size = (flat.field(k).to_numpy().astype(np.int64) for k in ("start", "size"))
                 lens = spans.value_lengths().fill_null(0).to_numpy().astype(np.int64)
@@ -502,32 +508,40 @@ def _apply(keep_text: bool):
                     total += len(texts[-1])
                     if total >= CUT_BYTES or k == batch.num_rows:
                         part = slice(at[begun], at[k])
-                        yield rows(ids.slice(begun, k - begun), texts, np.repeat(np.arange(k - begun), lens[begun:k]), start[part], size[part])
+                        own = [c.slice(begun, k - begun) for c in carried]
+                        yield rows(ids.slice(begun, k - begun), own, texts, np.repeat(np.arange(k - begun), lens[begun:k]), start[part], size[part], names)
                         texts, begun, total = [], k, 0
 
     return run
 
 
-def remove_repeats(df: DataFrame, length: int = LENGTH, keep_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept) for every row; kept is the text left (bytes of a cut character are dropped), or the SHA-256 of the bytes left."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+def remove_repeats(df: DataFrame, length: int = LENGTH, keep_text: bool = True, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept) for every row; kept is the text left (bytes of a cut character are dropped), or the SHA-256 of the bytes left. Columns to carry come after these, under their names."""
+    other = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)]
+    docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), *other)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields[2:]}
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(16, total // BUCKET_BYTES))
-    with_id = docs.where("id is not null and id >= 0")
-    if docs.where("id < 0").limit(1).count():
-        raise ValueError("ids must not be negative")
-    keys = with_id.mapInArrow(_keys(length, buckets), KEY_ROWS)
-    repeated = materialise(keys.groupBy("bucket").applyInArrow(_repeated, "id long, key long, docs long"), "keys")
-    bound = max(HOT_LEAST, total // (10 * HOT_KEYS))
-    hot = np.array([r["key"] for r in repeated.where((F.col("id") == -1) & (F.col("docs") >= bound)).select("key").collect()], np.int64).view(np.uint64)
-    told = repeated.where("id >= 0").groupBy("id").agg(F.collect_list("key").alias("keys"))
-    packed = docs.mapInArrow(_pack, "id long, packed binary").where("id is not null")  # both joins read one exchange of it
-    found = packed.join(told, "id").select("id", "packed", "keys").mapInArrow(_segments(length, buckets, hot), SEGMENT_ROWS)
-    spans = found.groupBy("bucket").applyInArrow(_spans(length), "id long, start int, size int")
-    each = spans.groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    without = docs.where("id is null").mapInArrow(_pack, "id long, packed binary").select("id", "packed", F.lit(None).cast("array<struct<start:int,size:int>>").alias("spans"))
-    both = packed.join(each, "id", "left").select("id", "packed", "spans").union(without)
-    return both.mapInArrow(_apply(keep_text), "id long, n_bytes long, n_removed long, n_spans long, kept string")
+    # Texts of one id are told apart by a hash, which is 0 for the ids (usually all) that have one text.
+    told_apart = docs.select("id", F.xxhash64("text").alias("h")).groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("id is not null and a <> b").select(F.col("id").alias("several"))
+    part = F.lit(0)
+    if told_apart.limit(1).count():
+        docs = docs.join(told_apart, F.col("id") == F.col("several"), "left")
+        part = F.when(F.col("several").isNotNull(), F.pmod(F.xxhash64("text"), F.lit((1 << 31) - 1)).cast("int")).otherwise(0)
+    docs = docs.select("id", "text", part.alias("part"), *kinds)
+    with_id = docs.where("id is not null")
+    repeated = materialise(with_id.select("id", "text").mapInArrow(_keys(length, buckets), KEY_ROWS).groupBy("bucket").applyInArrow(_repeated, "id long, key long, docs long"), "keys")
+    hot = bit_table(repeated.where("docs > 0").select("key"), min(HOT_BITS[1], max(HOT_BITS[0], 1 << (total // 64).bit_length())))
+    told = repeated.where("docs = 0").groupBy("id").agg(F.collect_list("key").alias("keys"))
+    more = "".join(f", {n} {k}" for n, k in kinds.items())
+    packed = docs.mapInArrow(_pack, f"id long, part int{more}, packed binary").where("id is not null")  # both joins read one exchange of it
+    found = packed.join(told, "id").select("id", "part", "packed", "keys").mapInArrow(_segments(length, buckets, hot), SEGMENT_ROWS)
+    spans = found.groupBy("bucket").applyInArrow(_spans(length), "id long, part int, start int, size int")
+    each = spans.groupBy("id", "part").agg(F.collect_list(F.struct("start", "size")).alias("spans")).withColumnRenamed("part", "of")
+    without = docs.where("id is null").mapInArrow(_pack, f"id long, part int{more}, packed binary").select("id", "packed", F.lit(None).cast("array<struct<start:int,size:int>>").alias("spans"), *kinds)
+    both = packed.join(each.withColumnRenamed("id", "its"), (F.col("id") == F.col("its")) & (F.col("part") == F.col("of")), "left").select("id", "packed", "spans", *kinds).union(without)
+    out = both.mapInArrow(_apply(keep_text), f"id long, n_bytes long, n_removed long, n_spans long, kept string{more}")
+    return out.select("id", "n_bytes", "n_removed", "n_spans", "kept", *[F.col(k).alias(c) for k, c in zip(kinds, carry)])
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
