@@ -2,7 +2,7 @@
 
 Two documents link when their sets of distinct shingles have |A & B| * 100 >= 90 * |A | B|.
 
-1. A first pass counts, in a hashed table of fixed size, in how many documents each shingle
+1. A first pass counts, in a hashed table of bounded size, in how many documents each shingle
    occurs. The counts only order the shingles (rare ones first); any order is correct.
 2. A second pass keeps of each document its set size, a 128-bit fingerprint of the set, its
    prefix (the rarest n - ceil(0.9 n) + 1 shingles: documents that link share one of theirs)
@@ -12,17 +12,21 @@ Two documents link when their sets of distinct shingles have |A & B| * 100 >= 90
 4. Representatives that share a prefix shingle, fit by size and position and aren't in one
    component yet are compared if their prefixes share as many shingles as the overlap needs
    (the whole prefixes are compared; only the first shared shingle must leave room for the
-   whole overlap). Pairs within a component add nothing, so a group of near
-   copies doesn't cost its square, and no link between components is lost.
+   whole overlap). Shingles that only one component holds are left out before they are
+   joined, and pairs within a component add nothing; no link between components is lost.
 5. Comparing is a T-occurrence search: the shingles of a query document are inverted lists
    over its candidates; the short ones are merged by a heap, the long ones probed by binary
    search (DivideSkip), and candidates that reach the required overlap are retained.
 
 Hot keys: shingles meet in an equi-join that Spark splits where a shingle is hot; a
 query with many candidates is cut into blocks; class members meet representatives through an
-equi-join of the same kind. Nothing but the count table reaches the driver.
+equi-join of the same kind. Nothing but the count table and the bit table of wanted ids reaches the driver.
 
-Defined results: null text counts as empty; a text without words has the empty set and
+Shingles are told apart by 64-bit hashes and equal sets by 128 bits: "exact" holds but for a
+collision of these, which no text of a corpus meets by chance (2^-64 a pair of shingles).
+
+Defined results (near_components; one_of_each says how it treats unclear ids): null text counts as empty; rows that share an id should share their text, else links
+of either may be found under it; a null id takes part in its class but names nothing; a text without words has the empty set and
 links with nothing (its component is itself); under `width` words the whole sequence is the one
 shingle; rows that repeat (and equal texts) are one class; an empty table gives an empty one; other
 columns are ignored.
@@ -41,10 +45,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.shared import components, materialise, pieces, table, text_or_empty
+from alphaloom.llm.shared import bit_slots, bit_table, components, materialise, pieces, table, text_or_empty
 
 WIDTH, PERCENT = 3, 90
-COUNTERS, CHUNKS = 1 << 20, 64
+#: Counters by the bytes of all texts, between two bounds; parts in which they are added up.
+COUNTERS, CHUNKS = (1 << 20, 1 << 24), 64
+#: Bits of the table that tells which documents a comparison may need, by their number, between two bounds (2 and 64 MB).
+FILTER_BITS = (1 << 24, 1 << 29)
 MINIMA = 4
 #: Most candidates in one block of a query.
 BLOCK = 64
@@ -98,15 +105,15 @@ def _bytes(col: pa.Array) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in col.to_pylist()]
 
 
-def _count(width: int):
+def _count(width: int, counters: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts = np.zeros(COUNTERS, np.uint32)
+        counts = np.zeros(counters, np.uint32)
         for big in batches:
             for batch in pieces(big, 1 << 20):
                 sets = shingle_sets(_bytes(batch.column(0)), width)
-                np.add.at(counts, (np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+                np.add.at(counts, (np.concatenate(sets) & np.uint64(counters - 1)).astype(np.int64), 1)
         ctx = TaskContext.get()
         part = ctx.partitionId() if ctx else 0
         rows = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, CHUNKS)]
@@ -116,20 +123,21 @@ def _count(width: int):
 
 
 def _sum_counts(key, tbl):
-    total = np.zeros(COUNTERS // CHUNKS, np.uint64)
+    total = 0
     for b in tbl.column("counts").to_pylist():
-        part = np.frombuffer(zlib.decompress(b), np.uint32)
-        total += part
+        total = total + np.frombuffer(zlib.decompress(b), np.uint32).astype(np.uint64)
     total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
     return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def frequency_classes(df: DataFrame, width: int = WIDTH, text_col: str = "text") -> np.ndarray:
-    """For each counter the binary order of magnitude of its count; a table of fixed size."""
+    """For each counter the order of magnitude of its count; a table between two fixed sizes (1 and 16 MB)."""
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    counters = min(COUNTERS[1], max(COUNTERS[0], 1 << (size // 1024).bit_length()))
     kind = "chunk int, salt int, counts binary"
-    parts = df.select(text_or_empty(text_col).alias("text")).mapInArrow(_count(width), kind)
+    parts = df.select(text_or_empty(text_col).alias("text")).mapInArrow(_count(width, counters), kind)
     rows = parts.groupBy("chunk", "salt").applyInArrow(_sum_counts, kind).groupBy("chunk").applyInArrow(_sum_counts, kind).collect()
-    out = np.zeros(COUNTERS, np.uint8)
+    out = np.zeros(counters, np.uint8)
     for r in rows:
         c = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
         out[r["chunk"] * len(c) : (r["chunk"] + 1) * len(c)] = np.round(4 * np.log2(c.astype(np.float64) + 1))
@@ -160,7 +168,7 @@ def _sketch(width: int, percent: int, classes: np.ndarray):
                         least.append([])
                         continue
                     keep = len(s) - _least_overlap(len(s), percent) + 1
-                    rank = classes[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                    rank = classes[(s & np.uint64(len(classes) - 1)).astype(np.int64)]
                     prefix.append(s[np.lexsort((s, rank))[:keep]].view(np.int64))
                     least.append([_mixed(s, 21 + k).min().astype(np.int64) for k in range(MINIMA)])
                 longs = lambda x: pa.array(x, pa.list_(pa.int64()))
@@ -235,7 +243,7 @@ def _pack(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in pieces(big):
-                slot = _slots(batch.column(0).to_numpy())
+                slot = bit_slots(batch.column(0).to_numpy(), len(bits) * 8)
                 batch = batch.filter(pa.array(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 == 1))
                 packed = [zlib.compress(t, 1) for t in _bytes(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
@@ -243,46 +251,14 @@ def _pack(bits: np.ndarray):
     return run
 
 
-#: Bits of the table that tells which documents a comparison may need; its size doesn't depend on the input.
-FILTER_BITS = 1 << 24
-
-
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return (_mixed(ids.view(np.uint64), 31) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    bits = np.zeros(FILTER_BITS, bool)
-    for batch in batches:
-        bits[_slots(batch.column(0).to_numpy())] = True
-    ctx = TaskContext.get()
-    part = ctx.partitionId() if ctx else 0
-    yield pa.RecordBatch.from_arrays([pa.array([part % 64], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["salt", "bits"])
-
-
-def _either(key, tbl):
-    total = np.zeros(FILTER_BITS // 8, np.uint8)
-    for b in tbl.column("bits").to_pylist():
-        total |= np.frombuffer(zlib.decompress(b), np.uint8)
-    return pa.table({"salt": pa.array([0], pa.int32()), "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-
-def wanted_bits(ids: DataFrame) -> np.ndarray:
-    """A table of fixed size that is set for every id in a one-column table (and for few others, while these are few)."""
-    kind = "salt int, bits binary"
-    rows = ids.mapInArrow(_mark, kind).groupBy("salt").applyInArrow(_either, kind).groupBy("salt").applyInArrow(_either, kind).collect()
-    return np.frombuffer(zlib.decompress(bytes(rows[0]["bits"])), np.uint8) if rows else np.zeros(FILTER_BITS // 8, np.uint8)
-
-
 def linked_pairs(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Those of the (a, b) pairs whose documents link. texts: (id, text) with one row for each id in pairs."""
     pairs = materialise(pairs, "pairs")  # read several times below
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
+    size = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (16 * pairs.count()).bit_length()))
     blocks = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / BLOCK)).alias("block"), F.col("b").alias("id"))
     wanted = blocks.union(blocks.select("a", "block", F.col("a").alias("id")).distinct())
-    bits = wanted_bits(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    bits = bit_table(pairs.select(F.explode(F.array("a", "b")).alias("id")), size)
     packed = texts.where("id is not null").mapInArrow(_pack(bits), "id long, packed binary")
     return wanted.join(packed, "id").groupBy("a", "block").applyInArrow(_compare(width, percent), "a long, b long")
 
@@ -307,6 +283,9 @@ def near_components(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, i
     joined = components(first)
     # What shares a prefix shingle across components, with room left for the required overlap.
     tagged = own.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("c"), F.posexplode("prefix").alias("p", "t"))
+    # A shingle that one component alone holds can link nothing new; the count combines before its shuffle, which is the one that the join needs anyway.
+    spread = tagged.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t")
+    tagged = materialise(tagged.join(spread, "t", "left_semi"), "prefixes")
     x = tagged.select("t", *[F.col(k).alias(f"{k}1") for k in ("id", "n", "c", "p")])
     y = tagged.select("t", *[F.col(k).alias(f"{k}2") for k in ("id", "n", "c", "p")])
     need = F.floor((percent * (F.col("n1") + F.col("n2")) + 99 + percent) / (100 + percent))
@@ -324,5 +303,30 @@ def near_components(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, i
     return named.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
+#: Ids (16 MB) up to which the rows to drop are broadcast, after they have been counted.
+BROADCAST_IDS = 2_000_000
+
+
+def one_of_each(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that stand for their component: that with the smallest id of each, all columns.
+
+    Where ids repeat or are null, rows are numbered in the order of id (null last) and text for this,
+    so of rows with one id and different texts each is judged by its own text, and of equal rows one stays.
+    """
+    own = [f"c{k}" for k in range(len(df.columns))]
+    key, text = F.col(own[df.columns.index(id_col)]), F.col(own[df.columns.index(text_col)])
+    d = df.toDF(*own)
+    unclear = d.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or k is null").limit(1).count()
+    if unclear:
+        order = [key.asc_nulls_last(), F.xxhash64(text), text]
+        d = materialise(d.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    else:
+        d = d.withColumn("row", key.cast("long"))
+    text_name = own[df.columns.index(text_col)]
+    gone = materialise(near_components(d, width, percent, "row", text_name).where("id <> component_id").select(F.col("id").alias("gone")), "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return d.join(side, F.col("row") == F.col("gone"), "left_anti").select(*[F.col(k).alias(c) for c, k in zip(df.columns, own)])
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
