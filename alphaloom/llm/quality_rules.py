@@ -56,10 +56,12 @@ def boilerplate_lines(df: DataFrame, host_col: str = "source", text_col: str = "
     return above.groupBy("host").agg(F.array_sort(F.collect_list("line")).alias("common"))
 
 
-def base_features(df: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines): lines holds (hash, words) of each line with words."""
+def base_features(df: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines): lines holds (hash, words) of each line with words. Carried columns follow as c0, c1, ..."""
+    own = [f"c{k}" for k in range(len(carry))]
     d = df.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("t"),
+        *[F.col(f"`{c}`").alias(k) for c, k in zip(carry, own)])
     d = d.withColumn("words", F.regexp_extract_all("t", F.lit(WORD), 0)).withColumn("normal", _normal_lines(F.col("t")))
     d = d.withColumn("raw", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD)))
     n = F.size("words")
@@ -69,7 +71,7 @@ def base_features(df: DataFrame, id_col: str = "doc_id", host_col: str = "source
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("raw") - F.size(F.array_distinct("raw"))).cast("long").alias("n_dup_lines"),
         F.filter(F.transform("normal", lambda x: F.struct(F.when(x != "", F.xxhash64(x)).alias("h"), _counted(x).alias("w"))), lambda x: x["w"] > 0).alias("lines"),
-        F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(5)]))).otherwise(F.array().cast("array<long>")).alias("grams"))
+        F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(5)]))).otherwise(F.array().cast("array<long>")).alias("grams"), *own)
     # Only texts that repeat a window need the positions: sort (hash, position), keep those with an equal neighbour, add up what they newly cover.
     repeats = F.size(F.array_distinct("grams")) < F.size("grams")
     placed = F.when(repeats, F.sort_array(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -83,30 +85,52 @@ def base_features(df: DataFrame, id_col: str = "doc_id", host_col: str = "source
     return d.withColumn("n_repeat_words", F.when(F.spark_partition_id() >= 0, F.coalesce(covered, F.lit(0).cast("long")))).drop("at")
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS,
-                  share_percent: int = SHARE_PERCENT, min_words: int = MIN_WORDS, left_percent: int = LEFT_PERCENT, common: DataFrame | None = None) -> DataFrame:
-    """(id, counts, base_failed, n_lines_removed, words_left, kept) for every row of df; common: a table of boilerplate_lines(), by default df's own."""
-    common = boilerplate_lines(df, host_col, text_col, min_docs, share_percent) if common is None else common
-    d = base_features(df, id_col, host_col, text_col).join(common, "host", "left")
-    stays = F.filter("lines", lambda x: ~F.coalesce(F.array_contains(F.col("common"), x["h"]), F.lit(False)))
+def _judged(df: DataFrame, id_col: str, host_col: str, text_col: str, min_words: int, left_percent: int, common: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """base_features() of df beside its host's boilerplate lines (common), with words_left, removed, base_failed and kept."""
+    d = base_features(df, id_col, host_col, text_col, carry).join(common, "host", "left")
+    known = F.map_from_arrays("common", F.transform("common", lambda _: F.lit(True)))  # a look-up by hash, not a scan of the list for each line
+    d = d.withColumn("known", F.when(F.col("common").isNotNull(), known))
+    stays = F.when(F.col("known").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: F.col("known")[x["h"]].isNull()))
     total = F.aggregate("lines", F.lit(0), lambda a, x: a + x["w"])
     d = d.withColumn("stays", stays).withColumn("words_left", F.aggregate("stays", F.lit(0), lambda a, x: a + x["w"])).withColumn("total", total)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     enough = (F.col("words_left") >= min_words) & (100 * F.col("words_left") >= left_percent * F.col("total"))
+    return d.withColumn("removed", (F.size("lines") - F.size("stays")).cast("long")).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & enough)
+
+
+def quality_rules(df: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS,
+                  share_percent: int = SHARE_PERCENT, min_words: int = MIN_WORDS, left_percent: int = LEFT_PERCENT, common: DataFrame | None = None) -> DataFrame:
+    """(id, counts, base_failed, n_lines_removed, words_left, kept) for every row of df; common: a table of boilerplate_lines(), by default df's own."""
+    common = boilerplate_lines(df, host_col, text_col, min_docs, share_percent) if common is None else common
+    d = _judged(df, id_col, host_col, text_col, min_words, left_percent, common)
     return d.select(
-        "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (F.size("lines") - F.size("stays")).cast("long").alias("n_lines_removed"), F.col("words_left").cast("long").alias("words_left"), (~failed & enough).alias("kept"))
+        "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        F.col("removed").alias("n_lines_removed"), F.col("words_left").cast("long").alias("words_left"), "kept")
+
+
+def _without_lines(text: Column, common: Column) -> Column:
+    """text without the lines whose hashes are in common."""
+    pairs = F.arrays_zip(F.split(text, "\n", -1).alias("raw"), _hashes(_normal_lines(text)).alias("h"))
+    left = F.filter(pairs, lambda x: ~F.coalesce(F.array_contains(common, x["h"]), F.lit(False)))
+    return F.array_join(F.transform(left, lambda x: x["raw"]), "\n")
+
+
+def passed(df: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS,
+           share_percent: int = SHARE_PERCENT, min_words: int = MIN_WORDS, left_percent: int = LEFT_PERCENT, common: DataFrame | None = None) -> DataFrame:
+    """The rows of df that the rules keep, all columns, boilerplate lines taken out of their texts. Verdict and removal go by one set of lines, in one pass that needs no row's id."""
+    common = boilerplate_lines(df, host_col, text_col, min_docs, share_percent) if common is None else common
+    d = _judged(df, id_col, host_col, text_col, min_words, left_percent, common, tuple(df.columns)).where("kept")
+    cut = lambda c: F.when(F.col("removed") > 0, _without_lines(F.col(c), F.col("common"))).otherwise(F.col(c))
+    return d.select(*[(cut(f"c{k}") if c == text_col else F.col(f"c{k}")).alias(c) for k, c in enumerate(df.columns)])
 
 
 def without_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS, share_percent: int = SHARE_PERCENT, common: DataFrame | None = None) -> DataFrame:
-    """df with the lines above the limits taken out of its texts (null texts stay null), all columns kept; common as in quality_rules()."""
+    """df with the lines above the limits taken out of its texts (null texts stay null), all columns kept, whatever their names; common as in quality_rules()."""
     common = boilerplate_lines(df, host_col, text_col, min_docs, share_percent) if common is None else common
-    common = common.select(F.col("host").alias("_host"), F.col("common").alias("_common"))
-    d = df.withColumn("_key", F.coalesce(F.col(host_col).cast("string"), F.lit(""))).join(common, F.col("_key") == F.col("_host"), "left")
-    pairs = F.arrays_zip(F.split(text_col, "\n", -1).alias("raw"), _hashes(_normal_lines(F.col(text_col))).alias("h"))
-    left = F.filter(pairs, lambda x: ~F.coalesce(F.array_contains(F.col("_common"), x["h"]), F.lit(False)))
-    text = F.when(F.col("_common").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda x: x["raw"]), "\n"))
-    return d.withColumn(text_col, text).drop("_key", "_host", "_common")
+    own = [f"c{k}" for k in range(len(df.columns))]
+    d = df.toDF(*own).withColumn("key", F.coalesce(F.col(own[df.columns.index(host_col)]).cast("string"), F.lit(""))).join(common, F.col("key") == F.col("host"), "left")
+    cut = lambda t: F.when(F.col("common").isNull() | t.isNull(), t).otherwise(_without_lines(t, F.col("common")))
+    return d.select(*[(cut(F.col(k)) if c == text_col else F.col(k)).alias(c) for c, k in zip(df.columns, own)])
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
