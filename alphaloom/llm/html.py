@@ -6,24 +6,31 @@ differing texts become a text slot, siblings of one shape a repeated group, sibl
 that alternate (up to three kinds) a repeated group of several, and what only one
 side has an optional group. Wrappers align with wrappers in the same way, so each task
 folds its pages into one wrapper a host, and these are merged in two rounds: all pages
-count, no host is gathered in one task, and only wrappers (whose size doesn't grow
-with the number of pages) are shuffled.
-
-Extraction. A wrapper tells a host's template from its content: texts that never vary over
-three or more pages while others vary are template outside the article's own paragraphs. The article is the largest
-article or main element (else the body), without menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments, told by element, role, class and id.
-Inside it, block elements and line breaks separate blocks, character references are
-decoded, and white space within a block is one space.
+count, no host is gathered in one task, and only wrappers are shuffled. In a wide sequence
+optional parts of one kind between two parts that every page has become one repeated group, so
+a wrapper grows with the kinds of parts, not with the number of pages, and forgets no part.
+
+Extraction. A wrapper tells a host's template from its content: a text that never varies over
+three or more pages while others vary is template, wherever it stands, and a slot knows how much text
+it took on all pages. Each page is aligned with its host's wrapper, and its article is the
+element that matches the deepest part that holds most of the text of all slots (links count as
+no text). Blocks whose texts the alignment shows as fixed go. Where the wrapper can't tell (a host
+of one or two pages, a page that doesn't match), the article is the largest article or main
+element, else the body. Within it, menus, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+comments are told by element, role, class and id, unless such a part holds most of the text itself.
+Block elements and line breaks separate blocks, character references are decoded, and white space
+within a block is one space.
 
 Defined results: null html counts as empty and gives an empty text; a null or host-less
 URL is the host ''; rows that repeat give repeated results; an empty table gives an empty one;
-other columns are ignored. Nothing is cut from long pages.
+other columns are ignored. Nothing is cut from long pages. Alignment isn't associative, so a wrapper may
+differ in detail with the partitioning of the pages.
 """
 
 from __future__ import annotations
 
 import html as entities
+import difflib
 import json
 import re
 from collections.abc import Iterator
@@ -49,8 +56,12 @@ ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "form
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(hidden)(?=[\s/>]|$)", re.I)
 SPACE = re.compile(r"\s+")
-#: Widest sequence of optional parts that a wrapper keeps; below a wider one it only knows "anything".
-WIDEST = 200
+#: Sequences longer than this have the optional parts of one kind folded into one group.
+WIDE = 60
+#: Cells of an alignment's table, beyond which matching blocks stand in for the longest common subsequence.
+CELLS = 250_000
+#: Pages that must agree before a text is template, and the share of the text of all slots that the article's part holds at least.
+AGREE, MOST = 3, 0.6
 
 
 #: Elements nested deeper than this become siblings, as in browsers; their text stays.
@@ -133,6 +144,9 @@ def attributes(node: Node) -> dict[str, str]:
     return {(m[1] or m[3]).lower(): (m[2] or "").strip("\"'") for m in ATTR.finditer(node.attrs)}
 
 
+HEADINGS = set("h1 h2 h3 h4 h5 h6 header hgroup".split())
+
+
 def excluded(node: Node, in_article: bool) -> bool:
     """Whether an element is no part of the article's text."""
     if node.tag in NEVER or node.tag == "header" and not in_article:
@@ -142,24 +156,35 @@ def excluded(node: Node, in_article: bool) -> bool:
     a = attributes(node)
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
+    if node.tag in HEADINGS and in_article:  # an entry's own header is part of it, whatever it is called
+        return False
     named = f"{a.get('class', '')} {a.get('id', '')}"
     return node.tag not in ("html", "body", "main", "article") and bool(PARTS.search(named)) or node.tag == "article" and bool(re.search(r"(?:^|[\s_-])(?:comment|comments|reply|related|teaser|promo)(?:$|[\s_-])", named, re.I))
 
 
-# --- wrappers: [key, optional, repeated, pages, fixed text or None, parts]; key '#' is a text, '*' a group of several.
+# --- wrappers: [key, optional, repeated, pages, fixed text or None, parts, characters]; key '#' is a text, '*' a group of several.
 
-KEY, OPT, REP, SEEN, TEXT, KIDS = range(6)
+KEY, OPT, REP, SEEN, TEXT, KIDS, MASS = range(7)
 
 
-def _shape(node, depth: int = 0) -> list:
+def _key(node) -> str:
     if isinstance(node, str):
-        return ["#", 0, 0, 1, SPACE.sub(" ", node).strip(), []]
-    a = attributes(node) if node.attrs and node.tag not in ("a", "img", "link", "meta", "script") else {}
-    key = node.tag + ("." + re.sub(r"\d+", "0", a["class"].split()[0]) if a.get("class", "").split() else "")
-    if node.tag in RAW or depth > 60:
-        return [key, 0, 0, 1, None, []]
-    kids = [_shape(k, depth + 1) for k in node.kids if not isinstance(k, str) or k.strip()]
-    return [key, 0, 0, 1, None, _grouped(kids)]
+        return "#"
+    named = attributes(node).get("class", "").split() if node.attrs and node.tag not in ("a", "img", "link", "meta", "script") else []
+    return node.tag + ("." + re.sub(r"\d+", "0", named[0]) if named else "")
+
+
+def _parts(node: Node) -> list:
+    """The children that take part in an alignment."""
+    return [] if node.tag in RAW else [k for k in node.kids if not isinstance(k, str) or k.strip()]
+
+
+def _shape(node, linked: bool = False) -> list:
+    if isinstance(node, str):
+        text = SPACE.sub(" ", node).strip()
+        return ["#", 0, 0, 1, text, [], 0 if linked else len(text)]
+    kids = [_shape(k, linked or node.tag == "a") for k in _parts(node)]
+    return [_key(node), 0, 0, 1, None, _grouped(kids), 0]
 
 
 def _grouped(seq: list) -> list:
@@ -187,7 +212,7 @@ def _grouped(seq: list) -> list:
                 parts = rows[0]
                 for row in rows[1:]:
                     parts = [merge(x, y, again=True) for x, y in zip(parts, row)]
-                out.append(["*" + "+".join(keys), 0, 1, 1, None, parts])
+                out.append(["*" + "+".join(keys), 0, 1, 1, None, parts, 0])
             i += n * width
         seq = out
     return seq
@@ -196,34 +221,68 @@ def _grouped(seq: list) -> list:
 def merge(a: list, b: list, again: bool = False) -> list:
     """Align two wrappers of one key; again: both come from one page, which then counts once."""
     text = a[TEXT] if a[TEXT] == b[TEXT] else None
-    return [a[KEY], a[OPT] | b[OPT], a[REP] | b[REP], max(a[SEEN], b[SEEN]) if again else a[SEEN] + b[SEEN], text, _aligned(a[KIDS], b[KIDS], again)]
+    return [a[KEY], a[OPT] | b[OPT], a[REP] | b[REP], max(a[SEEN], b[SEEN]) if again else a[SEEN] + b[SEEN], text, _aligned(a[KIDS], b[KIDS], again), a[MASS] + b[MASS]]
+
+
+def _common(ka: list[str], kb: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of two lists of keys (of a long one, where both are long)."""
+    lo, hi = 0, 0
+    while lo < min(len(ka), len(kb)) and ka[lo] == kb[lo]:
+        lo += 1
+    while hi < min(len(ka), len(kb)) - lo and ka[-1 - hi] == kb[-1 - hi]:
+        hi += 1
+    x, y = ka[lo : len(ka) - hi], kb[lo : len(kb) - hi]
+    found = [(k, k) for k in range(lo)]
+    if len(x) * len(y) > CELLS:
+        for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks():
+            found += [(lo + m.a + k, lo + m.b + k) for k in range(m.size)]
+    elif x and y:
+        table_ = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                table_[i][j] = table_[i + 1][j + 1] + 1 if x[i] == y[j] else max(table_[i + 1][j], table_[i][j + 1])
+        i = j = 0
+        while i < len(x) and j < len(y):
+            if x[i] == y[j]:
+                found.append((lo + i, lo + j))
+                i, j = i + 1, j + 1
+            elif table_[i + 1][j] >= table_[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    return found + [(len(ka) - k, len(kb) - k) for k in range(hi, 0, -1)]
 
 
 def _aligned(a: list, b: list, again: bool) -> list:
-    """Align two sequences by a longest common subsequence of keys; what only one has becomes optional."""
+    """Align two sequences; what only one has becomes optional."""
     if not a and not b:
         return []
-    ka, kb = [x[KEY] for x in a], [x[KEY] for x in b]
-    if ka == kb:
-        return [merge(x, y, again) for x, y in zip(a, b)]
-    if ka == ["?"] or kb == ["?"]:
-        return [["?", 1, 1, 1, None, []]]
-    table_ = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table_[i][j] = table_[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(table_[i + 1][j], table_[i][j + 1])
+    optional = lambda x: [*x[:OPT], 1, *x[REP:]]
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and ka[i] == kb[j]:
-            out.append(merge(a[i], b[j], again))
-            i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and table_[i + 1][j] >= table_[i][j + 1]:
-            out.append([*a[i][:OPT], 1, *a[i][REP:]])
-            i += 1
+    for m, n in [*_common([x[KEY] for x in a], [x[KEY] for x in b]), (len(a), len(b))]:
+        out += [*map(optional, a[i:m]), *map(optional, b[j:n])]
+        if m < len(a):
+            out.append(merge(a[m], b[n], again))
+        i, j = m + 1, n + 1
+    return _folded(out) if len(out) > WIDE else out
+
+
+def _folded(seq: list) -> list:
+    """Optional parts of one key between two parts that aren't optional as one repeated group."""
+    out: list = []
+    place: dict[str, int] = {}
+    for x in seq:
+        if not x[OPT]:
+            place.clear()
+            out.append(x)
+        elif x[KEY] in place:
+            at = place[x[KEY]]
+            out[at] = merge(out[at], x, again=True)
+            out[at][REP] = 1
         else:
-            out.append([*b[j][:OPT], 1, *b[j][REP:]])
-            j += 1
-    return out if len(out) <= WIDEST else [["?", 1, 1, 1, None, []]]
+            place[x[KEY]] = len(out)
+            out.append(x)
+    return out
 
 
 def wrapper_of(page: str) -> list:
@@ -239,18 +298,89 @@ def expression(w: list) -> str:
     return f"({body}){'+' if w[REP] else ''}{'?' if w[OPT] else ''}" if w[REP] or w[OPT] else body
 
 
+class Template:
+    """What a wrapper says of its host: which part is the article, and which texts are fixed."""
+
+    def __init__(self, w: list):
+        self.wrapper = w
+        slots, todo = 0, [w]
+        while todo:
+            x = todo.pop()
+            slots += x[KEY] == "#" and x[TEXT] is None
+            todo += x[KIDS]
+        self.tells = w[SEEN] >= AGREE and slots >= 2
+        self.path = self._path() if self.tells else []
+
+    def _path(self) -> list[list]:
+        """The parts from the root down to the deepest one, repeated by no page, that holds most of the text of all slots."""
+        mass: dict[int, int] = {}
+
+        def weigh(x: list) -> int:
+            own = x[MASS] if x[KEY] == "#" and not self.fixed(x) else 0
+            mass[id(x)] = own + sum(map(weigh, x[KIDS]))
+            return mass[id(x)]
+
+        every, here, path = weigh(self.wrapper), self.wrapper, []
+        while every:
+            most = max((k for k in here[KIDS] if k[KEY][0] not in "#*"), key=lambda k: mass[id(k)], default=None)
+            if most is None or most[REP] or most[KEY].split(".")[0] in OWN or mass[id(most)] < MOST * every:
+                break
+            path.append(most)
+            here = most
+        return path
+
+    def fixed(self, part: list) -> bool:
+        return part[TEXT] is not None and part[SEEN] >= AGREE and not part[OPT]
+
+    def matches(self, node: Node, part: list) -> list[tuple[object, list]]:
+        """A node's children with the parts of the wrapper they match; a repeated part matches several."""
+        own = _parts(node)
+        flat = [y for x in part[KIDS] for y in (x[KIDS] if x[KEY][0] == "*" else [x])]
+        again = [bool(x[REP]) for x in part[KIDS] for _ in (x[KIDS] if x[KEY][0] == "*" else [x])]
+        keys, out, j = [x[KEY] for x in flat], [], 0
+        if not any(again) and keys == [_key(k) for k in own]:
+            return list(zip(own, flat))
+        for k in own:
+            key = _key(k)
+            at = next((n for n in range(j, len(keys)) if keys[n] == key), None)
+            if at is None:  # back to the last repeated part of that key, if any: groups alternate
+                at = next((n for n in range(min(j, len(keys)) - 1, -1, -1) if keys[n] == key and again[n]), None)
+                if at is None:
+                    continue
+            out.append((k, flat[at]))
+            j = at if again[at] else at + 1
+        return out
+
+    def article(self, root: Node) -> tuple[Node | None, list | None]:
+        """The element of a page that is the article, with its part."""
+        here, part = root, self.wrapper
+        for wanted in self.path:
+            here = next((k for k, x in self.matches(here, part) if x is wanted and not isinstance(k, str)), None)
+            if here is None:
+                return None, None
+            part = wanted
+        return (here, part) if self.path else (None, None)
+
+    def fixed_texts(self, node: Node, part: list, out: set[int]) -> set[int]:
+        """Of a matched element, the ids of its text's elements and positions that are template."""
+        for k, x in self.matches(node, part):
+            if isinstance(k, str):
+                if self.fixed(x) and SPACE.sub(" ", k).strip() == x[TEXT]:
+                    out.add(id(k))
+            else:
+                self.fixed_texts(k, x, out)
+        return out
+
+
 def template_texts(w: list) -> set[str]:
     """Texts that never vary over three or more pages, if the host has texts that do vary."""
-    fixed, varies, todo = set(), 0, [w]
+    t, found, todo = Template(w), set(), [w]
     while todo:
         x = todo.pop()
-        if x[KEY] == "#":
-            if x[TEXT] is None:
-                varies += 1
-            elif x[SEEN] >= 3 and not x[OPT] and x[TEXT]:
-                fixed.add(x[TEXT])
+        if x[KEY] == "#" and t.tells and t.fixed(x) and x[TEXT]:
+            found.add(x[TEXT])
         todo += x[KIDS]
-    return fixed if varies >= 2 else set()
+    return found
 
 
 # --- extraction
@@ -268,33 +398,64 @@ def _weight(node: Node, in_article: bool) -> int:
     return n
 
 
+def _bulk(node: Node) -> int:
+    """Characters of all text but that of links and raw elements."""
+    n, todo = 0, [node]
+    while todo:
+        x = todo.pop()
+        if x.tag in RAW or x.tag == "a":
+            continue
+        for k in x.kids:
+            if isinstance(k, str):
+                n += len(k.strip())
+            else:
+                todo.append(k)
+    return n
+
+
 def _find(node: Node, tags: set[str], out: list) -> list:
     for k in node.kids:
         if not isinstance(k, str):
             if k.tag in tags or k.attrs and attributes(k).get("role") in tags:
                 if not excluded(k, False):
                     out.append(k)
-            elif not (k.tag in NEVER):
+            elif not (k.tag in NEVER) or k.tag == "form":
                 _find(k, tags, out)
     return out
 
 
-def main_text(page: str, template: set[str] = frozenset()) -> str:
+def main_text(page: str, template: Template | None = None) -> str:
     """Text of a page's article: blocks in page order, one a line."""
     root = parse(page)
-    found = _find(root, {"article"}, []) or _find(root, {"main"}, [])
-    top = max(found, key=lambda x: _weight(x, True)) if found else root
+    top, part = template.article(root) if template is not None and template.tells else (None, None)
+    fixed: set[int] = template.fixed_texts(top, part, set()) if top is not None else set()
+    found = top is not None
+    if top is None:
+        parts = _find(root, {"article"}, []) or _find(root, {"main"}, [])
+        found = bool(parts)
+        top = max(parts, key=lambda x: _weight(x, True)) if parts else root
     blocks: list[str] = []
-    part: list[str] = []
-    own = [False]
+    line: list[str] = []
+    varies = [False]
+    bulk: list[int] = []
+
+    def skipped(k: Node) -> bool:
+        if not excluded(k, found):
+            return False
+        if k.tag in RAW or k.tag not in ("form", "header", "section", "div", "table"):
+            return True
+        if not bulk:
+            bulk.append(_bulk(top))
+        # A part that holds most of the text is the article, whatever it is called.
+        return 2 * _bulk(k) <= bulk[0]
 
     def end() -> None:
-        if part:
-            text = SPACE.sub(" ", entities.unescape("".join(part))).strip()
-            if text and (own[0] or SPACE.sub(" ", "".join(part)).strip() not in template):
+        if line:
+            text = SPACE.sub(" ", entities.unescape("".join(line))).strip()
+            if text and varies[0]:
                 blocks.append(text)
-            part.clear()
-        own[0] = False
+            line.clear()
+        varies[0] = False
 
     stack = [(top, iter(top.kids))]
     while stack:
@@ -305,14 +466,13 @@ def main_text(page: str, template: set[str] = frozenset()) -> str:
             if node.tag in BLOCK:
                 end()
         elif isinstance(k, str):
-            part.append(k)
-            if not own[0] and any(n.tag in OWN for n, _ in stack):
-                own[0] = True
+            line.append(k)
+            varies[0] = varies[0] or id(k) not in fixed and bool(k.strip())
         elif k.tag in BLOCK:
             end()
-            if k.tag not in VOID and not excluded(k, bool(found)):
+            if k.tag not in VOID and not skipped(k):
                 stack.append((k, iter(k.kids)))
-        elif not excluded(k, bool(found)):
+        elif not excluded(k, found):
             if k.tag not in RAW:
                 stack.append((k, iter(k.kids)))
     end()
@@ -351,7 +511,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, set[str]] = {}
+    known: dict[str, Template] = {}
     for big in batches:
         for batch in pieces(big, column="html"):
             texts = []
@@ -359,7 +519,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if wrapper not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[wrapper] = template_texts(json.loads(wrapper)) if wrapper else set()
+                    known[wrapper] = Template(json.loads(wrapper)) if wrapper else None
                 texts.append(main_text(page, known[wrapper]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
