@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of
 documents; the last one returns the packed pieces. Every stage works on all that its
 predecessor kept; its result is written as Parquet and read again as the next one's docs.
+
+Defined results of all stages: a row with a null doc_id is a document like any other, after
+all others where ids order; rows that share a doc_id with different texts are each judged by
+their own text; null text counts as empty; extra columns of docs are left out, whatever
+their names; an empty table gives an empty one. Each stage says what else it defines.
 """
 
 from __future__ import annotations
@@ -12,11 +17,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.ngram_join import near_components
+from alphaloom.llm.ngram_join import one_of_each
 from alphaloom.llm.packing import pack_documents
-from alphaloom.llm.pii import pseudonymise
-from alphaloom.llm.quality_rules import boilerplate_lines, quality_rules, without_boilerplate
-from alphaloom.llm.shared import materialise, table
+from alphaloom.llm.pii import pseudonymise, run_key
+from alphaloom.llm.quality_rules import boilerplate_lines, passed
+from alphaloom.llm.shared import drop_scratch, materialise, scratch_scope, table
 from alphaloom.llm.suffix_dedup import remove_repeats
 from alphaloom.session import share_code
 
@@ -31,32 +36,47 @@ def _columns(df: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; lines that are boilerplate on their host go from the rest. Both go by one count over all the input."""
+    """Documents that the rules reject go; lines that are boilerplate on their host go from the rest. Both go by one count over all the input.
+
+    Null and empty texts have no words and go; a null source is one host; repeated rows count as
+    one document and all stay or go; very long texts are judged whole; a line exactly at a limit stays.
+    """
     common = materialise(boilerplate_lines(docs), "boilerplate")
-    kept = quality_rules(docs, common=common).where("kept").select(F.col("id").alias("_id")).distinct()
-    return _columns(without_boilerplate(docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi"), common=common))
+    return _columns(passed(docs.select(*COLUMNS), common=common))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (80 % of the shingles of five words) stays: the one with the smallest id."""
-    stays = near_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT).where("id = component_id").select(F.col("id").alias("_id")).distinct()
-    return _columns(docs.join(stays, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    """One document of each group of near duplicates (80 % of the shingles of five words) stays: the one with the smallest id.
+
+    Texts without words are no duplicates, unless their rows repeat an id: of rows equal in id and text one stays. Of equal texts
+    the smallest id stays, a null id only if no other has the text; exactly 80 % is a duplicate.
+    """
+    return _columns(one_of_each(docs.select(*COLUMNS), NEAR_WIDTH, NEAR_PERCENT))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 50 bytes that an earlier document holds go; a document of which no word is left goes."""
-    left = remove_repeats(docs).select(F.col("id").alias("_id"), "kept").dropDuplicates(["_id"])
-    d = docs.select("doc_id", "lang", "source").join(left, F.col("doc_id") == F.col("_id")).withColumn("text", F.col("kept"))
-    return _columns(d.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    """Strings of 50 bytes that a document with a smaller id holds go; a document of which no word is left goes.
+
+    Null, empty and blank texts go; a row with a null id loses nothing and removes nothing elsewhere; rows of one
+    id remove nothing from each other; a character cut in part goes as a whole.
+    """
+    left = remove_repeats(docs, carry=("doc_id", "lang", "source")).withColumnRenamed("kept", "text")
+    return _columns(left.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data becomes pseudonyms."""
-    return _columns(pseudonymise(docs))
+    """Personal data becomes pseudonyms under one key for the run, so equal values stay linked.
+
+    Every row stays; null and empty texts stay as they are; repeated rows get equal results.
+    """
+    return _columns(pseudonymise(docs.select(*COLUMNS), run_key(spark)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
+    """Token pieces with their sequence and offset, of every row.
+
+    Null and empty texts are the end id alone; a long text is cut into whole windows and a rest; repeated rows are packed each.
+    """
     return pack_documents(docs)
 
 
@@ -75,14 +95,20 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", _ready(packing_stage)),
 ]
 
-#: SQL can't express the exact tokeniser or the suffix sort; the tests hold run() against brute force.
+#: SQL can't express the exact tokeniser or the suffix sort; tests/llm holds every stage against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the rows of the last one."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; the rows of the last one. Scratch tables of a stage go once its result is written, a stage's result once the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if k == len(STAGES) - 1 else materialise(out, name)
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with scratch_scope() as scope:
+            docs = materialise(stage(spark, docs, sf_dir), name)
+            scope.keep(docs)
+        if before is not None:
+            drop_scratch(before)
+        before = docs
     return docs
