@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -24,9 +28,20 @@ def local_session(cores: int | str = "*", name: str = "alphaloom", **conf: str)
     return builder.getOrCreate()
 
 
+_shared: set[str] = set()
+
+
 def share_code(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it, whatever folder they start in."""
-    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
+    """Let Python workers import this package: it is shipped once to each application as a zip file, so no folder need exist on every machine."""
+    app = spark.sparkContext.applicationId
+    if app not in _shared:
+        root, data = Path(__file__).resolve().parent.parent, io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            for path in sorted([*root.glob("alphaloom/**/*.py"), *root.glob("corpus_pipeline.py")]):
+                z.writestr(zipfile.ZipInfo(str(path.relative_to(root))), path.read_bytes())
+        folder = Path(tempfile.mkdtemp(prefix="alphaloom-code-"))
+        at = folder / f"alphaloom-{hashlib.sha256(data.getvalue()).hexdigest()[:12]}.zip"
+        at.write_bytes(data.getvalue())
+        spark.sparkContext.addPyFile(str(at))
+        _shared.add(app)
     return spark
