@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import html as entities
 import difflib
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -162,9 +163,14 @@ def excluded(node: Node, in_article: bool) -> bool:
     return node.tag not in ("html", "body", "main", "article") and bool(PARTS.search(named)) or node.tag == "article" and bool(re.search(r"(?:^|[\s_-])(?:comment|comments|reply|related|teaser|promo)(?:$|[\s_-])", named, re.I))
 
 
-# --- wrappers: [key, optional, repeated, pages, fixed text or None, parts, characters]; key '#' is a text, '*' a group of several.
+OWN = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
+#: Elements that repeat whatever they hold.
+LEAVES = set("# a b i u em strong span small br img tr option source".split())
+
+# --- wrappers: [key, optional, repeated, pages, fixed text or None, parts, characters, hashes]; key '#' is a text, '*' a group of
+# several; the hashes are those of the texts that a paragraph, item or heading (a repeated one: some member of it) has on every page.
 
-KEY, OPT, REP, SEEN, TEXT, KIDS, MASS = range(7)
+KEY, OPT, REP, SEEN, TEXT, KIDS, MASS, ALWAYS = range(8)
 
 
 def _key(node) -> str:
@@ -182,20 +188,42 @@ def _parts(node: Node) -> list:
 def _shape(node, linked: bool = False) -> list:
     if isinstance(node, str):
         text = SPACE.sub(" ", node).strip()
-        return ["#", 0, 0, 1, text, [], 0 if linked else len(text)]
+        return ["#", 0, 0, 1, text, [], 0 if linked else len(text), []]
     kids = [_shape(k, linked or node.tag == "a") for k in _parts(node)]
-    return [_key(node), 0, 0, 1, None, _grouped(kids), 0]
+    return [_key(node), 0, 0, 1, None, _grouped(kids), 0, [_hash(node)] if node.tag in OWN else []]
+
+
+def _text(node: Node) -> str:
+    parts, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            parts.append(x)
+        elif x.tag not in RAW:
+            todo += reversed(x.kids)
+    return SPACE.sub(" ", "".join(parts)).strip()
+
+
+def _hash(node: Node) -> str:
+    return hashlib.blake2b(_text(node).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def _alike(x: list) -> tuple:
+    """What must be equal for neighbours to repeat: the key, of containers also those of their parts, as two plain boxes side by side may be different things."""
+    return (x[KEY],) if x[KEY].split(".")[0] in OWN or "." in x[KEY] or x[KEY] in LEAVES else (x[KEY], *dict.fromkeys(k[KEY] for k in x[KIDS]))
 
 
 def _grouped(seq: list) -> list:
-    """Neighbours of one key, then of two or three alternating keys, as repeated groups."""
+    """Neighbours of one shape, then two or three that alternate, as repeated groups."""
     for width in (1, 2, 3):
         out: list = []
         i = 0
+        shapes = [_alike(x) for x in seq]
         while i < len(seq):
             keys = [x[KEY] for x in seq[i : i + width]]
+            same = shapes[i : i + width]
             n = 1
-            while len(keys) == width and [x[KEY] for x in seq[i + n * width : i + (n + 1) * width]] == keys and "#" not in keys[:1]:
+            while len(keys) == width and shapes[i + n * width : i + (n + 1) * width] == same and "#" not in keys[:1]:
                 n += 1
             if n == 1:
                 out.append(seq[i])
@@ -212,7 +240,7 @@ def _grouped(seq: list) -> list:
                 parts = rows[0]
                 for row in rows[1:]:
                     parts = [merge(x, y, again=True) for x, y in zip(parts, row)]
-                out.append(["*" + "+".join(keys), 0, 1, 1, None, parts, 0])
+                out.append(["*" + "+".join(keys), 0, 1, 1, None, parts, 0, []])
             i += n * width
         seq = out
     return seq
@@ -221,7 +249,8 @@ def _grouped(seq: list) -> list:
 def merge(a: list, b: list, again: bool = False) -> list:
     """Align two wrappers of one key; again: both come from one page, which then counts once."""
     text = a[TEXT] if a[TEXT] == b[TEXT] else None
-    return [a[KEY], a[OPT] | b[OPT], a[REP] | b[REP], max(a[SEEN], b[SEEN]) if again else a[SEEN] + b[SEEN], text, _aligned(a[KIDS], b[KIDS], again), a[MASS] + b[MASS]]
+    return [a[KEY], a[OPT] | b[OPT], a[REP] | b[REP], max(a[SEEN], b[SEEN]) if again else a[SEEN] + b[SEEN], text, _aligned(a[KIDS], b[KIDS], again), a[MASS] + b[MASS],
+            sorted(set(a[ALWAYS]) | set(b[ALWAYS]) if again else set(a[ALWAYS]) & set(b[ALWAYS]))]
 
 
 def _common(ka: list[str], kb: list[str]) -> list[tuple[int, int]]:
@@ -367,11 +396,24 @@ class Template:
             if isinstance(k, str):
                 if self.fixed(x) and SPACE.sub(" ", k).strip() == x[TEXT]:
                     out.add(id(k))
+            elif x[ALWAYS] and x[SEEN] >= AGREE and not x[OPT] and _hash(k) in x[ALWAYS]:
+                out.update(_strings(k))
             else:
                 self.fixed_texts(k, x, out)
         return out
 
 
+def _strings(node: Node) -> list[int]:
+    out, todo = [], [node]
+    while todo:
+        for k in todo.pop().kids:
+            if isinstance(k, str):
+                out.append(id(k))
+            else:
+                todo.append(k)
+    return out
+
+
 def template_texts(w: list) -> set[str]:
     """Texts that never vary over three or more pages, if the host has texts that do vary."""
     t, found, todo = Template(w), set(), [w]
@@ -385,8 +427,6 @@ def template_texts(w: list) -> set[str]:
 
 # --- extraction
 
-OWN = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption".split())
-
 
 def _weight(node: Node, in_article: bool) -> int:
     n = 0

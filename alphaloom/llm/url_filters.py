@@ -84,7 +84,7 @@ def _as_of(captures: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     if spans.count() <= BROADCAST_ROWS:
         return captures.join(F.broadcast(side), on)
     salted = captures.withColumn("salt", F.pmod(F.xxhash64("id", "url", "fetched"), F.lit(SALTS)))
-    copies = side.withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    copies = side.withColumn("s_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
     return salted.join(copies, on & (F.col("salt") == F.col("s_salt"))).drop("salt", "s_salt")
 
 
