@@ -259,14 +259,14 @@ def over_clip(frames: DataFrame, rule: Callable[[list[np.ndarray]], list[np.ndar
     size = frames.groupBy("clip").agg(F.count(F.lit(1)).alias("of"))
     d = frames.select(*KEYS, "height", "width", F.col(alpha).alias("v")).join(size, "clip")
     rows = F.greatest(F.lit(1), F.floor(F.lit(TILE_VALUES) / (F.col("of") * F.col("width")))).cast("int")
-    d = d.withColumn("rows", rows).withColumn("tile", F.explode(F.expr("sequence(0, (height - 1) div rows)")).cast("int"))
+    d = d.withColumn("rows", rows).withColumn("tile", F.explode(F.expr("sequence(0, cast((height - 1) div rows as int))")))
     d = d.withColumn("v", F.expr("slice(v, tile * rows * width + 1, rows * width)")).select(*KEYS, "height", "width", "tile", "v")
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(StructType([*kind, *StructType.fromDDL("tile int, v array<double>")]))
 
-    def run(_, table: pa.Table) -> pa.Table:
+    def run(_, table):
         found = sorted((r for b in table.to_batches() for r in _rows(b)), key=lambda r: r["frame_idx"])
         values = [np.asarray(r["v"], float) for r in found]
         new = rule(values) if len(values) > 1 else values

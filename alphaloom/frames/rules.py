@@ -315,9 +315,12 @@ def black_masks(p: Picture, threshold: float = 0.05) -> dict[str, np.ndarray]:
     br, ch, sat = p.brightness, p.chroma, p.saturation
     black = br <= max(2.0, threshold * 255 * 0.25)
     whole = np.floor(clip(br, 0, 255))
+    # Sums of whole colours keep the comparison with the mean of the nine cells around exact.
+    total = p.r + p.g + p.b
+    contrast = 9 * total - grid.convolved(total, np.ones(3))
     return {"black": black, "smoke": ~black & (br >= 14) & (br <= 64) & (ch <= 14) & (sat <= 0.28),
             "glow": ~black & ((br >= 48) & (ch >= 28) & (sat >= 0.18) | (br >= 112) & (ch <= 34)),
-            "particle": ~black & (br >= 8) & (whole == grid.dilate(whole, grid.square(3))) & (br - grid.boxed(br, 3) >= 6)}
+            "particle": ~black & (br >= 8) & (whole == grid.dilate(whole, grid.square(3))) & (contrast >= 27 * 6)}
 
 
 def subject_edge(a: np.ndarray) -> np.ndarray:
@@ -494,51 +497,70 @@ def warm_reach(p: Picture, a: np.ndarray) -> np.ndarray:
     return grid.dilate((p.warm | gold) & ~p.screen & (a > 0.20), grid.ellipse(19))
 
 
-def green_spill_removed(p: Picture, a: np.ndarray, own: dict[str, np.ndarray] | None = None, strength: float = 0.7, edge: float = 1.2, white: tuple[float, float] = (180, 25),
-                        ring: float = 1.0, until: str | None = None) -> list[np.ndarray]:
-    """Colours without the screen's green, step by step; until names a step after which to stop."""
+def moved(c: list[np.ndarray], where: np.ndarray, gap: np.ndarray, *by: float) -> list[np.ndarray]:
+    """Channels shifted by shares of a gap where a mask holds."""
+    return [np.where(where, x + gap * v, x) for x, v in zip(c, by)] + c[len(by) :]
+
+
+def despilled(p: Picture, a: np.ndarray, strength: float = 0.7, edge: float = 1.2, white: tuple[float, float] = (180, 25)) -> list[np.ndarray]:
+    """Green taken out of edges, haze and pink haze, half of it given to red and blue; pale cells keep theirs."""
     r, g, b = p.r, p.g, p.b
     glow, soft = (a > 0.005) & (a < 0.85), (a > 0.05) & (a < 0.95)
     haze = (g > r + 4) & (g >= b - 3) & glow
     pink = glow & (p.brightness > 135) & (r > b + 10) & (g > b + 6) & (g > 145)
-    pale = (p.brightness > white[0]) & (np.abs(r - g) + np.abs(g - b) + np.abs(r - b) < white[1])
-    excess, thin = np.maximum(0, g - np.maximum(r, b)), clip((0.7 - a) / 0.7)
-    f = strength * edge
-    spill = excess * f * clip((0.95 - a) / 0.9)
+    thin, f = clip((0.7 - a) / 0.7), strength * edge
+    spill = np.maximum(0, g - np.maximum(r, b)) * f * clip((0.95 - a) / 0.9)
     spill = np.where(haze, np.maximum(spill, np.maximum(np.maximum(0, g - r - 2) * f * thin, np.maximum(0, g - np.maximum(r, b) - 3) * f)), spill)
     spill = np.where(pink, np.maximum(spill, np.maximum(0, g - b - 2) * f * thin * 1.55), spill)
-    spill = spill * ((g > r + 15) & (g > b + 15) & soft | haze | pink) * np.where(pale, 0.05, 1.0)
-    c = [r + spill * 0.5, g - spill, b + spill * 0.5]
-
-    def shift(where: np.ndarray, gap: np.ndarray, *by: float) -> None:
-        for k, v in enumerate(by):
-            c[k] = np.where(where, c[k] + gap * v, c[k])
-
-    if until == "despill":
-        return c
-    near = grid.dilate(p.warm, grid.ellipse(17)) if p.warm.any() else p.warm
-    shift(near & (a > 0.20) & (g > r + 12) & (g > b + 6) & (r < 170) & (g > 95), excess, 0.70, -0.45, 0.18)
-    if until == "warm":
-        return c
-    mix = clip((np.maximum(0, g - r) + 0.5 * np.maximum(0, g - b) - 12) / 64)
+    spill = spill * ((g > r + 15) & (g > b + 15) & soft | haze | pink) * np.where(pale(p, white), 0.05, 1.0)
+    return [r + spill * 0.5, g - spill, b + spill * 0.5]
+
+
+def pale(p: Picture, white: tuple[float, float] = (180, 25)) -> np.ndarray:
+    return (p.brightness > white[0]) & (np.abs(p.r - p.g) + np.abs(p.g - p.b) + np.abs(p.r - p.b) < white[1])
+
+
+def beside_warm(c: list[np.ndarray], p: Picture, a: np.ndarray) -> list[np.ndarray]:
+    """Solid green spill near warm light, neutralised."""
+    where = grid.dilate(p.warm, grid.ellipse(17)) & (a > 0.20) & (p.g > p.r + 12) & (p.g > p.b + 6) & (p.r < 170) & (p.g > 95)
+    return moved(c, where, np.maximum(0, p.g - np.maximum(p.r, p.b)), 0.70, -0.45, 0.18)
+
+
+def _teal(c: list[np.ndarray], over: float) -> tuple[np.ndarray, np.ndarray]:
+    return (c[1] > c[0] + over) & (c[2] > c[0] + over), np.maximum(0, np.minimum(c[1] - c[0], c[2] - c[0]))
+
+
+def beside_ring(c: list[np.ndarray], a: np.ndarray, ring: float = 1.0, like: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """Teal around bright rings, neutralised; like: the colours that tell what is a ring, by default these."""
+    level, spread = sum(like or c) / 3, np.maximum.reduce(like or c) - np.minimum.reduce(like or c)
+    bright = (a > 0.92) & (level > 210) & (spread < 55)
+    tinted, gap = _teal(c, 10)
+    return moved(c, grid.dilate(bright, grid.ellipse(11)) & ~bright & (a > 0.05) & (a < 0.88) & (spread < 110) & tinted, gap * ring, 0.55, -0.20)
+
+
+def onto_props(c: list[np.ndarray], a: np.ndarray, prop: np.ndarray) -> list[np.ndarray]:
+    """Green left on props, put back towards warm and neutral."""
+    where = prop & (a > 0.08) & (c[1] > c[0] + 6) & (c[1] > c[2] + 3)
+    return moved(c, where, np.maximum(0, c[1] - np.maximum(c[0], c[2])), 0.45, -0.85, 0.10)
+
+
+def green_spill_removed(p: Picture, a: np.ndarray, own: dict[str, np.ndarray] | None = None, strength: float = 0.7, edge: float = 1.2, white: tuple[float, float] = (180, 25), ring: float = 1.0) -> list[np.ndarray]:
+    """Colours without the screen's green, all steps in order, as whole numbers."""
+    c = beside_warm(despilled(p, a, strength, edge, white), p, a)
+    mix = clip((np.maximum(0, p.g - p.r) + 0.5 * np.maximum(0, p.g - p.b) - 12) / 64)
     weight = np.where((a > 0.18) & (a < 0.88) & (mix > 0), mix * clip((0.95 - a) / 0.20, 0.70, 1.0), 0.0)
     c = [x * (1 - weight) + y * weight for x, y in zip(c, unmixed(p, a, green_screen_colour(p, a), 0.18))]
     band = (a > 0.02) & (a < 0.78)
     level = sum(c) / 3
-    shift(band & (level < 105) & ~pale, clip((122 - level) * 0.9, 0, 72), 1.20, 0.12, 1.05)
+    c = moved(c, band & (level < 105) & ~pale(p, white), clip((122 - level) * 0.9, 0, 72), 1.20, 0.12, 1.05)
     level, spread = sum(c) / 3, np.maximum.reduce(c) - np.minimum.reduce(c)
-    teal = lambda: np.maximum(0, np.minimum(c[1] - c[0], c[2] - c[0])) * ring
-    tinted = lambda: (c[1] > c[0] + 10) & (c[2] > c[0] + 10)
-    shift(band & (level > 135) & (spread < 90) & tinted(), teal(), 0.50, -0.18)
-    bright = (a > 0.92) & (level > 210) & (spread < 55)
-    around = grid.dilate(bright, grid.ellipse(11)) & ~bright
-    shift(around & (a > 0.05) & (a < 0.88) & (spread < 110) & tinted(), teal(), 0.55, -0.20)
-    if until == "ring":
-        return c
+    tinted, gap = _teal(c, 10)
+    before = c
+    c = moved(c, band & (level > 135) & (spread < 90) & tinted, gap * ring, 0.50, -0.18)
+    c = beside_ring(c, a, ring, before)
     cast = (a > 0.45) & (level > 70) & (level < 190) & (c[0] < 130) & (c[2] < 185) & (c[1] > c[0] + 12) & (c[1] > c[2] + 3)
-    shift(cast, np.maximum(0, c[1] - c[0]), 1.15, -0.30)
-    prop = warm_reach(p, a) | (own if own is not None else ownership(p, a))["luminous_prop"]
-    shift(prop & (a > 0.08) & (c[1] > c[0] + 6) & (c[1] > c[2] + 3), np.maximum(0, c[1] - np.maximum(c[0], c[2])), 0.45, -0.85, 0.10)
+    c = moved(c, cast, np.maximum(0, c[1] - c[0]), 1.15, -0.30)
+    c = onto_props(c, a, warm_reach(p, a) | (own if own is not None else ownership(p, a))["luminous_prop"])
     return [np.floor(clip(x, 0, 255)) for x in c]
 
 
@@ -597,6 +619,110 @@ def recovered(p: Picture, a: np.ndarray, own: dict[str, np.ndarray], screen: tup
     return out, {"attempted": int(where.sum()), "accepted": int(used.sum()), "rejected": int(where.sum() - used.sum()), "mean_weight": float(weight[used].mean()) if used.any() else 0.0}
 
 
+def prop_restored(a: np.ndarray, base: np.ndarray, own: dict[str, np.ndarray], mode: str = "green", model: str | None = None) -> np.ndarray:
+    """Luminous props nearly solid again; only on a green screen and for models that weaken them."""
+    if mode != "green" or model not in ("gvm", "traditional_green_fallback", None):
+        return clip(a)
+    return np.where(own["luminous_prop"], np.maximum(clip(a), np.maximum(clip(base), 0.985)), clip(a))
+
+
+# --- layers of a green screen: a subject and its effects, from a key (base) and a model (ai)
+
+
+def soft_subject(p: Picture) -> np.ndarray:
+    near = (np.abs(p.r - p.g) < 45) & (np.abs(p.b - p.g) < 45)
+    return ~p.screen & near & ((p.brightness > 165) & (p.chroma < 75) | (p.brightness > 150) & (p.brightness < 190) & (p.chroma < 45) & (p.b >= p.r - 5))
+
+
+def solid_layer(p: Picture, base: np.ndarray) -> np.ndarray:
+    return ((base >= 0.94) & ~p.screen | (base >= 0.92) & p.solid | (base >= 0.28) & soft_subject(p)).astype(float)
+
+
+def ai_solid_layer(p: Picture, ai: np.ndarray, base: np.ndarray) -> np.ndarray:
+    glowing = p.effect > 0.45
+    sure = (base >= 0.75) | soft_subject(p) & (~glowing | (base >= 0.32)) | p.solid & ~glowing & (base >= 0.55)
+    return np.where((ai >= 0.98) & sure, ai, 0.0)
+
+
+def effect_layer(p: Picture, base: np.ndarray) -> np.ndarray:
+    """Soft alphas above the frame's background, as far as colours look like effects."""
+    br, ch = p.brightness, p.chroma
+    floor = min(float(np.percentile(base, 10)) + 0.02, 0.95)
+    out = smoothstep(clip((base - floor) / max(1 - floor, 1e-6)), 0.08, 0.75)
+    haze = np.minimum.reduce([clip((p.g - p.b - 8) / 18), clip((p.g - p.r + 4) / 18), clip((br - 150) / 55), clip((95 - ch) / 95)])
+    keep = clip(1 - haze * (0.55 + 0.20 * np.maximum(clip((br - 175) / 55), clip((210 - ch) / 210))), 0.2, 1.0)
+    ring = 0.35 * np.minimum.reduce([clip((br - 175) / 45), clip((110 - ch) / 110), clip((p.g - np.maximum(p.r, p.b)) / 55), clip(base / 0.28)])
+    return clip(np.maximum(out * keep * p.effect, ring))
+
+
+def subject_confidence(p: Picture, ai: np.ndarray, base: np.ndarray) -> np.ndarray:
+    support, either = smoothstep(base, 0.08, 0.42), p.solid | soft_subject(p)
+    raw = 0.08 + 0.58 * smoothstep(ai, 0.45, 0.92) + 0.18 * support + 0.10 * ~p.screen + 0.10 * either
+    return clip(raw * (1 - 0.9 * p.effect * (1 - 0.75 * support) * (1 - 0.85 * either * support)))
+
+
+def fallback_mask(p: Picture, base: np.ndarray) -> np.ndarray:
+    """Where a key can stand in for a model that lost the subject."""
+    either = p.solid | soft_subject(p)
+    return ~p.screen & (smoothstep(base, 0.30, 0.72) > 0.35) & (either | (base >= 0.50)) & ((p.effect < 0.35) | either & (base >= 0.45))
+
+
+def lost_subject(ai: np.ndarray, base: np.ndarray, mask: np.ndarray) -> bool:
+    return bool(mask.any() and smoothstep(ai, 0.25, 0.70)[mask].mean() < 0.08 and smoothstep(base, 0.30, 0.72)[mask].mean() >= 0.35)
+
+
+def broadly_lost(p: Picture, ai: np.ndarray, base: np.ndarray) -> bool:
+    broad = ~p.screen & (smoothstep(base, 0.20, 0.50) > 0.30)
+    return bool(clip(ai).mean() < 0.06 and broad.mean() >= 0.18 and ((base > 0.08) & (base < 0.75)).mean() >= 0.20 and p.effect[broad].mean() < 0.65)
+
+
+def subject_recovered(p: Picture, ai: np.ndarray, base: np.ndarray) -> np.ndarray:
+    mask = fallback_mask(p, base)
+    return np.where(mask, np.maximum(ai, clip(base * 0.98)), ai) if lost_subject(ai, base, mask) else ai
+
+
+def composed(subject: tuple[np.ndarray, np.ndarray, np.ndarray], effect: tuple[np.ndarray, np.ndarray, np.ndarray], background: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(alpha, who owns: subject, effect, background): layers as (alpha, confidence, evidence) compete for every cell."""
+    (sa, sc, se), (ea, ec, ee) = ([clip(x) for x in layer] for layer in (subject, effect))
+    ss, es = np.maximum.reduce([sa, sc, se]), np.maximum(ec, ee)
+    over = (ea > 0) & (ee > 0) & (ee > se)
+    back = (sc <= 0) & (ec <= 0) & ~over | (ss <= 0.20) & (es <= 0.35) | (background >= 0.50) & (se <= 0.60) & (ss <= 0.85) & (ee < 0.85) & (es <= 1.0)
+    mine = (sc >= ec) & ~over
+    theirs = (over | ~mine & (ec > 0)) & ~back
+    mine = mine & ~back
+    return np.maximum(np.where(mine, sa, 0.0), np.where(theirs, ea, 0.0)), mine, theirs, back
+
+
+def green_merged(p: Picture, base: np.ndarray, ai: np.ndarray, preserve: float = 0.7, model: str | None = None, semantic: np.ndarray | None = None) -> np.ndarray:
+    """A key and a model as one alpha: solid and effect layers, softly one over the other, or for the model 'gvm' in competition, guarded."""
+    if preserve <= 0:
+        return ai
+    base, ai = clip(base), clip(ai)
+    gvm = model == "gvm"
+    lost = gvm and lost_subject(ai, base, fallback_mask(p, base))
+    ai = subject_recovered(p, ai, base) if gvm else ai
+    sure = subject_confidence(p, ai, base)
+    if semantic is not None:
+        sure = np.maximum(sure, smoothstep(clip(semantic), 0.25, 0.75))
+    if lost:
+        sure = np.where(fallback_mask(p, base), np.maximum(sure, clip(0.25 + 0.90 * smoothstep(base, 0.30, 0.72), 0.0, 0.98)), sure)
+    gate = smoothstep(sure, 0.45, 0.80)
+    solid = np.maximum.reduce([ai_solid_layer(p, ai, base), ai * gate, solid_layer(p, base), subject_integrity(p, ai, base, gate, model)])
+    if semantic is not None:
+        solid = np.maximum(solid, np.where(p.screen, 0.0, clip(0.82 * smoothstep(clip(semantic), 0.25, 0.75), 0.0, 0.92)))
+    effect = effect_layer(p, base) * preserve * (1 - 0.85 * gate)
+    effect = np.maximum.reduce([effect, luminous_reconstruction(p, base) * min(1.0, preserve + 1e-4), warm_prop_layer(p, base)])
+    if not gvm:
+        return clip(clip(solid) + clip(effect) * (1 - clip(solid)))
+    evidence = background_evidence(p, base).astype(float)
+    paper = document_evidence(p, base)
+    solid = np.where(paper | (evidence >= 0.50) & (sure < 0.85), 0.0, solid)
+    effect = np.where(paper | (evidence >= 0.50) & (effect < 0.85), 0.0, effect)
+    out, mine, theirs, back = composed((solid, np.maximum(gate, smoothstep(solid, 0.01, 0.35)), sure), (effect, np.maximum(effect, np.where(effect > 0, 0.40 + 0.45 * smoothstep(effect, 0.05, 0.35), 0.0)), effect), evidence)
+    out = np.where(subject_core(mine.astype(float), solid, sure, evidence), 1.0, out)
+    return fusion_guarded(out, base, mine, theirs, back)[0]
+
+
 # --- selection among candidates
 
 

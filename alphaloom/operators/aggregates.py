@@ -37,17 +37,17 @@ COUNTS = PER_FRAME.agg("clip", frames="count(*)", edge="avg(edge)", residue="avg
         "clip", "frames", "edge", "residue", "cells", speckles="coalesce(speckles, 0)", holes="coalesce(holes, 0)", flicker="coalesce(flicker, 0e0)")
 QUALITY = COUNTS.let(score="1e0 - least(1e0, 0.35e0 * edge + 0.2e0 * residue + 0.35e0 * flicker + 0.5e0 * least(1e0, (speckles + holes) / cast(cells as double)))")
 
-HAIR = ratio_stats(MASKS.agg(FRAME, v=low_alpha("hair", 0.3)))
-LIGHT = ratio_stats(MASKS.agg(FRAME, v=low_alpha(f"({px.LIGHT_LOW_SATURATION} and subject)", 0.95)))
-TRANSPARENT = ratio_stats(MASKS.agg(FRAME, v=low_alpha("(transparent or luminous)", 0.3)))
+HAIR = ratio_stats(MASKS.agg(FRAME, v=low_alpha("hair", 0.08)))
+LIGHT = ratio_stats(MASKS.agg(FRAME, v=low_alpha(f"({px.LIGHT_LOW_SATURATION} and subject)", 0.35)))
+TRANSPARENT = ratio_stats(MASKS.agg(FRAME, v=low_alpha("(transparent or luminous)", 0.08)))
 RESIDUE = ratio_stats(MASKS.agg(FRAME, v=share("residue")))
-COVER = ratio_stats(MASKS.agg(FRAME, v=share("subject")))
-R_HAIR = HAIR.join(QUALITY, "clip").select("clip", score="least(1e0, greatest(edge / 0.12e0 * 0.2e0, holes / cast(cells as double) / 0.01e0 * 0.05e0, max_v / 0.9e0, top3 / 0.5e0))")
+COVER = ratio_stats(MASKS.agg(FRAME, v=share("subject"))).join(MASKS.agg(FRAME, solid=share("a >= 0.7e0")).agg("clip", solid="avg(solid)"), "clip")
+R_HAIR = HAIR.join(QUALITY, "clip").select("clip", score="least(1e0, greatest(edge / 0.12e0, holes / cast(cells as double) / 0.01e0, max_v / 0.9e0, top3 / 0.5e0))")
 R_RESIDUE = RESIDUE.join(QUALITY, "clip").select("clip", score="least(1e0, greatest(residue / 0.1e0, max_v / 0.2e0, top3 / 0.1e0))")
 R_LIGHT = LIGHT.select("clip", score="least(1e0, greatest(max_v / 0.9e0, top3 / 0.5e0))")
 R_EFFECT = TRANSPARENT.select("clip", score="least(1e0, greatest(max_v / 0.9e0, top3 / 0.5e0))")
 R_TEMPORAL = QUALITY.select("clip", score="least(1e0, flicker / 0.2e0)")
-R_SUBJECT = COVER.select("clip", score="(case when max_v = 0 then 0e0 when min_v < 0.03e0 then 0.6e0 else 0e0 end)")
+R_SUBJECT = COVER.select("clip", score="(case when mean_v = 0 and solid = 0 then 0e0 when min_v < 0.03e0 then 0.6e0 else 0e0 end)")
 RISKS = {"hair_edge_loss": R_HAIR, "background_residue": R_RESIDUE, "light_subject_loss": R_LIGHT, "transparent_effect_loss": R_EFFECT, "temporal_instability": R_TEMPORAL, "subject_misidentification": R_SUBJECT}
 
 
@@ -86,9 +86,9 @@ def soft_alpha(mask: str) -> str:
     return f"coalesce(0.8e0 * avg(case when {mask} then 1e0 - 2e0 * abs(ca - 0.5e0) end) + 0.2e0 * (1e0 - avg(case when {mask} then (case when ca <= 0.05e0 then 1e0 else 0e0 end) end)), 0.5e0)"
 
 
-SCORES = CANDIDATES.agg("clip frame_idx candidate ord", subject=mean_alpha("subject"), hair=soft_alpha("hair"), luminous=mean_alpha("luminous"), transparent=soft_alpha("transparent"),
+SCORES = CANDIDATES.agg("clip frame_idx candidate ord", subject=mean_alpha("subject"), hair=soft_alpha("hair"), luminous=soft_alpha("luminous"), transparent=soft_alpha("transparent"),
                         residue=mean_alpha("residue", high=False), uncertain=soft_alpha("uncertain"), mean_a="avg(ca)", soft="avg(case when ca > 0.05e0 and ca < 0.95e0 then 1e0 else 0e0 end)")
-SCORED = SCORES.let(overall="(" + " + ".join(f"{w!r}e0 * {k}" for k, w in WEIGHTS.items()) + ") / 7e0")
+SCORED = SCORES.let(overall="least(1e0, greatest(0e0, (" + " + ".join(f"{w!r}e0 * {k}" for k, w in WEIGHTS.items()) + ") / 7e0))")
 FRAME_COUNTS = MASKS.agg("clip", frames=("count(distinct frame_idx)"), cells="count(*)", **{k: f"count_if({k})" for k in REGIONS})
 PART = LAYERS.let(gate=px.smoothstep("sc", 0.45, 0.80), fb="greatest(ai, a * 0.98e0)")
 DELTAS = PART.agg(FRAME, entity="coalesce(avg(case when gate >= 0.55e0 then fb - ai end), 0e0)", effect="coalesce(avg(case when ew >= 0.35e0 and gate <= 0.35e0 then fb - ai end), 0e0)",
@@ -99,8 +99,25 @@ AUTO = EXCESS.agg(FRAME, green_excess="avg(gx)", blue_excess="avg(bx)", white_su
                   white_glow=share("not screen and br > 0.72e0 and ch < 0.35e0"), green_haze=share("gx > 0.04e0 and gx < 0.2e0 and br > 0.22e0"))
 SAMPLE_DIAG = CANDIDATES.where("ord < 2")
 
+#: Ranks of candidates by region: regions as columns of a score, unpivoted.
+RANKED = None
+for _region in REGIONS:
+    _one = SCORED.select("clip", "frame_idx", "candidate", "ord", "overall", region=f"'{_region}'", rank=f"{_region} + 0.1e0 * overall", own=_region)
+    RANKED = _one if RANKED is None else RANKED.union(_one)
+_HAIR_SIGNALS = HAIR.join(QUALITY, "clip").let(ratio="holes / cast(cells as double)")
+SIGNALS = None
+for _name, _column in (("quality_mean_edge_uncertainty", "edge"), ("quality_hole_ratio", "ratio"), ("hair_low_alpha_ratio", "mean_v"), ("hair_low_alpha_ratio_max", "max_v"), ("hair_low_alpha_ratio_p95", "p95"), ("hair_low_alpha_ratio_top3_mean", "top3")):
+    _one = _HAIR_SIGNALS.select("clip", signal=f"'{_name}'", value=f"round({_column}, 6)")
+    SIGNALS = _one if SIGNALS is None else SIGNALS.union(_one)
+
+#: Forms whose SQL the queries of framed.py are held against.
+FORMS: dict[str, Relation] = {
+    "a01": QUALITY.select("clip", "frames", "speckles", "holes", edge=rnd("edge"), residue=rnd("residue"), flicker=rnd("flicker"), overall_score=rnd("greatest(0e0, least(1e0, score))")),
+    "a11": risk(R_HAIR), "a12": risk(R_RESIDUE), "a13": risk(R_LIGHT), "a14": risk(R_EFFECT), "a15": risk(R_TEMPORAL), "a16": risk(R_SUBJECT),
+    "a18": all_risks(), "x35": SIGNALS, "w01": FLICKER.select("clip", flicker=rnd("flicker")), "ranked": RANKED,
+}
+
 OPS: dict[str, Relation] = {
-    "a01_alpha_quality": QUALITY.select("clip", "frames", "speckles", "holes", edge=rnd("edge"), residue=rnd("residue"), flicker=rnd("flicker"), overall_score=rnd("greatest(0e0, least(1e0, score))")),
     "a02_background_residue": PIXELS.agg(FRAME, v="sum(case when a < 0.05e0 then a else 0e0 end) / count(*)").agg("clip", residue=rnd("avg(v)")),
     "a03_bg_score_green": GREEN.select("clip", "frame_idx", green=rnd("green")),
     "a04_bg_score_black": BLACK.select("clip", "frame_idx", black=rnd("black")),
@@ -110,20 +127,14 @@ OPS: dict[str, Relation] = {
                                                   failures="concat_ws('; ', case when luminous = 0 then 'missing luminous' end, case when subject / cast(cells as double) < 0.3e0 then 'subject below 0.300' end)"),
     "a08_ratio_stats": ratio_stats(PIXELS.agg(FRAME, v="avg(a)")).select("clip", mean=rnd("mean_v"), max=rnd("max_v"), p95=rnd("p95"), min=rnd("min_v"), top3=rnd("top3")),
     "a09_masked_ratio": RESIDUE.select("clip", mean=rnd("mean_v"), max=rnd("max_v"), p95=rnd("p95"), min=rnd("min_v"), top3=rnd("top3")),
-    "a10_low_alpha_ratio": MASKS.agg(FRAME, ratio=rnd(low_alpha("hair", 0.3))),
-    "a11_risk_hair": risk(R_HAIR), "a12_risk_residue": risk(R_RESIDUE), "a13_risk_light": risk(R_LIGHT), "a14_risk_transparent": risk(R_EFFECT), "a15_risk_temporal": risk(R_TEMPORAL), "a16_risk_subject": risk(R_SUBJECT),
+    "a10_low_alpha_ratio": MASKS.agg(FRAME, hair=rnd(low_alpha("hair", 0.08)), effect=rnd(low_alpha("(transparent or luminous)", 0.08)), light=rnd(low_alpha(f"({px.LIGHT_LOW_SATURATION} and subject)", 0.35))),
     "a17_risk_level": QUALITY.select("clip", level=level("(1e0 - score) * 4e0")),
-    "a18_p0_report": all_risks(),
     "a19_candidate_quality": SCORED.select("clip", "frame_idx", "candidate", overall=rnd("overall"), mean_alpha=rnd("mean_a"), soft_ratio=rnd("soft"), **{f"{k}_score": rnd(k) for k in WEIGHTS}),
     "a20_mean_alpha_score": SCORES.select("clip", "frame_idx", "candidate", subject=rnd("subject"), residue=rnd("residue")),
     "a21_soft_alpha_score": SCORES.select("clip", "frame_idx", "candidate", hair=rnd("hair"), uncertain=rnd("uncertain")),
     "a22_candidate_summary": SCORED.agg("candidate", overall=rnd("avg(overall)"), frames="count(*)"),
-    "a24_black_effect_history": COLOURS.agg(FRAME, smoke=f"count_if({px.SMOKE})", glow=f"count_if({px.GLOW})", black=f"count_if({px.PURE_BLACK})", delta="avg(abs(ai - a))").agg(
-        "clip", frames="count(*)", smoke=isum("smoke"), glow=isum("glow"), black=isum("black"), mean_delta=rnd("avg(delta)")),
-    "a25_edge_reconstruction": PIXELS.agg(FRAME, changed="count_if(abs(ai - a) > 0.2e0)", delta="coalesce(avg(case when abs(ai - a) > 0.2e0 then abs(ai - a) end), 0e0)").agg("clip", changed=isum("changed"), mean_delta=rnd("avg(delta)")),
     "a26_recovery_diag": RECOVERED.agg(FRAME, attempted="count_if(repair)", accepted="count_if(weight > 0 and gain > 2)", w="coalesce(avg(case when weight > 0 and gain > 2 then weight end), 0e0)").agg(
         "clip", attempted=isum("attempted"), accepted=isum("accepted"), rejected=isum("attempted - accepted"), mean_weight=rnd("sum(w * accepted) / greatest(sum(accepted), 1)")),
-    "a27_screen_color_median": COLOURS.where("(y = 0 or y = 7 or x = 0 or x = 7) and a <= 0.04e0 and g > r + 12 and g > b + 12").agg("clip", red=rnd("median(r)"), green=rnd("median(g)"), blue=rnd("median(b)")),
     "a28_stage_delta": PIXELS.agg(FRAME, mean_delta=rnd("avg(abs(ai - a))"), changed="count_if(abs(ai - a) > 1e-4)", lifted="count_if(ai - a > 0.03e0)", suppressed="count_if(a - ai > 0.03e0)"),
     "a29_alpha_mae_mse": PIXELS.agg("clip", mae=rnd("avg(abs(ai - a))"), mse=rnd("avg((ai - a) * (ai - a))")),
     "a30_unknown_candidate_score": PIXELS.agg(FRAME, solid=share("a > 0.95e0"), mean_a="avg(a)", soft=share("a > 0.05e0 and a < 0.95e0"), cover=share("a > 0.01e0")).agg(

@@ -1,23 +1,13 @@
-"""Neighbourhood and topology operators on packed frames.
+"""Relational forms of neighbourhood rules on the 8 x 8 view: the SQL that the frame kernels' queries are held against.
 
-A frame is one row with its alphas as an array, so a structuring element is an expression over
-array elements: no shuffle and no join, whatever its size. Connected components run as an exact
-numpy kernel over Arrow batches of packed frames (one shuffle by frame where the mask is computed per pixel).
-Outside the frame a neighbour is null, which minima, maxima and means skip; zero, replicate and
-reflect-101 borders are spelled out where the rule needs them.
+Only their SQL is used; the queries themselves run by the kernels (framed.py), on frames of any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import functions as F
-
 from alphaloom.functions import pixel as px
 from alphaloom.operators.points import CORRECTED, KEYS, rnd, shown
-from alphaloom.plans.relation import Relation, table
+from alphaloom.plans.relation import Relation, rows, table
 from alphaloom.plans.views import COLOURS, MASKS, PIXELS, _on
 
 SIDE = 8
@@ -28,15 +18,6 @@ CROSS3 = [(-1, 0), (0, -1), (0, 0), (0, 1), (1, 0)]
 ELLIPSE5 = [(-2, 0), *[(y, x) for y in (-1, 0, 1) for x in range(-2, 3)], (2, 0)]
 
 
-def ellipse(radius: int) -> list[tuple[int, int]]:
-    """Offsets of an elliptic element: row by row, the width of the circle at that height, rounded."""
-    out = []
-    for dy in range(-radius, radius + 1):
-        w = round((radius * radius - dy * dy) ** 0.5)
-        out += [(dy, dx) for dx in range(-w, w + 1)]
-    return out
-
-
 #: (clip, frame_idx, alphas, brights): frames as arrays in row order.
 PACKED: Relation = table("embeddings", "vec_id", "embedding", "label").select(
     clip="label", frame_idx="vec_id",
@@ -106,52 +87,16 @@ def cells(rel: Relation, **cols: str) -> Relation:
 # --- connected components
 
 
-def label_grid(mask: np.ndarray) -> np.ndarray:
-    """8-connected components of a mask: the smallest row-order position of each cell's component, -1 outside; any grid size, to the fixpoint."""
-    h, w = mask.shape
-    big = h * w
-    lab = np.where(mask, np.arange(big).reshape(h, w), big)
-    while True:
-        padded = np.pad(lab, 1, constant_values=big)
-        low = np.min([padded[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
-        low = np.where(mask, low, big)
-        flat = np.append(low.ravel(), big)
-        low = np.minimum(low, flat[low])  # a label's own label: halves long paths
-        if (low == lab).all():
-            return np.where(mask, lab, -1)
-        lab = low
-
-
-def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for clip, frame, points in zip(*(c.to_pylist() for c in batch.columns)):
-            ys, xs = [p["y"] for p in points], [p["x"] for p in points]
-            grid = np.zeros((max(ys) + 1, max(xs) + 1), bool)
-            grid[ys, xs] = True
-            # Labels number cells in rows of the frame's side, not of the cut-out.
-            lab = label_grid(grid)
-            first = {}
-            for y, x in sorted(zip(ys, xs)):
-                first.setdefault(int(lab[y, x]), y * SIDE + x)
-            out += [{"clip": clip, "frame_idx": frame, "y": y, "x": x, "label": first[int(lab[y, x])]} for y, x in zip(ys, xs)]
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("clip", pa.int32()), ("frame_idx", pa.int64()), ("y", pa.int32()), ("x", pa.int32()), ("label", pa.int32())]))
-
-
 def components(cells_: Relation, cond: str) -> Relation:
     """(clip, frame_idx, y, x, label) of the cells for which cond holds."""
     mask = cells_.where(cond).select(*KEYS)
 
-    def build(spark, sf_dir):
-        packed = mask.frame(spark, sf_dir).groupBy("clip", "frame_idx").agg(F.collect_list(F.struct("y", "x")).alias("points"))
-        return packed.mapInArrow(_label, "clip int, frame_idx long, y int, x int, label int")
-
     def text() -> str:
         return (f"WITH RECURSIVE m AS ({mask.sql()}), cc AS (SELECT clip, frame_idx, y, x, y * {SIDE} + x AS label FROM m UNION "
                 "SELECT m.clip, m.frame_idx, m.y, m.x, cc.label FROM cc JOIN m ON cc.clip = m.clip AND cc.frame_idx = m.frame_idx AND abs(cc.y - m.y) <= 1 AND abs(cc.x - m.x) <= 1) "
                 "SELECT clip, frame_idx, y, x, min(label)::INT AS label FROM cc GROUP BY clip, frame_idx, y, x")
 
-    return Relation(build, text)
+    return Relation(lambda spark, sf_dir: mask.frame(spark, sf_dir), text)
 
 
 def sized(cc: Relation, having: str) -> Relation:
@@ -167,59 +112,29 @@ FG = PACKED.let(fg=each(me("(case when {alphas} >= 0.7e0 then 1e0 else 0e0 end)"
 CLOSED = cells(FG.let(closed=erode("grown", ELLIPSE5)), a="alphas", hole="({closed} = 1 and {fg} = 0)", fg="({fg} = 1)")
 HOLE = sized(components(CLOSED, "hole"), "n >= 5")
 RESIDUE = sized(components(MASKS, "residue"), "n >= 3")
-WARM = sized(components(COLOURS.let(warm=f"(({px.WARM_SHELL}) or (r > 150 and g > 100 and r - b > 30))"), "warm"), "n >= 3")
-
-TRUNC = PACKED.let(u8=each(me("floor({alphas} * 255e0)")))
-LOCAL = PACKED.let(peak=each(over("greatest", "brights", SQUARE3)), mean=each(weighted("brights", BOX3)))
+WARM = sized(components(COLOURS.let(warm=f"(a >= 0.6e0 and {px.WARM_SHELL})"), "warm"), "n >= 3")
 SUBJECT_EDGE = PACKED.let(solid=each(me("(case when {alphas} >= 0.75e0 then 1e0 else 0e0 end)"))).let(reach=dilate("solid", SQUARE3), blur=each(weighted("alphas", GAUSS3)))
 ON_EDGE = "({reach} = 1 and {alphas} > 0.02e0 and {alphas} < 0.75e0)"
-_NINE = tuple(", ".join(at("alphas", dy, dx, "replicate")[k] for dy, dx in SQUARE3) for k in (0, 1))
-MEDIAN3 = each((f"element_at(array_sort(array({_NINE[0]})), 5)", f"list_sort(list_value({_NINE[1]}))[5]"))
-CLEANED = PACKED.let(clean=MEDIAN3, support=each(tuple("(" + " + ".join(f"(case when {at('alphas', dy, dx, 'zero')[k]} > 0.0314e0 then 1e0 else 0e0 end)" for dy, dx in SQUARE3) + ")" for k in (0, 1))))
-TRIMAP = PACKED.let(sure=each(me("(case when {alphas} > 0.95e0 then 1e0 else 0e0 end)")), soft=each(me("(case when {alphas} > 0.05e0 and {alphas} < 0.95e0 then 1e0 else 0e0 end)"))).let(
-    unknown=dilate("soft", CROSS3), out_=dilate("sure", ELLIPSE5), in_=erode("sure", ELLIPSE5))
-SMOOTH = PACKED.let(blur=each(weighted("alphas", GAUSS3)))
-WARM_REACH = PACKED.let(hot=each(me("(case when {brights} > 140 then 1e0 else 0e0 end)"))).let(reach=dilate("hot", ellipse(2)))
+SOLID7 = components(PIXELS, "a >= 0.7e0")
+
+FORMS: dict[str, Relation] = {
+    "n01": EDGE.where("edge").select(*KEYS),
+    "n02": SPECKLE,
+    "n03": HOLE,
+    "n04": sized(SOLID7, "n <= 6"),
+    "n05": sized(SOLID7, "n >= 7"),
+    "n13": shown(cells(SUBJECT_EDGE, alpha=f"(case when {ON_EDGE} then greatest({{alphas}}, 0.72e0 * {{blur}}) else 0e0 end)"), alpha="alpha"),
+    "f05": RESIDUE,
+    "f14": cells(SUBJECT_EDGE, edge=ON_EDGE),
+    "f23": shown(PIXELS.join(WARM.select(*KEYS), "clip frame_idx y x"), alpha="greatest(a, 0.98e0)"),
+    "k15": EDGE.select(*KEYS, "edge").join(SPECKLE.select(*KEYS, speckle="true"), "clip frame_idx y x", "left").join(HOLE.select(*KEYS, hole="true"), "clip frame_idx y x", "left").select(
+        *KEYS, paint="(case when hole then 'hole' when speckle then 'speckle' when edge then 'edge' else 'none' end)"),
+    "a38": SOLID7.join(PIXELS, "clip frame_idx y x").agg("clip frame_idx label", n="count(*)", total=rnd("sum(a)")),
+    "j07": SOLID7.join(SOLID7.join(PIXELS.where("a >= 0.999e0").select(*KEYS), "clip frame_idx y x", "semi").select("clip", "frame_idx", "label"), "clip frame_idx label", "semi").select(*KEYS, "label"),
+}
 
+#: Queries on single cells that need no kernel.
+SPEC = rows("clip int, top int, left_ int, height int, width int", (0, 2, 1, 4, 4), (1, 0, 0, 3, 5), (3, 4, 2, 4, 6), (7, 1, 1, 2, 2))
 OPS: dict[str, Relation] = {
-    "n01_uncertain_edge": EDGE.where("edge").select(*KEYS),
-    "n02_speckle": SPECKLE,
-    "n03_hole": HOLE,
-    "n04_small_components": sized(components(PIXELS, "a >= 0.7e0"), "n <= 6"),
-    "n05_large_components": sized(components(PIXELS, "a >= 0.7e0"), "n >= 7"),
-    "n07_shrink_grow": shown(cells(TRUNC.let(grown=dilate("u8", CROSS3), shrunk=erode("u8", CROSS3)), grown="{grown} / 255e0", shrunk="{shrunk} / 255e0"), grown="grown", shrunk="shrunk"),
-    "n08_edge_blur": shown(cells(TRUNC.let(blur=each(weighted("u8", GAUSS3))), alpha="{blur} / 255e0"), alpha="alpha"),
-    "n09_guided_smooth": shown(cells(SMOOTH, alpha="(case when {alphas} > 0.05e0 and {alphas} < 0.95e0 then {blur} else {alphas} end)"), alpha="alpha"),
-    "n10_median_despeckle": shown(cells(CLEANED, alpha="clean"), alpha="alpha"),
-    "n11_soft_support_restore": shown(cells(CLEANED, alpha="(case when {alphas} < 0.7e0 and {support} >= 4 and {clean} < {alphas} then {alphas} else {clean} end)"), alpha="alpha"),
-    "n12_luminous_restore": shown(MASKS, alpha="(case when luminous then greatest(a * 0.6e0, a) else a * 0.6e0 end)"),
-    "n13_subject_edge_repair": shown(cells(SUBJECT_EDGE, alpha=f"(case when {ON_EDGE} then greatest({{alphas}}, 0.72e0 * {{blur}}) else 0e0 end)"), alpha="alpha"),
-    "n14_border_screen_pixels": COLOURS.where("(y = 0 or y = 7 or x = 0 or x = 7) and a <= 0.04e0 and g > r + 12 and g > b + 12").select(*KEYS, red=rnd("r"), green=rnd("g"), blue=rnd("b")),
-    "n17_known_crop": PIXELS.where("y between 2 and 5 and x between 1 and 4").select(*KEYS, alpha=rnd("a")),
-    "n18_despeckle_sequence": shown(cells(CLEANED, cleaned="clean", original="alphas"), cleaned="cleaned", disabled="original"),
-    "f05_region_residue": RESIDUE,
-    "f13_particle_mask": cells(LOCAL, particle="({brights} > 3.1875e0 and {brights} >= 8 and floor({brights}) = floor({peak}) and {brights} - {mean} >= 6)"),
-    "f14_subject_edge_mask": cells(SUBJECT_EDGE, edge=ON_EDGE),
-    "f23_warm_prop_layer": shown(PIXELS.join(WARM.select(*KEYS), "clip frame_idx y x"), alpha="greatest(a, 0.98e0)"),
-    "f29_trimap": cells(TRIMAP, trimap="(case when {unknown} = 1 or ({out_} = 1 and {in_} = 0) then 128 when {sure} = 1 then 255 else 0 end)"),
-    "p19_warm_solid_spill": shown(CORRECTED.join(cells(WARM_REACH, near="{reach} = 1"), "clip frame_idx y x").let(
-        gap="(case when near and a > 0.2e0 and g > r + 12 and g > b + 6 and r < 170 and g > 95 then greatest(0e0, g - greatest(r, b)) else 0e0 end)"),
-        red="rc + gap * 0.7e0", green="gc - gap * 0.45e0", blue="bc + gap * 0.18e0"),
-    "p23_ring_neighbor_cleanup": shown(CORRECTED.join(cells(WARM_REACH, near="{reach} = 1 and {hot} = 0"), "clip frame_idx y x").let(
-        gap="(case when near and a > 0.05e0 and a < 0.88e0 and cch < 110 and gc > rc + 10 and bc > rc + 10 then greatest(0e0, least(gc - rc, bc - rc)) else 0e0 end)"),
-        red="rc + gap * 0.55e0", green="gc - gap * 0.2e0"),
-    "p25_prop_projection": shown(CORRECTED.join(cells(WARM_REACH, near="{reach} = 1"), "clip frame_idx y x").let(
-        gap="(case when near and a > 0.08e0 and gc > rc + 6 and gc > bc + 3 then greatest(0e0, gc - greatest(rc, bc)) else 0e0 end)"),
-        red="rc + gap * 0.45e0", green="gc - gap * 0.85e0", blue="bc + gap * 0.1e0"),
-    "p26_warm_prop_reach": cells(WARM_REACH, reach="{reach} = 1"),
-    "p44_swirl_preserve": shown(cells(PACKED.let(top=dilate("alphas", ellipse(2))), alpha="(case when {alphas} < 0.3e0 and {brights} > 110 then greatest({alphas}, least(0.55e0, {top} * 0.6e0)) else {alphas} end)"), alpha="alpha"),
-    "p50_green_generate": shown(cells(TRUNC.let(open_=erode("u8", CROSS3)).let(opened=dilate("open_", CROSS3)).let(blur=each(weighted("opened", GAUSS3))), alpha="{blur} / 255e0"), alpha="alpha"),
-    "k15_overlay_edge_speckle_hole": EDGE.select(*KEYS, "edge").join(SPECKLE.select(*KEYS, speckle="true"), "clip frame_idx y x", "left").join(HOLE.select(*KEYS, hole="true"), "clip frame_idx y x", "left").select(
-        *KEYS, paint="(case when hole then 'hole' when speckle then 'speckle' when edge then 'edge' else 'none' end)"),
-    "a38_component_bincount": components(PIXELS, "a >= 0.7e0").join(PIXELS, "clip frame_idx y x").agg("clip frame_idx label", n="count(*)", total=rnd("sum(a)")),
-    "j07_label_semijoin": components(PIXELS, "a >= 0.7e0").join(components(PIXELS, "a >= 0.7e0").join(PIXELS.where("a >= 0.999e0").select(*KEYS), "clip frame_idx y x", "semi").select("clip", "frame_idx", "label"), "clip frame_idx label", "semi").select(*KEYS, "label"),
-    "u15_black_enhance": shown(cells(SUBJECT_EDGE.let(peak=each(over("greatest", "brights", SQUARE3)), mean=each(weighted("brights", BOX3))),
-        alpha=(f"(case when {{brights}} <= 3.1875e0 and {{alphas}} <= 0.01e0 then 0e0 else greatest({{alphas}}, (case when {{brights}} > 3.1875e0 and {{brights}} >= 8 and floor({{brights}}) = floor({{peak}}) and {{brights}} - {{mean}} >= 6 then 0.18e0 else 0e0 end),"
-               f" (case when {ON_EDGE} then greatest({{alphas}}, 0.72e0 * {{blur}}) else 0e0 end)) end)")), alpha="alpha"),
-    "u16_refine": shown(cells(TRIMAP.let(blur=each(weighted("alphas", GAUSS3))), alpha="(case when ({unknown} = 1 or ({out_} = 1 and {in_} = 0)) and {alphas} > 0.05e0 and {alphas} < 0.95e0 then {blur} else {alphas} end)"), alpha="alpha"),
+    "n17_known_crop": PIXELS.join(SPEC, "clip").where("y >= top and y < top + height and x >= left_ and x < left_ + width").select(*KEYS, alpha=rnd("a")),
 }

@@ -105,13 +105,10 @@ OPS: dict[str, Relation] = {
     "p03_brightness_chroma": shown(COLOURS, brightness="br", chroma="ch", saturation=px.SATURATION),
     "p04_rgb_to_hsv": hsv().select(*KEYS, "hue", "sat", "val"),
     "p05_to_gray": shown(PIXELS, gray="floor(0.299e0 * r + 0.587e0 * g + 0.114e0 * b + 0.5e0) / 255e0"),
-    "p06_chroma_key": shown(KEYED, key="key", alpha="alpha"),
     "p07_screen_color_auto": PIXELS.agg("clip frame_idx", gx="avg(greatest(0e0, g - greatest(r, b)))", bx="avg(greatest(0e0, b - greatest(r, g)))").select(
         "clip", "frame_idx", screen="(case when bx > gx then 'blue' else 'green' end)"),
     "p08_warm_key_protect": shown(KEYED, protected="key2", plain="key1"),
     "p09_screen_core_suppress": shown(KEYED.let(big="(case when key >= 0.65e0 then 0e0 when key >= 0.5e0 then alpha0 * (1e0 - least(1e0, (key - 0.5e0) / 0.15e0)) else alpha0 end)"), alpha="alpha", large_frame="big"),
-    "p10_clip_black_white": shown(PIXELS, alpha=clip("(a - 0.1e0) / 0.8e0"), untouched=clip("(a - 0e0) / 1e0")),
-    "p11_black_key": shown(COLOURS, solid="floor((case when br >= 60 then 1e0 when br > 45 then (br - 45) / 15e0 * 0.75e0 else 0e0 end) * 255e0) / 255e0"),
     "p12_soft_over": shown(PIXELS, alpha=px.over("a", "ai")),
     "p13_weighted_fuse": shown(LAYERS, all_layers="(0.6e0 * core + 0.25e0 * detail + 0.15e0 * fx) / 1e0", without_fx="(0.6e0 * core + 0.25e0 * detail) / 0.85e0"),
     "p14_confidence_fuse": shown(LAYERS.let(c1="a", c2="ai", c3="0.5e0"), alpha=CONFIDENT),
@@ -148,10 +145,8 @@ OPS: dict[str, Relation] = {
     "p39_black_effect_layer": shown(COLOURS, alpha=f"greatest(0.35e0 * {smoothstep('a', 0.03, 0.45)}, {pick(px.PURE_BLACK, '0e0', f'greatest({SMOKE_A}, {GLOW_A})')})"),
     "p40_ai_edge_blend": shown(PIXELS, alpha=pick("a > 0.1e0 and a < 0.9e0", "0.7e0 * a + 0.3e0 * ai", "a")),
     "p42_core_solidify": shown(LAYERS, alpha=pick("sc >= 0.8e0", "1e0", "a")),
-    "p43_prop_restore": shown(MASKS, alpha=pick("luminous", "greatest(0.5e0 * a, greatest(a, 0.985e0))", "0.5e0 * a")),
     "p47_auto_downsample": table("part", "p_partkey", "p_size").select("p_partkey", ratio=rnd("least(512e0 / greatest(p_size * 40e0, p_size * 25e0), 1e0)")),
     "p48_legacy_merge": shown(EFFECT_LAYER, alpha=px.over(f"greatest({pick(AI_SOLID, 'ai')}, {one(SOLID)})", "effect * 0.7e0")),
-    "p49_corridor_post_order": shown(PIXELS, alpha=clip("(floor(a * 255e0) / 255e0 - 0.1e0) / 0.8e0")),
     "f01_region_subject": MASKS.select(*KEYS, subject="subject"),
     "f02_region_transparent": MASKS.select(*KEYS, transparent="transparent"),
     "f03_region_uncertain": MASKS.select(*KEYS, uncertain="uncertain"),
@@ -178,5 +173,4 @@ OPS: dict[str, Relation] = {
     "k11_preview_frames": COLOURS.select(*KEYS, foreground="br > 10", screen="(g > 1.2e0 * r and g > 1.2e0 * b)"),
     "k16_overlay_region": MASKS.select(*KEYS, paint="(case when residue then 'residue' when luminous then 'luminous' when transparent then 'transparent' when hair then 'hair' when uncertain then 'uncertain' when subject then 'subject' else 'none' end)"),
     "u01_candidate_normalize": CANDIDATES.select(*KEYS, "candidate", alpha=rnd(clip("ca")), confidence=rnd(clip("cf")), given="(conf is not null)"),
-    "u05_traditional_candidate": shown(KEYED, alpha="alpha"),
 }

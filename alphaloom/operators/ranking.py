@@ -35,13 +35,9 @@ NUMBERED = table("events", "event_id", "user_id", "ts", "value").let(i="row_numb
 
 OPS: dict[str, Relation] = {
     "r01_region_rank": CHAMPION.select("clip", "frame_idx", "region", "candidate", score=rnd("score")),
-    "r02_standalone_best": STANDALONE.let(k="row_number() over (partition by clip, frame_idx order by holes, speckles, round(overall, 9) desc, round(edge, 9), ord)").where("k = 1").select("clip", "frame_idx", "candidate", "holes", "speckles"),
-    "r03_region_select": CHOSEN.select(*KEYS, "region", "candidate", alpha=rnd("ca")),
-    "r04_selection_guard": GUARD.let(reasons=REASONS).select("clip", "frame_idx", "holes", "takeovers", "reasons", rolled_back="(n >= 25 and reasons <> '')"),
     "r05_fusion_gate": PIXEL_BEST.let(k="row_number() over (partition by clip, frame_idx, y, x order by round(s, 9) desc, ord)").where("k = 1").select(*KEYS, "part", "candidate", alpha=rnd("ca")),
     "r06_layer_compose": PIXELS.let(subj="a", eff="ai", ev="a * ai").let(suppress="(subj <= 0.2e0 and eff <= 0.35e0)", owned="(ev >= 0.5e0 and subj <= 0.6e0 and eff < 0.85e0)").select(
         *KEYS, owner="(case when suppress or owned then 'background' when eff > 0e0 and eff > subj then 'effect' else 'subject' end)", alpha=rnd("(case when suppress or owned then 0e0 else greatest(subj, eff) end)")),
-    "r07_fusion_risk_guard": FUSED.join(GUARD.let(reasons=REASONS).select("clip", "frame_idx", "reasons", "n"), FRAME).select(*KEYS, alpha=rnd("(case when n >= 25 and reasons <> '' then a else ca end)")),
     "r08_top3_mean": PIXELS.agg(FRAME, m="avg(a)").let(k="row_number() over (partition by clip order by m desc, frame_idx)").where("k <= 3").agg("clip", top3=rnd("avg(m)")),
     "r09_top20pct_key": COLOURS.where("y = 0 or y = 7 or x = 0 or x = 7").let(k="row_number() over (partition by clip, frame_idx order by g - greatest(r, b) desc, y, x)", n="count(*) over (partition by clip, frame_idx)").where("k <= greatest(10, floor(0.2e0 * n))").agg(
         FRAME, red=rnd("avg(r)"), green=rnd("avg(g)"), blue=rnd("avg(b)")),
@@ -56,10 +52,4 @@ OPS: dict[str, Relation] = {
     "r15_merge_distinct": table("events", "event_id", "event_type", "user_id").select(code="event_type", summary="user_id", ord="event_id").union(table("events", "event_id", "event_type", "user_id").where("event_id % 3 = 0").select(code="event_type", summary="user_id", ord="event_id + 1000000000")).let(
         k="row_number() over (partition by code, summary order by ord)").where("k = 1").select("code", "summary", "ord"),
     "r17_concat_pixels": COLOURS.where("a <= 0.04e0 and y = 0").select("clip", red="r", green="g", blue="b").union(COLOURS.where("a <= 0.04e0 and y = 7").select("clip", red="r", green="g", blue="b")).agg("clip", n="count(*)", red=rnd("avg(red)")),
-    "r20_selection_payload": CHOSEN.agg("clip frame_idx candidate", pixels="count(*)"),
-    "a23_selected_model_counts": CHAMPION.agg("candidate", decisions="count(*)"),
-    "j08_distance_range_join": PIXELS.where("a >= 0.999e0").select("clip", "frame_idx", cy="y", cx="x").join(PIXELS.where("a < 0.999e0").select("clip", "frame_idx", "y", "x"), "clip frame_idx").where("(y - cy) * (y - cy) + (x - cx) * (x - cx) <= 9").agg(
-        "clip frame_idx y x", distance=rnd("min(sqrt((y - cy) * (y - cy) + (x - cx) * (x - cx)))")),
-    "f24_cyan_halo_band": PIXELS.where("a >= 0.999e0").select("clip", "frame_idx", cy="y", cx="x").join(PIXELS.where("a < 0.5e0").select("clip", "frame_idx", "y", "x", "a"), "clip frame_idx").where("abs(y - cy) <= 2 and abs(x - cx) <= 2").agg(
-        "clip frame_idx y x", weight=rnd("max((3e0 - least(3e0, sqrt((y - cy) * (y - cy) + (x - cx) * (x - cx)))) / 3e0)")),
 }

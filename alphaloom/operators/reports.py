@@ -56,7 +56,6 @@ OPS: dict[str, Relation] = {
     "x24_region_expectation_parse": rows("id long, region string", (1, "subject"), (2, "hair_edge"), (3, "sky"), (4, "uncertain_edge")).select("id", "region", valid="region in ('subject', 'hair_edge', 'luminous_prop', 'transparent_effect', 'background_residue', 'uncertain_edge')"),
     "x33_single_frame_params": PATHS.select("p_partkey", reason=f"(case when {SUFFIX} in {IMAGE} then 'sampled' else 'not an image' end)"),
     "x34_manifest_build_sample": PATHS.where(f"{SUFFIX} in {IMAGE} or {SUFFIX} in {VIDEO}").select("p_partkey", input_path="path", background_mode="(case when lower(path) like '%steel%' then 'black' else 'auto' end)", quality_mode="'standard'"),
-    "x35_risk_signal_rounding": R_HAIR.select("clip", score=rnd("score")),
     "x36_sample_result_row": RESULTS.select("sample", "status", n_failures=("cast(case when failures = '' then 0 else size(split(failures, '; ')) end as long)", "(case when failures = '' then 0 else len(string_split(failures, '; ')) end)::BIGINT")),
     "k06_regression_markdown": RESULTS.select("sample", row="concat('| ', sample, ' | ', status, ' | ', format_string('%.3f', overall_score), ' | ', replace(failures, '; ', '<br>'), ' |')"),
     "k07_quality_summary_write": RESULTS.agg("status", n="count(*)", mean_score=rnd("avg(overall_score)")),

@@ -25,8 +25,6 @@ NOW = "timestamp '2024-01-30 12:00:00'"
 AGE = ("(unix_seconds(timestamp '2024-01-30 12:00:00') - unix_seconds(cast(ts as timestamp)))", "(epoch(timestamp '2024-01-30 12:00:00')::BIGINT - floor(epoch(ts))::BIGINT)")
 
 OPS: dict[str, Relation] = {
-    "w01_temporal_flicker": FLICKER.select("clip", flicker=rnd("flicker")),
-    "w02_ema": SEQUENCE.let(state=ema(0.85)).select("clip", ema=rnd("state")),
     "w08_flicker_by_region": REGIONAL.agg("clip", edge_flicker=rnd("coalesce(avg(edge), 0e0)"), transparent_flicker=rnd("coalesce(avg(effect), 0e0)"), max_frame_delta=rnd("max(every)")),
     "w09_queue_fifo": FIFO.select("job_id", "path", "place", runs_now="(place = 1)"),
     "w10_queue_submit": JOBS.where("status = 'queued'").let(newer="count(*) over (partition by path, job_type order by ts, job_id rows between 1 following and unbounded following)", older="row_number() over (partition by path, job_type order by ts, job_id)").select(
@@ -39,7 +37,4 @@ OPS: dict[str, Relation] = {
     "w17_worker_step": JOBS.let(k="row_number() over (partition by path order by ts, job_id)").where("k = 1").select("job_id", "path", result="(case when job_type <> 'PROCESS_MEDIA' then 'failed' when status = 'cancelled' then 'cancelled' when status = 'failed' then 'failed' else 'completed' end)"),
     "w18_job_snapshot_resolve": JOBS.where("status <> 'cancelled'").let(k="row_number() over (partition by path order by (case when status = 'completed' then 0 when status = 'queued' then 1 else 2 end), ts, job_id)").where("k = 1").select("path", "job_id", "status"),
     "x23_job_summary": JOBS.select("job_id", fps=rnd("(case when seconds > 0 then total / seconds else 0e0 end)")),
-    "u13_black_path": PIXELS.select(*KEYS, alpha=rnd("greatest(a, least(1e0, ai * 0.35e0))")),
-    "w03_adaptive_forward_step": PIXELS.let(p="lag(a) over (partition by clip, y, x order by frame_idx)").let(w="least(1e0, 3e0 * abs(a - p)) * (case when a < 0.02e0 or a > 0.98e0 then 0.1e0 else 1e0 end) * 0.3e0").select(
-        *KEYS, alpha=rnd("(case when p is null then a when a > 0.03e0 and a < 0.75e0 then 0.8e0 * ((1e0 - w) * a + w * p) + 0.2e0 * p else (1e0 - w) * a + w * p end)")),
 }

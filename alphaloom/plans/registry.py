@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with OPS (relations with both renderings) and, where SQL has no form, FREE (Spark functions only).
-MODULES = ("points", "neighbours", "joins", "aggregates", "ranking", "temporal", "reports")
+MODULES = ("points", "neighbours", "joins", "aggregates", "ranking", "temporal", "reports", "framed")
 
 
 @lru_cache(maxsize=1)
@@ -32,5 +32,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for m in _modules():
-        out |= {k: r.sql() for k, r in m.OPS.items()}
+        out |= {k: text for k, r in m.OPS.items() if (text := r.sql())}
     return out

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,10 +98,6 @@ class Relation:
             lambda s, d: self.build(s, d).join(other.build(s, d), names, {"semi": "left_semi", "anti": "left_anti"}.get(how, how)),
             lambda: f"SELECT * FROM ({self.text()}) {word} ({other.text()}) USING ({', '.join(names)})")
 
-    def cross(self, other: Relation) -> Relation:
-        """Attach a table whose size is fixed by construction (one row of totals, a structuring element)."""
-        return Relation(lambda s, d: self.build(s, d).crossJoin(F.broadcast(other.build(s, d))), lambda: f"SELECT * FROM ({self.text()}), ({other.text()})")
-
     def union(self, other: Relation) -> Relation:
         return Relation(lambda s, d: self.build(s, d).unionByName(other.build(s, d)), lambda: f"{self.text()} UNION ALL BY NAME {other.text()}")
 
@@ -108,6 +105,22 @@ class Relation:
         return self._then(lambda df: df.withColumn(name, F.explode(F.expr(spark_text(array)))), lambda q: f"SELECT *, unnest({duck_text(array)}) AS {name} FROM ({q})")
 
 
+#: Tables that stand in for the views of the test data while a query is built; see alphaloom.api.
+BOUND: ContextVar[dict[str, DataFrame]] = ContextVar("bound", default={})
+
+
+def slot(name: str, default: Relation, derive: Callable[[dict[str, DataFrame]], DataFrame | None] = lambda bound: None) -> Relation:
+    """A relation that a caller's table of that name replaces, or one derived from the caller's other tables."""
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound = BOUND.get()
+        if name in bound:
+            return bound[name]
+        derived = derive(bound)
+        return default.build(spark, sf_dir) if derived is None else derived
+
+    return Relation(build, default.text)
+
+
 def isum(x: str) -> tuple[str, str]:
     """A sum of whole numbers as a 64-bit number in both engines."""
     return f"sum({x})", f"sum({x})::BIGINT"
