@@ -25,13 +25,22 @@ KEYS = ["clip", "frame_idx"]
 TILE_VALUES = 1 << 24
 
 
+def _field(*path: str) -> Callable[[Column], Column]:
+    def get(c: Column) -> Column:
+        for name in path:
+            c = c[name]
+        return c
+
+    return get
+
+
 def pack(pixels: DataFrame, *values: str, keys: tuple[str, ...] = ("clip", "frame_idx")) -> DataFrame:
     """Frames of pixel rows (keys, y, x, values); an error where a frame's cells aren't each there once."""
     rows = pixels.groupBy(*keys).agg(F.max("y").alias("_h"), F.max("x").alias("_w"), F.array_sort(F.collect_list(F.struct("y", "x", *values))).alias("_cells"))
     h, w = (F.col("_h") + 1).cast("int"), (F.col("_w") + 1).cast("int")
     whole = (F.size("_cells") == h * w) & (F.size(F.array_distinct(F.transform("_cells", lambda c: F.struct(c["y"], c["x"])))) == h * w) & F.forall("_cells", lambda c: (c["y"] >= 0) & (c["x"] >= 0))
     checked = rows.withColumn("_cells", F.when(whole, F.col("_cells")).otherwise(F.raise_error(F.lit("a frame's cells aren't each there once"))))
-    return checked.select(*keys, h.alias("height"), w.alias("width"), *[F.transform("_cells", lambda c, v=v: c[v]).alias(v) for v in values])
+    return checked.select(*keys, h.alias("height"), w.alias("width"), *[F.transform("_cells", _field(v)).alias(v) for v in values])
 
 
 def cells(frames: DataFrame, *values: str, keys: tuple[str, ...] = ("clip", "frame_idx")) -> DataFrame:
@@ -231,14 +240,16 @@ def select(candidates: DataFrame, owned: DataFrame, scores: DataFrame | None = N
     gathered = side.groupBy("clip", "frame_idx").agg(F.array_sort(F.collect_list(F.struct(*one))).alias("of"))
     fields = [F.transform("of", lambda c: c["candidate"]).alias("names"), F.flatten(F.transform("of", lambda c: c["a"])).alias("values")]
     if scores is not None:
-        fields += [F.transform("of", lambda c, k=k: c["given"][k]).alias(f"given_{k}") for k in ("overall", *names)]
+        fields += [F.transform("of", _field("given", k)).alias(f"given_{k}") for k in ("overall", *names)]
     d = owned.join(gathered, ["clip", "frame_idx"]).withColumns(dict(zip(["names", "values"] + ([f"given_{k}" for k in ("overall", *names)] if scores is not None else []), fields)))
 
+    is_given = scores is not None
+
     def rule(f: Frame) -> dict:
         h, w = f.shape
         alphas = list(f.row["values"].reshape(-1, h, w))
         label = list(f.row["names"])
-        given = [dict(zip(("overall", *names), map(float, x))) for x in zip(*[f.row[f"given_{k}"] for k in ("overall", *names)])] if scores is not None else None
+        given = [dict(zip(("overall", *names), map(float, x))) for x in zip(*[f.row[f"given_{k}"] for k in ("overall", *names)])] if is_given else None
         got = rules.selected(alphas, f.own(), given)
         return {"alpha": got["alpha"], "decisions": [{"region": r, "candidate": label[k], "score": s, "pixels": n} for r, k, s, n in got["decisions"]], "reasons": got["reasons"], "fallback": None if got["fallback"] is None else label[got["fallback"]],
                 "selected_holes": got["chosen"]["holes"], "fallback_holes": got["safe"]["holes"], "selected_score": got["chosen"]["score"], "fallback_score": got["safe"]["score"], "selected_edge": got["chosen"]["edge"], "fallback_edge": got["safe"]["edge"]}

@@ -136,7 +136,7 @@ def components(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, np.
     _, stop = np.nonzero(edge == -1)
     n = len(row)
     if not n:
-        return np.zeros((h, w), np.int64), np.zeros(1, np.int64)
+        return np.zeros((h, w), np.int64), np.array([h * w])
     reach = 1 if diagonal else 0
     # Runs of the row above that touch each run lie side by side: from the first that ends behind its start to the last that starts before its end.
     place = row.astype(np.int64) * (w + 3)
