@@ -123,8 +123,6 @@ OPS: dict[str, Relation] = {
     "a04_bg_score_black": BLACK.select("clip", "frame_idx", black=rnd("black")),
     "a05_bg_classify": CLASSIFIED,
     "a06_region_pixel_counts": FRAME_COUNTS,
-    "a07_region_supervision": FRAME_COUNTS.select("clip", "frames", "cells", **{f"{k}_ratio": rnd(f"{k} / cast(cells as double)") for k in REGIONS},
-                                                  failures="concat_ws('; ', case when luminous = 0 then 'missing luminous' end, case when subject / cast(cells as double) < 0.3e0 then 'subject below 0.300' end)"),
     "a08_ratio_stats": ratio_stats(PIXELS.agg(FRAME, v="avg(a)")).select("clip", mean=rnd("mean_v"), max=rnd("max_v"), p95=rnd("p95"), min=rnd("min_v"), top3=rnd("top3")),
     "a09_masked_ratio": RESIDUE.select("clip", mean=rnd("mean_v"), max=rnd("max_v"), p95=rnd("p95"), min=rnd("min_v"), top3=rnd("top3")),
     "a10_low_alpha_ratio": MASKS.agg(FRAME, hair=rnd(low_alpha("hair", 0.08)), effect=rnd(low_alpha("(transparent or luminous)", 0.08)), light=rnd(low_alpha(f"({px.LIGHT_LOW_SATURATION} and subject)", 0.35))),
@@ -149,8 +147,6 @@ OPS: dict[str, Relation] = {
                                    despill="(case when green_haze > 0.18e0 then 0.78e0 else 0.7e0 end)", edge_factor="(case when green_haze > 0.18e0 then 1.3e0 else 1.2e0 end)"),
     "a39_takeover_counts": CANDIDATES.where("ord = 0").select("clip", "frame_idx", "y", "x", base="ca", base_conf="cf").join(CANDIDATES.where("ord > 0").select("clip", "frame_idx", "y", "x", "candidate", "ca", "cf"), "clip frame_idx y x").agg(
         "clip candidate", lower="count_if(ca < base - 0.08e0 and cf > base_conf - 0.5e0)", higher="count_if(ca > base + 0.08e0 and cf > base_conf - 0.5e0)"),
-    "a35_regression_totals": METRICS.agg("", total="count(*)", failed="count_if(overall_score < 0.8e0)", passed="bool_and(overall_score >= 0.8e0)"),
-    "a36_diagnostic_counts": table("events", "user_id", "event_type").agg("user_id", blocking="count_if(event_type = 'error')", warning="count_if(event_type = 'click')", info="count_if(event_type not in ('error', 'click'))", ok="bool_and(event_type <> 'error')"),
     "a37_summary_by_input": table("conversations", "conv_id", "turn", "role", "text").let(first_turn="min(turn) over (partition by conv_id, role)", n="count(*) over (partition by conv_id, role)").let(
         k="row_number() over (partition by conv_id order by n desc, first_turn, turn, role)").agg("conv_id", turns="count(*)", dominant="max(case when k = 1 then role end)", mean_chars=rnd("avg(length(text))"), long_turns="count_if(length(text) > 200)"),
 }

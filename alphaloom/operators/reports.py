@@ -35,40 +35,19 @@ MESSAGES = table("documents", "doc_id", "text").select("doc_id", msg="lower(subs
 URLS = table("pages", "page_id", "url")
 
 OPS: dict[str, Relation] = {
-    "x02_flatten_metrics": GATED.select("sample", flat="concat_ws('|', concat('overall_score=', format_string('%.6f', overall_score)), concat('p0_risk.hair_edge_loss.score=', format_string('%.6f', coalesce(hair_risk, 0e0))), concat('hole_pixels=', cast(holes as string)))"),
-    "x03_threshold_gate": RESULTS.select("sample", "status", "failures", score=rnd("overall_score")),
-    "x04_p0_gate": P0.select("sample", "level", "failures"),
-    "x05_sample_name": PATHS.select("p_partkey", name="coalesce(nullif(regexp_replace(regexp_extract(path, '([^/]+)$', 1), '[.][^.]*$', ''), ''), 'sample')"),
     "x06_sanitize_name": URLS.select("page_id", name=("coalesce(nullif(trim(both '_.' from regexp_replace(url, '[<>:\"/\\\\\\\\|?*\\\\s]+', '_')), ''), 'output')", "coalesce(nullif(trim(regexp_replace(url, '[<>:\"/\\\\|?*\\s]+', '_', 'g'), '_.'), ''), 'output')")),
-    "x08_classify_background_tokens": URLS.select("page_id", mode="(case when lower(url) like '%black%' or lower(url) like '%/de/%' then 'black' when lower(url) like '%green%' or lower(url) like '%/en/%' then 'green' else 'auto' end)"),
-    "x09_manifest_name": PATHS.select("p_partkey", name="concat_ws('_', nullif(regexp_extract(path, '/([^/]+)/[^/]+$', 1), 'assets'), regexp_replace(regexp_extract(path, '([^/]+)$', 1), '[.][^.]*$', ''))"),
-    "x10_exception_rules": MESSAGES.select("doc_id", code="(case when msg like '%memory%' or msg like '%the the%' then 'out_of_memory' when msg like '%token%' then 'credential' when msg like '%license%' then 'model_license' when msg like '%that%' then 'input_invalid' else 'unknown' end)"),
-    "x11_model_status_rules": table("supplier", "s_suppkey", "s_name", "s_acctbal").select("s_suppkey", status="(case when s_acctbal < 0 then 'model_missing' when s_acctbal < 1000 then 'model_incomplete' else 'ready' end)", severity="(case when s_acctbal < 0 then 'blocking' when s_acctbal < 1000 then 'warning' else 'info' end)"),
-    "x12_media_tool_rules": table("nation", "n_nationkey").select("n_nationkey", item="(case when n_nationkey % 4 = 0 then 'ffmpeg_missing' when n_nationkey % 4 = 1 then 'ffprobe_missing' else 'ok' end)"),
-    "x13_report_to_text": GATED.select("sample", line="concat('[', (case when failures = '' then 'info' else 'warning' end), '] ', sample, ': ', (case when failures = '' then 'passed' else failures end))"),
     "x14_focus_rules": QUALITY.select("clip", focus="(case when holes > 1000 then 'holes' when edge > 0.2e0 then 'edges' when flicker > 0.2e0 then 'flicker' else 'none' end)"),
     "x15_report_view": GATED.select("sample", view="concat('Score: ', coalesce(format_string('%.3f', overall_score), 'N/A'), ', baseline: ', (case when base_score is null then 'N/A' else format_string('%.3f', base_score) end))"),
     "x17_relative_path": PATHS.select("p_partkey", shown="(case when path like '/assets/%' then substring(path, 9) else path end)"),
-    "x18_enum_coerce": table("customer", "c_custkey", "c_mktsegment").select("c_custkey", mode="(case upper(c_mktsegment) when 'BUILDING' then 'green' when 'MACHINERY' then 'black' when 'AUTOMOBILE' then 'auto' else 'unknown' end)"),
     "x20_result_mapping": JOBS.select("job_id", frames="coalesce(nullif(done, 0), total)", elapsed=rnd("coalesce(seconds, 0e0)")),
     "x21_path_containment": PATHS.select("p_partkey", inside="(path like '/assets/%' and path not like '%/../%')"),
     "x22_effective_mode": CLASSIFIED.select("clip", mode="(case when background = 'unknown' and green >= black then 'green' when background = 'unknown' then 'black' else background end)"),
     "x24_region_expectation_parse": rows("id long, region string", (1, "subject"), (2, "hair_edge"), (3, "sky"), (4, "uncertain_edge")).select("id", "region", valid="region in ('subject', 'hair_edge', 'luminous_prop', 'transparent_effect', 'background_residue', 'uncertain_edge')"),
     "x33_single_frame_params": PATHS.select("p_partkey", reason=f"(case when {SUFFIX} in {IMAGE} then 'sampled' else 'not an image' end)"),
-    "x34_manifest_build_sample": PATHS.where(f"{SUFFIX} in {IMAGE} or {SUFFIX} in {VIDEO}").select("p_partkey", input_path="path", background_mode="(case when lower(path) like '%steel%' then 'black' else 'auto' end)", quality_mode="'standard'"),
-    "x36_sample_result_row": RESULTS.select("sample", "status", n_failures=("cast(case when failures = '' then 0 else size(split(failures, '; ')) end as long)", "(case when failures = '' then 0 else len(string_split(failures, '; ')) end)::BIGINT")),
-    "k06_regression_markdown": RESULTS.select("sample", row="concat('| ', sample, ' | ', status, ' | ', format_string('%.3f', overall_score), ' | ', replace(failures, '; ', '<br>'), ' |')"),
-    "k07_quality_summary_write": RESULTS.agg("status", n="count(*)", mean_score=rnd("avg(overall_score)")),
     "k08_quality_debug_txt": QUALITY.select("clip", text="concat('edge=', format_string('%.6f', round(edge, 6)), ' speckles=', cast(speckles as string), ' holes=', cast(holes as string))"),
     "k13_artifact_manifest": MASKS.agg("clip", matte="count(*)", luminous="count_if(luminous)").select("clip", artifacts="concat_ws(',', 'Matte', case when luminous > 0 then 'FG' end, 'Processed')"),
-    "k14_manifest_write": PATHS.where(f"{SUFFIX} in {IMAGE}").let(place="cast(row_number() over (partition by substring(path, 1, 12) order by path) as long)").select("path", "place"),
     "s01_input_kind_detect": PATHS.select("p_partkey", kind=f"(case when {SUFFIX} = '' then 'sequence' when {SUFFIX} in {VIDEO} then 'video' when {SUFFIX} in {IMAGE} then 'image' else 'unsupported' end)"),
     "s02_suffix_predicates": PATHS.select("p_partkey", is_video=f"({SUFFIX} in {VIDEO})", is_image=f"({SUFFIX} in {IMAGE})"),
-    "s06_frame_limit": PIXELS.agg("clip frame_idx", n="count(*)").agg("clip", frames="count(*)").select("clip", "frames", verdict="(case when frames > 1800 then 'too many frames' else 'ok' end)"),
-    "s08_report_discovery": PATHS.where(f"{SUFFIX} = '.txt'").select("path"),
-    "s09_report_json_scan": PARSED.select("event_id", k="(case when ok then k end)", failure="(case when ok then '' else 'invalid report' end)"),
-    "s10_empty_root_guard": rows("root string", ("reports",)).join(PATHS.where("path = 'none'").agg("path", n="count(*)").select(root="path", n="n"), "root", "left").select("root", failure="(case when coalesce(n, 0) = 0 then 'no reports found' else '' end)"),
-    "s12_baseline_scan": PARSED.where("ok").select("event_id", value=("try_cast(k as double)", "try_cast(k as double)")).where("value is not null"),
     "s13_alpha_image_scan": PIXELS.agg("clip frame_idx", top="max(r)").join(PIXELS, "clip frame_idx").select(*KEYS, alpha=rnd("(case when top > 1 then r / 255e0 else r end)")),
     "s14_first_matte_pick": PATHS.let(folder="regexp_extract(path, '^(.*)/', 1)").where(f"{SUFFIX} = '.png'").agg("folder", first_path="min(path)"),
     "s16_preview_frame_scan": PATHS.let(folder="regexp_extract(path, '^(.*)/', 1)", prio=f"(case when {SUFFIX} = '.png' then 0 when {SUFFIX} = '.jpg' then 1 else 2 end)").let(k="row_number() over (partition by folder order by prio, path)").where("k = 1").select("folder", "path"),
@@ -78,9 +57,7 @@ OPS: dict[str, Relation] = {
     "x30_report_sections": GATED.select("sample", model="'unavailable'", fusion="'{}'", baseline="(case when base_score is null then '{}' else concat('{\"overall_score\":', format_string('%.3f', base_score), '}') end)"),
     "x31_report_load_view": PARSED.select("event_id", view="(case when not ok then 'report unavailable' when k is null then 'N/A' else concat('k = ', k) end)"),
     "s07_decode_dispatch": PATHS.select("p_partkey", reader=f"(case when {SUFFIX} = '' then 'sequence_scan' when {SUFFIX} in {VIDEO} then 'video_scan' when {SUFFIX} in {IMAGE} then 'image_scan' else 'none' end)"),
-    "s11_manifest_scan": PARSED.where("ok").select("event_id", name="concat('sample_', coalesce(k, 'x'))", background_mode="coalesce(cast(null as string), 'auto')", quality_mode="'standard'"),
     "k04_report_write": RESULTS.select(line="concat('{\"failures\":\"', failures, '\",\"sample\":\"', sample, '\",\"status\":\"', status, '\"}')"),
-    "k05_regression_json": RESULTS.agg("", total="count(*)", failed="count_if(status = 'fail')").select(document="concat('{\"failed\":', cast(failed as string), ',\"total\":', cast(total as string), '}')"),
     "k09_selection_debug_sheet": CANDIDATES.agg("candidate", pixels="count(*)", mean_alpha=rnd("avg(ca)")).select(line="concat(candidate, ' ', cast(pixels as string), ' ', format_string('%.3f', mean_alpha))"),
     "u03_quality_driven": CANDIDATES.agg("candidate", n="count(*)", m="avg(ca)").select("candidate", "n", mean=rnd("m"), skipped="(m < 0.3e0)"),
     "u04_skip_reasons": rows("name string, available boolean, guided boolean, failed boolean", ("gvm", False, False, False), ("sam2", True, False, False), ("rvm", True, True, True), ("traditional", True, True, False)).select(
