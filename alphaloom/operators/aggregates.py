@@ -139,8 +139,6 @@ OPS: dict[str, Relation] = {
         "clip", score=rnd("avg(1.2e0 * solid + 0.35e0 * least(mean_a, 0.65e0) - 0.3e0 * soft - (case when cover > 0.98e0 and solid < 0.1e0 then 0.45e0 else 0e0 end))")),
     "a31_fallback_region_quality": DELTAS.select("clip", entity=rnd("entity"), effect=rnd("effect"), transition=rnd("transition"), weighted=rnd("weighted")),
     "a32_materially_better": DELTAS.select("clip", verdict="(case when effect < -0.03e0 then 'effect_damage' when weighted < 0.02e0 then 'score' else 'better' end)"),
-    "a33_degenerate_sequence": LAYERS.agg(FRAME, low=share("ai < 0.25e0"), base=share("a >= 0.5e0")).agg("clip", hits="count_if(low > 0.2e0 and base >= 0.35e0)", n="count(*)").select(
-        "clip", "hits", degenerate=("hits >= greatest(2, (n + 1) div 2)", "hits >= greatest(2, (n + 1) // 2)")),
     "a34_auto_param_metrics": AUTO.select("clip", "frame_idx", **{k: rnd(k) for k in ("green_excess", "blue_excess", "white_subject", "pink_glow", "white_glow", "green_haze")}, screen_purity=rnd("greatest(green_excess, blue_excess)")),
     "u18_auto_params": AUTO.select("clip", "frame_idx", screen="(case when blue_excess > green_excess * 1.15e0 then 'blue' else 'green' end)", similarity="(case when greatest(green_excess, blue_excess) > 0.22e0 then 0.35e0 when greatest(green_excess, blue_excess) < 0.1e0 then 0.55e0 else 0.4e0 end)",
                                    key_strength="(case when white_subject > 0.08e0 then 0.95e0 else 1e0 end)", preserve="(case when pink_glow > 0.05e0 or white_glow > 0.08e0 then 0.72e0 else 0.7e0 end)",

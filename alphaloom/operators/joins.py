@@ -15,8 +15,6 @@ FAIR = CANDIDATES.where("ord = 0").select("clip", "frame_idx", "y", "x", base="c
 
 OPS: dict[str, Relation] = {
     "j01_frame_alpha_zip": PIXELS.agg("clip frame_idx", n="count(*)").join(MASKS.agg("clip frame_idx", m="count(*)"), "clip frame_idx", "outer").agg("", frames="count(*)", unmatched="count_if(n is null or m is null or n <> m)"),
-    "j02_ownership_lookup": PIXELS.select(*KEYS).join(MASKS.where("frame_idx % 3 <> 0").select(*KEYS, "subject"), "clip frame_idx y x", "left").select(*KEYS, subject="subject", known="(subject is not null)"),
-    "f17_ownership_mask_safe": PIXELS.select(*KEYS).join(MASKS.where("frame_idx % 3 <> 0").select(*KEYS, "hair"), "clip frame_idx y x", "left").select(*KEYS, mask="coalesce(hair, false)"),
     "j03_quality_by_frame_candidate": SCORED.let(k="row_number() over (partition by clip, frame_idx, candidate order by ord desc)").where("k = 1").select("clip", "frame_idx", "candidate", overall=rnd("overall")),
     "j04_baseline_left_join": METRICS.join(BASELINE, "sample", "left").select("sample", score=rnd("overall_score"), baseline=rnd("base_score"), known="(base_score is not null)"),
     "j05_manifest_merge": GENERATED.join(EXISTING, "path", "outer").select("path", mode="coalesce(e_mode, g_mode)", name="e_name", change="(case when e_name is null then 'added' when e_mode is null and g_mode is not null then 'updated' else 'kept' end)"),
@@ -25,9 +23,6 @@ OPS: dict[str, Relation] = {
         "clip", "frame_idx", "before", step=rnd("m - m0")),
     "j11_candidate_by_name": FAIR.join(CANDIDATES.where("candidate = 'steep'").select(*KEYS, "ca"), "clip frame_idx y x").agg("clip frame_idx", lower="count_if(ca < base - 0.08e0)"),
     "j12_session_path_membership": JOBS.join(JOBS.where("job_type = 'PREVIEW'").select("path"), "path", "semi").select("job_id", "path"),
-    "j13_region_failures_from_report": table("labels", "doc_id", "quality", "toxic").join(table("documents", "doc_id", "n_chars").where("doc_id % 5 <> 0"), "doc_id", "left").select(
-        "doc_id", failure="(case when n_chars is null then 'missing report' when quality = 0 then 'quality below minimum' when toxic = 1 then 'toxic region' else '' end)"),
-    "j14_shape_alignment_checks": CANDIDATES.where("ord = 1").select(*KEYS, "ca").join(PIXELS.where("frame_idx % 50 <> 7").select(*KEYS, "a"), "clip frame_idx y x", "outer").agg("clip frame_idx", missing="count_if(ca is null or a is null)"),
     "j09_active_duplicate_lookup": JOBS.where("status in ('queued', 'running')").let(k="row_number() over (partition by job_type, path order by ts, job_id)", first_job="min(job_id) over (partition by job_type, path)").where("k > 1").select("job_id", "job_type", "path", "first_job"),
     "r16_mask_union_intersect_except": MASKS.select(*KEYS, either="(hair or transparent)", both="(hair and transparent)", only_hair="(hair and not transparent)"),
     "r18_sorted_distinct_paths": table("pages", "url").select(path=("regexp_replace(url, '[?#].*$', '')", "regexp_replace(url, '[?#].*$', '')")).distinct(),

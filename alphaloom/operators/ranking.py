@@ -45,10 +45,7 @@ OPS: dict[str, Relation] = {
     "r11_linspace_sample": NUMBERED.let(k="least(5, n)").where(("exists(sequence(0, cast(k as int) - 1), j -> i = floor(j * (n - 1) / greatest(k - 1, 1)))", "len(list_filter(range(k), lambda j: i = floor(j * (n - 1) / greatest(k - 1, 1)))) > 0")).select("event_id", "user_id"),
     "r12_head_mid_tail_sample": NUMBERED.where(("i = 0 or i = n div 2 or i = n - 1", "i = 0 or i = n // 2 or i = n - 1")).select("event_id", "user_id"),
     "s15_representative_frame": NUMBERED.where(("i = n div 2", "i = n // 2")).select("event_id", "user_id"),
-    "r13_priority_sort": PIXELS.agg(FRAME, peak="max(abs(ai - a))").where("peak >= 0.05e0").let(place="cast(row_number() over (partition by clip order by round(peak, 9) desc, frame_idx) as long)").select("clip", "frame_idx", "place", peak=rnd("peak")),
     "n16_peak_crop": PIXELS.let(k="row_number() over (partition by clip, frame_idx order by round(abs(ai - a), 9) desc, y, x)").where("k = 1 and abs(ai - a) >= 0.05e0").select("clip", "frame_idx", "y", "x", top="greatest(0, least(y - 2, 3))", left_="greatest(0, least(x - 2, 3))", diff=rnd("ai - a")),
-    "r14_engine_priority": table("supplier", "s_suppkey", "s_nationkey").let(engine="(case when s_suppkey % 5 = 0 then 'gvm' when s_suppkey % 5 = 1 then 'corridorkey' when s_suppkey % 5 = 2 then 'rembg' when s_suppkey % 5 = 3 then 'birefnet' else 'rvm' end)", prio="cast(s_suppkey % 5 as int)").let(
-        k="row_number() over (partition by s_nationkey order by prio, s_suppkey)").where("k = 1").select("s_nationkey", "engine"),
     "r15_merge_distinct": table("events", "event_id", "event_type", "user_id").select(code="event_type", summary="user_id", ord="event_id").union(table("events", "event_id", "event_type", "user_id").where("event_id % 3 = 0").select(code="event_type", summary="user_id", ord="event_id + 1000000000")).let(
         k="row_number() over (partition by code, summary order by ord)").where("k = 1").select("code", "summary", "ord"),
     "r17_concat_pixels": COLOURS.where("a <= 0.04e0 and y = 0").select("clip", red="r", green="g", blue="b").union(COLOURS.where("a <= 0.04e0 and y = 7").select("clip", red="r", green="g", blue="b")).agg("clip", n="count(*)", red=rnd("avg(red)")),

@@ -37,33 +37,15 @@ URLS = table("pages", "page_id", "url")
 OPS: dict[str, Relation] = {
     "x06_sanitize_name": URLS.select("page_id", name=("coalesce(nullif(trim(both '_.' from regexp_replace(url, '[<>:\"/\\\\\\\\|?*\\\\s]+', '_')), ''), 'output')", "coalesce(nullif(trim(regexp_replace(url, '[<>:\"/\\\\|?*\\s]+', '_', 'g'), '_.'), ''), 'output')")),
     "x14_focus_rules": QUALITY.select("clip", focus="(case when holes > 1000 then 'holes' when edge > 0.2e0 then 'edges' when flicker > 0.2e0 then 'flicker' else 'none' end)"),
-    "x15_report_view": GATED.select("sample", view="concat('Score: ', coalesce(format_string('%.3f', overall_score), 'N/A'), ', baseline: ', (case when base_score is null then 'N/A' else format_string('%.3f', base_score) end))"),
     "x17_relative_path": PATHS.select("p_partkey", shown="(case when path like '/assets/%' then substring(path, 9) else path end)"),
     "x20_result_mapping": JOBS.select("job_id", frames="coalesce(nullif(done, 0), total)", elapsed=rnd("coalesce(seconds, 0e0)")),
     "x21_path_containment": PATHS.select("p_partkey", inside="(path like '/assets/%' and path not like '%/../%')"),
     "x22_effective_mode": CLASSIFIED.select("clip", mode="(case when background = 'unknown' and green >= black then 'green' when background = 'unknown' then 'black' else background end)"),
-    "x24_region_expectation_parse": rows("id long, region string", (1, "subject"), (2, "hair_edge"), (3, "sky"), (4, "uncertain_edge")).select("id", "region", valid="region in ('subject', 'hair_edge', 'luminous_prop', 'transparent_effect', 'background_residue', 'uncertain_edge')"),
     "x33_single_frame_params": PATHS.select("p_partkey", reason=f"(case when {SUFFIX} in {IMAGE} then 'sampled' else 'not an image' end)"),
     "k08_quality_debug_txt": QUALITY.select("clip", text="concat('edge=', format_string('%.6f', round(edge, 6)), ' speckles=', cast(speckles as string), ' holes=', cast(holes as string))"),
     "k13_artifact_manifest": MASKS.agg("clip", matte="count(*)", luminous="count_if(luminous)").select("clip", artifacts="concat_ws(',', 'Matte', case when luminous > 0 then 'FG' end, 'Processed')"),
     "s01_input_kind_detect": PATHS.select("p_partkey", kind=f"(case when {SUFFIX} = '' then 'sequence' when {SUFFIX} in {VIDEO} then 'video' when {SUFFIX} in {IMAGE} then 'image' else 'unsupported' end)"),
     "s02_suffix_predicates": PATHS.select("p_partkey", is_video=f"({SUFFIX} in {VIDEO})", is_image=f"({SUFFIX} in {IMAGE})"),
-    "s13_alpha_image_scan": PIXELS.agg("clip frame_idx", top="max(r)").join(PIXELS, "clip frame_idx").select(*KEYS, alpha=rnd("(case when top > 1 then r / 255e0 else r end)")),
-    "s14_first_matte_pick": PATHS.let(folder="regexp_extract(path, '^(.*)/', 1)").where(f"{SUFFIX} = '.png'").agg("folder", first_path="min(path)"),
-    "s16_preview_frame_scan": PATHS.let(folder="regexp_extract(path, '^(.*)/', 1)", prio=f"(case when {SUFFIX} = '.png' then 0 when {SUFFIX} = '.jpg' then 1 else 2 end)").let(k="row_number() over (partition by folder order by prio, path)").where("k = 1").select("folder", "path"),
-    "x01_json_safe": table("events", "event_id", "value").select("event_id", value=rnd("coalesce(value, 0e0)")),
-    "x16_report_build": QUALITY.select("clip", report="concat('{\"frames\":', cast(frames as string), ',\"holes\":', cast(holes as string), ',\"speckles\":', cast(speckles as string), ',\"schema_version\":2}')"),
-    "x29_report_view_sections": QUALITY.select("clip", quality="concat('- edge: ', format_string('%.3f', edge))", regions="concat('- holes: ', cast(holes as string))", fusion="'N/A'"),
-    "x30_report_sections": GATED.select("sample", model="'unavailable'", fusion="'{}'", baseline="(case when base_score is null then '{}' else concat('{\"overall_score\":', format_string('%.3f', base_score), '}') end)"),
-    "x31_report_load_view": PARSED.select("event_id", view="(case when not ok then 'report unavailable' when k is null then 'N/A' else concat('k = ', k) end)"),
     "s07_decode_dispatch": PATHS.select("p_partkey", reader=f"(case when {SUFFIX} = '' then 'sequence_scan' when {SUFFIX} in {VIDEO} then 'video_scan' when {SUFFIX} in {IMAGE} then 'image_scan' else 'none' end)"),
-    "k04_report_write": RESULTS.select(line="concat('{\"failures\":\"', failures, '\",\"sample\":\"', sample, '\",\"status\":\"', status, '\"}')"),
     "k09_selection_debug_sheet": CANDIDATES.agg("candidate", pixels="count(*)", mean_alpha=rnd("avg(ca)")).select(line="concat(candidate, ' ', cast(pixels as string), ' ', format_string('%.3f', mean_alpha))"),
-    "u03_quality_driven": CANDIDATES.agg("candidate", n="count(*)", m="avg(ca)").select("candidate", "n", mean=rnd("m"), skipped="(m < 0.3e0)"),
-    "u04_skip_reasons": rows("name string, available boolean, guided boolean, failed boolean", ("gvm", False, False, False), ("sam2", True, False, False), ("rvm", True, True, True), ("traditional", True, True, False)).select(
-        "name", reason="(case when not available then 'model_unavailable' when not guided then 'guidance_missing' when failed then 'generation_failed' else '' end)"),
-    "u12_green_path": shown(KEYED.select(*KEYS, base="alpha").join(EFFECT_LAYER.select(*KEYS, "effect"), "clip frame_idx y x"), alpha="least(1e0, base + effect * (1e0 - base))"),
-    "u14_unknown_path": CLASSIFIED.select("clip", keyer="(case when background <> 'unknown' then background when black > green then 'black' else 'green' end)"),
-    "u17_decontaminate": shown(DESPILLED.let(w="(case when a > 0.02e0 and a < 0.98e0 then 0.35e0 else 0e0 end)"), red="least(255e0, rc * (1e0 - w) + r * w)", green="greatest(0e0, gc * (1e0 - w) + g * w)"),
-    "u27_quality_history_copy": PIXELS.agg("clip frame_idx", n="count(*)").union(PIXELS.where("frame_idx % 2 = 0").agg("clip frame_idx", n="count(*)")).agg("clip", frames="count(*)", pixels=isum("n")),
 }

@@ -26,15 +26,12 @@ AGE = ("(unix_seconds(timestamp '2024-01-30 12:00:00') - unix_seconds(cast(ts as
 
 OPS: dict[str, Relation] = {
     "w08_flicker_by_region": REGIONAL.agg("clip", edge_flicker=rnd("coalesce(avg(edge), 0e0)"), transparent_flicker=rnd("coalesce(avg(effect), 0e0)"), max_frame_delta=rnd("max(every)")),
-    "w09_queue_fifo": FIFO.select("job_id", "path", "place", runs_now="(place = 1)"),
     "w10_queue_submit": JOBS.where("status = 'queued'").let(newer="count(*) over (partition by path, job_type order by ts, job_id rows between 1 following and unbounded following)", older="row_number() over (partition by path, job_type order by ts, job_id)").select(
         "job_id", "job_type", outcome="(case when job_type = 'PREVIEW' and newer > 0 then 'replaced' when job_type = 'PROCESS_MEDIA' then 'queued' when job_type = 'VERIFY' and older > 1 then 'duplicate' else 'queued' end)"),
     "w11_job_lifecycle": LATEST.where("k = 1").select("path", "job_type", "job_id", "status"),
-    "w12_history_clear": JOBS.where("status in ('completed', 'failed', 'cancelled')").agg("status", removed="count(*)"),
     "w13_session_ttl": SEEN.let(working="(user_id % 9 = 0)").select("user_id", "n", evicted=("(unix_seconds(cast(last_seen as timestamp)) <= unix_seconds(timestamp '2024-01-30 12:00:00') - 3600 and not working)", "(floor(epoch(last_seen))::BIGINT <= epoch(timestamp '2024-01-30 12:00:00')::BIGINT - 3600 and not working)")),
     "w14_artifact_age_out": JOBS.let(age=AGE).where("age > 3600 and status <> 'queued'").select("job_id", "age"),
     "w16_queue_panel": JOBS.select("job_id", "status", "job_type", short_id="substring(sha1(cast(job_id as string)), 1, 8)", percent=("(case when total > 0 then cast(floor(least(done, total) * 100 / total) as long) else 0L end)", "(case when total > 0 then floor(least(done, total) * 100 / total)::BIGINT else 0::BIGINT end)")),
-    "w17_worker_step": JOBS.let(k="row_number() over (partition by path order by ts, job_id)").where("k = 1").select("job_id", "path", result="(case when job_type <> 'PROCESS_MEDIA' then 'failed' when status = 'cancelled' then 'cancelled' when status = 'failed' then 'failed' else 'completed' end)"),
     "w18_job_snapshot_resolve": JOBS.where("status <> 'cancelled'").let(k="row_number() over (partition by path order by (case when status = 'completed' then 0 when status = 'queued' then 1 else 2 end), ts, job_id)").where("k = 1").select("path", "job_id", "status"),
     "x23_job_summary": JOBS.select("job_id", fps=rnd("(case when seconds > 0 then total / seconds else 0e0 end)")),
 }
