@@ -34,7 +34,6 @@ STANDALONE = CANDIDATES.agg("clip frame_idx candidate ord", holes="count_if(ca <
 NUMBERED = table("events", "event_id", "user_id", "ts", "value").let(i="row_number() over (partition by user_id order by ts, event_id) - 1", n="count(*) over (partition by user_id)")
 
 OPS: dict[str, Relation] = {
-    "r01_region_rank": CHAMPION.select("clip", "frame_idx", "region", "candidate", score=rnd("score")),
     "r05_fusion_gate": PIXEL_BEST.let(k="row_number() over (partition by clip, frame_idx, y, x order by round(s, 9) desc, ord)").where("k = 1").select(*KEYS, "part", "candidate", alpha=rnd("ca")),
     "r06_layer_compose": PIXELS.let(subj="a", eff="ai", ev="a * ai").let(suppress="(subj <= 0.2e0 and eff <= 0.35e0)", owned="(ev >= 0.5e0 and subj <= 0.6e0 and eff < 0.85e0)").select(
         *KEYS, owner="(case when suppress or owned then 'background' when eff > 0e0 and eff > subj then 'effect' else 'subject' end)", alpha=rnd("(case when suppress or owned then 0e0 else greatest(subj, eff) end)")),
@@ -44,7 +43,6 @@ OPS: dict[str, Relation] = {
     "r10_p10_excess": COLOURS.let(e="g - greatest(r, b)").where("e > 0").let(k="row_number() over (partition by clip, frame_idx order by e, y, x) - 1", n="count(*) over (partition by clip, frame_idx)").where("k = floor(0.1e0 * n)").select("clip", "frame_idx", excess=rnd("e")),
     "r11_linspace_sample": NUMBERED.let(k="least(5, n)").where(("exists(sequence(0, cast(k as int) - 1), j -> i = floor(j * (n - 1) / greatest(k - 1, 1)))", "len(list_filter(range(k), lambda j: i = floor(j * (n - 1) / greatest(k - 1, 1)))) > 0")).select("event_id", "user_id"),
     "r12_head_mid_tail_sample": NUMBERED.where(("i = 0 or i = n div 2 or i = n - 1", "i = 0 or i = n // 2 or i = n - 1")).select("event_id", "user_id"),
-    "s15_representative_frame": NUMBERED.where(("i = n div 2", "i = n // 2")).select("event_id", "user_id"),
     "n16_peak_crop": PIXELS.let(k="row_number() over (partition by clip, frame_idx order by round(abs(ai - a), 9) desc, y, x)").where("k = 1 and abs(ai - a) >= 0.05e0").select("clip", "frame_idx", "y", "x", top="greatest(0, least(y - 2, 3))", left_="greatest(0, least(x - 2, 3))", diff=rnd("ai - a")),
     "r15_merge_distinct": table("events", "event_id", "event_type", "user_id").select(code="event_type", summary="user_id", ord="event_id").union(table("events", "event_id", "event_type", "user_id").where("event_id % 3 = 0").select(code="event_type", summary="user_id", ord="event_id + 1000000000")).let(
         k="row_number() over (partition by code, summary order by ord)").where("k = 1").select("code", "summary", "ord"),

@@ -36,16 +36,11 @@ URLS = table("pages", "page_id", "url")
 
 OPS: dict[str, Relation] = {
     "x06_sanitize_name": URLS.select("page_id", name=("coalesce(nullif(trim(both '_.' from regexp_replace(url, '[<>:\"/\\\\\\\\|?*\\\\s]+', '_')), ''), 'output')", "coalesce(nullif(trim(regexp_replace(url, '[<>:\"/\\\\|?*\\s]+', '_', 'g'), '_.'), ''), 'output')")),
-    "x14_focus_rules": QUALITY.select("clip", focus="(case when holes > 1000 then 'holes' when edge > 0.2e0 then 'edges' when flicker > 0.2e0 then 'flicker' else 'none' end)"),
     "x17_relative_path": PATHS.select("p_partkey", shown="(case when path like '/assets/%' then substring(path, 9) else path end)"),
     "x20_result_mapping": JOBS.select("job_id", frames="coalesce(nullif(done, 0), total)", elapsed=rnd("coalesce(seconds, 0e0)")),
     "x21_path_containment": PATHS.select("p_partkey", inside="(path like '/assets/%' and path not like '%/../%')"),
     "x22_effective_mode": CLASSIFIED.select("clip", mode="(case when background = 'unknown' and green >= black then 'green' when background = 'unknown' then 'black' else background end)"),
-    "x33_single_frame_params": PATHS.select("p_partkey", reason=f"(case when {SUFFIX} in {IMAGE} then 'sampled' else 'not an image' end)"),
-    "k08_quality_debug_txt": QUALITY.select("clip", text="concat('edge=', format_string('%.6f', round(edge, 6)), ' speckles=', cast(speckles as string), ' holes=', cast(holes as string))"),
-    "k13_artifact_manifest": MASKS.agg("clip", matte="count(*)", luminous="count_if(luminous)").select("clip", artifacts="concat_ws(',', 'Matte', case when luminous > 0 then 'FG' end, 'Processed')"),
     "s01_input_kind_detect": PATHS.select("p_partkey", kind=f"(case when {SUFFIX} = '' then 'sequence' when {SUFFIX} in {VIDEO} then 'video' when {SUFFIX} in {IMAGE} then 'image' else 'unsupported' end)"),
     "s02_suffix_predicates": PATHS.select("p_partkey", is_video=f"({SUFFIX} in {VIDEO})", is_image=f"({SUFFIX} in {IMAGE})"),
     "s07_decode_dispatch": PATHS.select("p_partkey", reader=f"(case when {SUFFIX} = '' then 'sequence_scan' when {SUFFIX} in {VIDEO} then 'video_scan' when {SUFFIX} in {IMAGE} then 'image_scan' else 'none' end)"),
-    "k09_selection_debug_sheet": CANDIDATES.agg("candidate", pixels="count(*)", mean_alpha=rnd("avg(ca)")).select(line="concat(candidate, ' ', cast(pixels as string), ' ', format_string('%.3f', mean_alpha))"),
 }

@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with OPS (relations with both renderings) and, where SQL has no form, FREE (Spark functions only).
-MODULES = ("points", "neighbours", "joins", "aggregates", "ranking", "temporal", "reports", "framed", "gates", "stages")
+MODULES = ("points", "neighbours", "joins", "aggregates", "ranking", "temporal", "reports", "framed", "gates", "stages", "further")
 
 
 @lru_cache(maxsize=1)
