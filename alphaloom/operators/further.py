@@ -237,6 +237,7 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPS: dict[str, Relation] = {
     "r01_region_rank": query(ranked, _RANKED),
     "w07_mask_tracking": query(tracked, _TRACKED),
+    "u07_matanyone2_candidate": query(tracked, _TRACKED),
     "u08_sam2_candidate": query(tracked, _TRACKED),
     "u26_gvm_sequence": pixels(sequence_model, ("ai", *COLOURS), _swirl_ai(), None, alpha="double"),
     "u29_segmentation_prompt": pixels(prompted, COLOURS, _PROMPTED, None, mask="boolean"),

@@ -205,8 +205,9 @@ _PATH = "'/clips/c' || clip || '/f_' || lpad(frame_idx::VARCHAR, 9, '0') || '.pn
 def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image files, some listed twice and some damaged, as sequences."""
     d = coded("r", "g", "b")(spark, sf_dir)
-    odd = d.select("path", F.when(F.crc32(F.col("path").cast("binary")) % 5 == 0, F.expr("substring(content, 1, 40)")).otherwise(F.col("content")).alias("content"))
-    return images.sequences(odd.unionByName(odd.where(F.crc32(F.col("path").cast("binary")) % 2 == 0))).select("clip", "frame_idx", "path", "height", "width", "fps")
+    k = F.regexp_extract("path", r"_0*([0-9]+)\.png$", 1).cast("long")
+    odd = d.select("path", F.when(k % 5 == 0, F.expr("substring(content, 1, 40)")).otherwise(F.col("content")).alias("content"))
+    return images.sequences(odd.unionByName(odd.where(k % 2 == 0))).select("clip", "frame_idx", "path", "height", "width", "fps")
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,6 +350,8 @@ def _view_sql(what: str) -> str:
     shown = {"质量评分": "printf('%.3f', overall_score)", "边缘不确定性": "printf('%.3f', mean_edge_uncertainty)", "孔洞像素": "hole_pixels::BIGINT::VARCHAR", "噪点像素": "'0'", "背景残留": "printf('%.3f', background_residue)", "时序闪烁": "printf('%.3f', temporal_flicker)", "边缘时序闪烁": "printf('%.3f', edge_temporal_flicker)",
              "半透明时序闪烁": "printf('%.3f', transparent_temporal_flicker)", "最大帧差": "printf('%.3f', max_frame_delta)", "帧数": "CASE WHEN kind = 3 THEN '0' ELSE '3' END", "总耗时": "'N/A'"}
     text = "'**质量摘要**' || " + " || ".join(f"chr(10) || '{k}：' || {v}" for k, v in shown.items())
+    if what == "loaded":
+        return _WITH + "SELECT path, kind IN (1, 2) AS unavailable FROM f"
     if what == "quality":
         return _WITH + f"SELECT path, {text} AS quality_text, CASE WHEN kind = 3 THEN '**质量选择**' || chr(10) || '质量选择: 未启用' ELSE '**质量选择**' || chr(10) || '质量选择: 已启用' || chr(10) || '候选数量: ' || cands END AS selection_text, '**融合诊断**' || chr(10) || '无融合诊断。' AS fusion_text FROM f WHERE kind NOT IN (1, 2)"
     return _WITH + f"SELECT path, CASE WHEN kind IN (1, 2) THEN '{UNAVAILABLE}' ELSE '### 处理诊断报告' END AS title, CASE WHEN kind NOT IN (1, 2) THEN '质量评分：' || printf('%.3f', overall_score) END AS score_line FROM f"
@@ -415,10 +418,13 @@ def recovered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.per_frame(frames(spark, sf_dir), rule, "hit boolean, broad boolean, alpha double", *BOTH)
 
 
-def _lost_sql() -> str:
+def _lost_sql(clips: bool = False) -> str:
     steps = {"m": f"SELECT clip, frame_idx, y, x, a, ai * (CASE WHEN frame_idx % 3 <> 0 THEN 0.05e0 ELSE 1e0 END) AS ai, subject_like FROM ({PIXELS.sql()}) JOIN (SELECT clip, frame_idx, y, x, subject_like FROM ({POINTS['f18_gvm_fallback_mask'].sql()})) USING (clip, frame_idx, y, x)"}
     step = lambda x, lo, hi: f"(least(1e0, greatest(0e0, ({x} - {lo}e0) / {hi - lo!r}e0)) * least(1e0, greatest(0e0, ({x} - {lo}e0) / {hi - lo!r}e0)) * (3e0 - 2e0 * least(1e0, greatest(0e0, ({x} - {lo}e0) / {hi - lo!r}e0))))"
     steps["h"] = f"SELECT clip, frame_idx, coalesce(avg(CASE WHEN subject_like THEN {step('ai', 0.25, 0.70)} END) < 0.08e0 AND avg(CASE WHEN subject_like THEN {step('a', 0.30, 0.72)} END) >= 0.35e0, false) AS hit FROM m GROUP BY ALL"
+    if clips:
+        steps["e"] = f"SELECT clip, frame_idx, avg(m.ai) < 0.06e0 AND avg(CASE WHEN wide THEN 1e0 ELSE 0e0 END) >= 0.18e0 AND avg(CASE WHEN m.a > 0.08e0 AND m.a < 0.75e0 THEN 1e0 ELSE 0e0 END) >= 0.2e0 AND coalesce(avg(CASE WHEN wide THEN ew END) < 0.65e0, false) AS broad FROM (SELECT *, NOT {gs.SCREEN} AND {step('a', 0.20, 0.50)} > 0.3e0 AS wide FROM ({LAYERS.sql()})) l JOIN (SELECT clip, frame_idx, y, x, m.ai, m.a FROM m) m USING (clip, frame_idx, y, x) GROUP BY ALL".replace("m.ai, m.a FROM m)", "ai AS ai, a AS a FROM m)")
+        return gs.query("SELECT clip, count(CASE WHEN hit THEN 1 END) AS hits, count(CASE WHEN broad AND NOT hit THEN 1 END) AS broad, greatest(count(CASE WHEN hit THEN 1 END), count(CASE WHEN broad AND NOT hit THEN 1 END)) >= greatest(2, (count(*) + 1) // 2) AS degenerate FROM h JOIN e USING (clip, frame_idx) GROUP BY clip", **steps)
     return gs.query(f"SELECT clip, frame_idx, hit, {gs.rnd('avg(CASE WHEN hit AND subject_like THEN greatest(ai, least(1e0, a * 0.98e0)) ELSE ai END)')} AS mean_alpha FROM m JOIN h USING (clip, frame_idx) GROUP BY ALL", **steps)
 
 
@@ -451,7 +457,7 @@ OPS: dict[str, Relation] = {
     "u17_decontaminate": query(decontaminated, None),
     "u20_recover_degenerate": query(lambda s, d: recovered_frames(s, d).select(*KEYS, "hit", _six(F.col("alpha")).alias("mean_alpha")), _lost_sql()),
     "a33_degenerate_sequence": query(lambda s, d: recovered_frames(s, d).groupBy("clip").agg(F.count_if("hit").alias("hits"), F.count_if(F.col("broad") & ~F.col("hit")).alias("broad"), F.count(F.lit(1)).alias("n")).select(
-        "clip", "hits", "broad", (F.greatest("hits", "broad") >= F.greatest(F.lit(2), F.floor((F.col("n") + 1) / 2))).alias("degenerate")), None),
+        "clip", "hits", "broad", (F.greatest("hits", "broad") >= F.greatest(F.lit(2), F.floor((F.col("n") + 1) / 2))).alias("degenerate")), _lost_sql(True)),
     "u23_region_context": query(lambda s, d: api.cells(owned(s, d), *REGIONS).select(*KEYS, "y", "x", *[F.col(a).alias(b) for a, b in VIEWED.items()]), gs.MASKED),
     "u24_pipeline_process": query(whole(Settings(quality="standard", despeckle_radius=1)), None),
     "u25_model_post": pixels(lambda f: {"alpha": models.checked(None if f["frame_idx"] % 5 == 0 else {"pha": f["ai"] * 1.5 - 0.2}, f.shape)}, ("ai",), gs.query(gs.shown("(SELECT *, max(ai * 1.5e0 - 0.2e0) OVER (PARTITION BY clip, frame_idx) AS top FROM px)", alpha="CASE WHEN frame_idx % 5 = 0 THEN 1e0 WHEN top > 1 THEN greatest(0e0, least(1e0, (ai * 1.5e0 - 0.2e0) / 255e0)) ELSE greatest(0e0, ai * 1.5e0 - 0.2e0) END")), None, alpha="double"),
@@ -463,7 +469,7 @@ OPS: dict[str, Relation] = {
     "u21_model_loading": query(lambda s, d: models.first_ready(engines(s, d).withColumn("requested", F.lit(None).cast("string")), "nation", order=models.FALLBACK, exclude="rembg"),
                                "SELECT s_nationkey AS nation, ['gvm', 'corridorkey', 'rembg', 'birefnet', 'rvm'][min(CASE WHEN s_acctbal > 1000 AND s_suppkey % 5 IN (1, 3, 4) THEN s_suppkey % 5 END) + 1] AS engine FROM supplier GROUP BY s_nationkey"),
     "s03_image_scan": query(lambda s, d: exploded(images.decoded(coded("r", "g", "b")(s, d)), *COLOURS), f"SELECT {_PATH} AS path, y, x, r, g, b FROM ({PIXELS.sql()})"),
-    "s04_sequence_scan": query(sequence, None),
+    "s04_sequence_scan": query(sequence, f"SELECT '/clips/c' || clip AS clip, row_number() OVER (PARTITION BY clip ORDER BY frame_idx) - 1 AS frame_idx, path, 8::INT AS height, 8::INT AS width, 30::DOUBLE AS fps FROM (SELECT DISTINCT clip, frame_idx, {_PATH} AS path FROM ({PIXELS.sql()}) WHERE frame_idx % 5 <> 0)"),
     "s13_alpha_image_scan": query(lambda s, d: exploded(images.alpha_values(coded("a", scale=255.0, cut=True)(s, d)), "a").select("path", "y", "x", _six(F.col("a")).alias("alpha")),
                                   f"SELECT path, y, x, {gs.rnd('CASE WHEN max(v) OVER (PARTITION BY path) > 1 THEN v / 255e0 ELSE v END')} AS alpha FROM (SELECT {_PATH} AS path, y, x, floor(a * 255e0) AS v FROM ({PIXELS.sql()}))"),
     "s14_first_matte_pick": query(lambda s, d: images.first_mattes(outputs(s, d)), f"WITH {_OUTPUTS} SELECT output, min(output || rest) AS path FROM o WHERE k = 0 AND rest LIKE '%.png' GROUP BY output"),
@@ -483,7 +489,7 @@ OPS: dict[str, Relation] = {
     "x01_json_safe": query(lambda s, d: table("events", "event_id", "value").frame(s, d).select("event_id", stable_json(F.concat(F.lit('{"b": [1, {"v": '), F.coalesce(F.col("value"), F.lit(0.0)).cast("string"), F.lit('}], "a": 0.12345678}'))).alias("text")).select("event_id", F.get_json_object("text", "$.b[1].v").cast("double").alias("value"), F.get_json_object("text", "$.a").alias("rounded"), F.col("text").startswith('{\n  "a"').alias("ordered")),
                            "SELECT event_id, round(coalesce(value, 0e0), 6) AS value, '0.123457' AS rounded, true AS ordered FROM events"),
     "x15_report_view": query(lambda s, d: report_view(regression.parsed(reports(s, d))).select("path", F.substring_index("markdown", "\n", 1).alias("title"), F.nullif(F.regexp_extract("markdown", "(质量评分：[^\\n]*)", 1), F.lit("")).alias("score_line")), _view_sql("view")),
-    "x31_report_load_view": query(lambda s, d: report_view(regression.parsed(reports(s, d))).select("path", (F.col("markdown") == UNAVAILABLE).alias("unavailable")), None),
+    "x31_report_load_view": query(lambda s, d: report_view(regression.parsed(reports(s, d))).select("path", (F.col("markdown") == UNAVAILABLE).alias("unavailable")), _view_sql("loaded")),
     "x29_report_view_sections": query(lambda s, d: view_sections(regression.parsed(reports(s, d)).where("failure is null")).select("path", "quality_text", "selection_text", "fusion_text"), _view_sql("quality")),
     "w09_queue_fifo": query(lambda s, d: queue(s, d).select("job_id", "place", (F.col("place") == 1).alias("runs_now")), f"SELECT job_id, place, place = 1 AS runs_now FROM ({_QUEUE})"),
     "w12_history_clear": query(lambda s, d: JOBS.frame(s, d).groupBy("path").agg(F.count_if(F.col("status").isin("completed", "failed", "cancelled")).alias("removed"), F.array_join(F.transform(F.array_sort(F.array_compact(F.collect_list(F.when(~F.col("status").isin("completed", "failed", "cancelled"), F.col("job_id"))))), lambda j: j.cast("string")), ",").alias("left_")),
