@@ -43,7 +43,7 @@ PURE_BLACK = "(br <= 3.1875e0)"
 SMOKE = f"((not {PURE_BLACK}) and br >= 14 and br <= 64 and ch <= 14 and {SATURATION} <= 0.28e0)"
 GLOW = f"((not {PURE_BLACK}) and ((br >= 48 and ch >= 28 and {SATURATION} >= 0.18e0) or (br >= 112 and ch <= 34)))"
 UNCERTAIN = "(a > 0.05e0 and a < 0.95e0)"
-SWIRL = "((b > 120 and b > r + 10 and b > g) or (r > 150 and b > 120 and r > g + 15) or (br > 190 and ch < 60))"
+SWIRL = "(b > g + 8 or (r > g + 8 and b > g + 4) or (br > 150 and ch < 70 and g < 205))"
 
 
 def effect_weight() -> str:

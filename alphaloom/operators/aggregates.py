@@ -69,7 +69,10 @@ GREEN = hsv().agg(FRAME, ratio=share("hue >= 35 and hue <= 85 and sat >= 80 and
     "clip", "frame_idx", green="least(1e0, 0.7e0 * ratio + 0.3e0 * (1e0 - least(sd / 50e0, 1e0)))")
 BLACK = COLOURS.agg(FRAME, dark=share("br < 20"), bright=share("br > 100")).join(STRIPS.agg(FRAME, m="avg(br)"), FRAME).select(
     "clip", "frame_idx", black="least(1e0, 0.5e0 * dark + least(2e0 * bright, 0.3e0) + 0.2e0 * greatest(0e0, (30e0 - m) / 30e0))")
-CLASSIFIED = GREEN.join(BLACK, FRAME).agg("clip", g="avg(green)", b="avg(black)").select(
+#: At most five evenly spaced frames of a clip, both ends included.
+SAMPLED = GREEN.join(BLACK, FRAME).let(i="row_number() over (partition by clip order by frame_idx) - 1", n="count(*) over (partition by clip)").let(k="least(5, n)").where(
+    ("exists(sequence(0, cast(k as int) - 1), j -> i = floor(j * (n - 1) / greatest(k - 1, 1)))", "len(list_filter(range(k), lambda j: i = floor(j * (n - 1) / greatest(k - 1, 1)))) > 0"))
+CLASSIFIED = SAMPLED.agg("clip", g="avg(green)", b="avg(black)").select(
     "clip", green=rnd("g"), black=rnd("b"), background="(case when g > 0.6e0 and g > b then 'green' when b > 0.6e0 and b > g then 'black' when greatest(g, b) > 0.4e0 then (case when g > b then 'green' else 'black' end) else 'unknown' end)")
 
 REGIONS = ("subject", "hair", "luminous", "transparent", "residue", "uncertain")

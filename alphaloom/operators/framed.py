@@ -374,7 +374,17 @@ def within(f: Frame) -> dict:
     return {"distance": np.where(np.isfinite(d), d, 0.0), "keep_": np.isfinite(d) & (f["a"] < 0.999)}
 
 
+def gate_masks(f: Frame) -> dict:
+    """Masks of the fusion gate: what no layer owns and is soft, and solid warm props. Here a layer owns a cell that its alpha makes sure."""
+    a, owned_ = f["a"], (f["a"] >= 0.9) | (f["ai"] >= 0.9) | (f["a"] <= 0.01)
+    return {"hair_edge": (a > 0.05) & (a < 0.95) & ~owned_, "luminous_prop": grid.kept((a >= 0.6) & _p(f).warm & ~_p(f).screen, 3), "uncertain_edge": (a > 0.02) & (a < 0.98) & ~owned_}
+
+
+_GATE_MASKS = gs.query(f"SELECT {gs.KEYS}, a > 0.05e0 AND a < 0.95e0 AND NOT owned AS hair_edge, w.alpha IS NOT NULL AS luminous_prop, a > 0.02e0 AND a < 0.98e0 AND NOT owned AS uncertain_edge FROM (SELECT *, a >= 0.9e0 OR ai >= 0.9e0 OR a <= 0.01e0 AS owned FROM px) LEFT JOIN wf w USING ({gs.KEYS})", wf=FORMS["f23"].sql())
+
+
 OPS: dict[str, Relation] = {
+    "f28_gate_region_masks": pixels(gate_masks, BOTH, _GATE_MASKS, None, hair_edge="boolean", luminous_prop="boolean", uncertain_edge="boolean"),
     "n01_uncertain_edge": _where(lambda f: rules.edge_mask(f["a"]), A, FORMS["n01"]),
     "n02_speckle": _components(lambda f: (f["a"] > 0.03) & (f["a"] < 0.95) & ~rules.edge_mask(f["a"]), A, "n02", 1, 12),
     "n03_hole": _components(lambda f: grid.closed(f["a"] >= 0.7, grid.ellipse(5)) & (f["a"] < 0.7), A, "n03", 5),

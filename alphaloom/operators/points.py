@@ -163,7 +163,6 @@ OPS: dict[str, Relation] = {
         f"({px.NON_SCREEN} and {smoothstep('a', 0.30, 0.72)} > 0.35e0 and ({px.SOLID_FOREGROUND} or {px.SOFT_SUBJECT} or a >= 0.5e0)"
         f" and (ew < 0.35e0 or (({px.SOLID_FOREGROUND} or {px.SOFT_SUBJECT}) and a >= 0.45e0)))")),
     "f19_entity_effect_transition": LAYERS.let(gate=GATE).select(*KEYS, part="(case when gate >= 0.55e0 then 'entity' when ew >= 0.35e0 and gate <= 0.35e0 then 'effect' when a > 0.02e0 then 'transition' else 'none' end)"),
-    "f28_gate_region_masks": MASKS.select(*KEYS, hair_edge="(uncertain and not subject)", luminous_prop=f"(luminous or ({px.WARM_HALO} and a > 0.2e0))", uncertain_edge="(a > 0.05e0 and a < 0.95e0)"),
     "k10_preview_video": shown(PIXELS.let(bg=("(case when (y div 2 + x div 2) % 2 = 0 then 180e0 else 120e0 end)", "(case when (y // 2 + x // 2) % 2 = 0 then 180e0 else 120e0 end)")),
                                red="r * a + bg * (1e0 - a)", green="g * a + bg * (1e0 - a)", blue="b * a + bg * (1e0 - a)"),
     "k11_preview_frames": COLOURS.select(*KEYS, foreground="br > 10", screen="(g > 1.2e0 * r and g > 1.2e0 * b)"),
