@@ -288,3 +288,52 @@ def test_stages_on_unclear_rows(spark, sf_dir):
     none = df.limit(0)
     for name, stage in cp.STAGES:
         assert stage(spark, none, sf_dir).count() == 0, name
+
+
+# --- media and classifier
+
+
+def plain_hash(data):
+    """The cosine hash of a payload by plain loops."""
+    import math
+    from statistics import median
+
+    h, w = len(data) // 64, 64
+    cell = lambda k, n: [k * n // 32] if n < 32 else list(range(k * n // 32, (k + 1) * n // 32 if k < 31 else n))
+    small = [[sum(data[y * w + x] for y in cell(i, h) for x in cell(j, w)) / (len(cell(i, h)) * len(cell(j, w))) for j in range(32)] for i in range(32)]
+    low = [round(sum(small[y][x] * math.cos((y + 0.5) * math.pi * u / 32) * math.cos((x + 0.5) * math.pi * v / 32) for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    mid = median(low[1:])
+    return "".join(f"{int(''.join(str(int(v > mid)) for v in low[k : k + 8]), 2):02x}" for k in range(0, 64, 8))
+
+
+def test_media_against_plain_loops(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(6)
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "x" * 64), (-4, "é" * 40), (-5, "word and more " * 900)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(extra)
+    texts = {r.doc_id: (r.text or "").encode() for r in both.collect()}
+    for r in media.media_features(media.encode_media(both)).collect():
+        data = texts[r.id].ljust(max(64, -(-len(texts[r.id]) // 64) * 64), b"\0")
+        stored = media.encode_png(media.np.frombuffer(data, "u1").reshape(-1, 64))
+        assert (r.payload_sha256, r.media_sha256, r.media_bytes) == (hashlib.sha256(data).hexdigest(), hashlib.sha256(stored).hexdigest(), len(stored)) and bytes(r.phash).hex() == plain_hash(data)
+
+
+def test_classifier_on_held_out_rows(spark):
+    at = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    got = {r.doc_id: r for r in classifier.op8_quality_classifier(spark, at).collect()}
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = [(got[i].score, y) for i, y in truth.items() if zlib.crc32(str(i).encode()) % 3 == 1 and i in got]
+    good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+    auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    assert len(held) > 50 and auc > 0.95 and len(got) == docs.count()
+    # Labels of held-out rows are never read: turned round, they change nothing.
+    turned = labels.withColumn("quality", media.F.when(media.F.crc32(labels.doc_id.cast("string")) % 3 == 1, 1 - labels.quality).otherwise(labels.quality))
+    again = {r.id: r.score for r in classifier.score_quality(docs, classifier.fit_quality(docs, turned)).collect()}
+    assert all(abs(again[i] - got[i].score) < 1e-9 for i in got)
+
+
+def test_classifier_edges(spark):
+    docs = spark.createDataFrame([(None, "good words here", "a"), (1, "good " * 30000, "b"), (2, None, "c"), (2, None, "c"), (3, "bad!!", "d")], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(None, 1, 0), (1, 1, 0), (1, 0, 1), (3, 7, 0), (2, None, None)], "doc_id long, quality int, toxic int")
+    rows = classifier.score_quality(docs, classifier.fit_quality(docs, labels)).collect()
+    assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows) and len({r.score for r in rows if r.id == 2}) == 1
