@@ -28,12 +28,18 @@ def local_session(cores: int | str = "*", name: str = "alphaloom", **conf: str)
     return builder.getOrCreate()
 
 
+#: Size of Arrow batches: what Spark sets by default, and what takes its place, so that a few batches of long rows don't outgrow a worker. Other values are left alone.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "4000")}
+
 _shared: set[str] = set()
 
 
 def share_code(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package: it is shipped once to each application as a zip file, so no folder need exist on every machine."""
     app = spark.sparkContext.applicationId
+    for key, (usual, bounded) in BATCHES.items():
+        if spark.conf.get(key, None) == usual:
+            spark.conf.set(key, bounded)
     if app not in _shared:
         root, data = Path(__file__).resolve().parent.parent, io.BytesIO()
         with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
