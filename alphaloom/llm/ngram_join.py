@@ -35,7 +35,6 @@ columns are ignored.
 from __future__ import annotations
 
 import heapq
-import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from math import log2
@@ -45,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.shared import bit_slots, bit_table, components, materialise, pieces, table, text_or_empty
+from alphaloom.llm.shared import bit_slots, bit_table, components, materialise, pieces, released, squeezed, table, text_or_empty, unsqueezed
 
 WIDTH, PERCENT = 3, 90
 #: Counters by the bytes of all texts, between two bounds; parts in which they are added up.
@@ -70,6 +69,19 @@ def _mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """1, base, base^2, ... base^n."""
+    out = np.full(n + 1, base)
+    out[0] = 1
+    return np.cumprod(out, out=out)
+
+
+def _sums_at(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of values from each start to its end; overwrites values."""
+    np.cumsum(values, out=values)
+    return values[ends - 1] - np.where(starts > 0, values[starts - 1], np.uint64(0))
+
+
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text, hashed from the bytes of a whole batch at once."""
     joined = b"\n".join(texts) + b"\n"
@@ -80,10 +92,12 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     cuts = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts])).tolist()
     if not len(starts):
         return [np.zeros(0, np.uint64)] * len(texts)
-    power = np.cumprod(np.r_[np.uint64(1), np.full(len(raw), _M)])
-    inverse = np.cumprod(np.r_[np.uint64(1), np.full(len(raw), _INVERSE)])
-    total = np.r_[np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1])]
-    words = _mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    # At most two arrays of 8 bytes a byte of text at a time: sums of byte * base^i, then the inverse powers at the words' starts.
+    total = _powers(_M, len(raw))
+    total[:-1] *= raw
+    total[:-1] += _powers(_M, len(raw))[:-1]
+    total = _sums_at(total[:-1], starts, ends)
+    words = _mixed(total * _powers(_INVERSE, len(raw))[starts] + (ends - starts).astype(np.uint64))
     grams = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for k in range(width):
         grams = _mixed(grams + words[k : k + len(grams)], k + 1)
@@ -116,7 +130,7 @@ def _count(width: int, counters: int):
                 np.add.at(counts, (np.concatenate(sets) & np.uint64(counters - 1)).astype(np.int64), 1)
         ctx = TaskContext.get()
         part = ctx.partitionId() if ctx else 0
-        rows = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, CHUNKS)]
+        rows = [squeezed(c.tobytes()) for c in np.split(counts, CHUNKS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([part % 64] * CHUNKS, pa.int32()), pa.array(rows, pa.binary())], ["chunk", "salt", "counts"])
 
     return run
@@ -125,9 +139,9 @@ def _count(width: int, counters: int):
 def _sum_counts(key, tbl):
     total = 0
     for b in tbl.column("counts").to_pylist():
-        total = total + np.frombuffer(zlib.decompress(b), np.uint32).astype(np.uint64)
+        total = total + np.frombuffer(unsqueezed(b), np.uint32).astype(np.uint64)
     total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "counts": pa.array([squeezed(total.tobytes())], pa.binary())})
 
 
 def frequency_classes(df: DataFrame, width: int = WIDTH, text_col: str = "text") -> np.ndarray:
@@ -135,11 +149,11 @@ def frequency_classes(df: DataFrame, width: int = WIDTH, text_col: str = "text")
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     counters = min(COUNTERS[1], max(COUNTERS[0], 1 << (size // 1024).bit_length()))
     kind = "chunk int, salt int, counts binary"
-    parts = df.select(text_or_empty(text_col).alias("text")).mapInArrow(_count(width, counters), kind)
+    parts = df.select(text_or_empty(text_col).alias("text")).mapInArrow(released(_count(width, counters)), kind)
     rows = parts.groupBy("chunk", "salt").applyInArrow(_sum_counts, kind).groupBy("chunk").applyInArrow(_sum_counts, kind).collect()
     out = np.zeros(counters, np.uint8)
     for r in rows:
-        c = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
+        c = np.frombuffer(unsqueezed(bytes(r["counts"])), np.uint32)
         out[r["chunk"] * len(c) : (r["chunk"] + 1) * len(c)] = np.round(4 * np.log2(c.astype(np.float64) + 1))
     return out
 
@@ -227,7 +241,7 @@ def _compare(width: int, percent: int):
     def run(key, tbl):
         ids, packed = tbl.column("id").to_pylist(), tbl.column("packed").to_pylist()
         a = key[0].as_py()
-        sets = dict(zip(ids, shingle_sets([zlib.decompress(p) for p in packed], width)))
+        sets = dict(zip(ids, shingle_sets([unsqueezed(p) for p in packed], width)))
         query = sets.pop(a, np.zeros(0, np.uint64))
         others = sorted(sets)
         linked = t_occurrence(query, [sets[b] for b in others], [int(_required(len(query), len(sets[b]), percent)) for b in others])
@@ -245,7 +259,7 @@ def _pack(bits: np.ndarray):
             for batch in pieces(big):
                 slot = bit_slots(batch.column(0).to_numpy(), len(bits) * 8)
                 batch = batch.filter(pa.array(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 == 1))
-                packed = [zlib.compress(t, 1) for t in _bytes(batch.column(1))]
+                packed = [squeezed(t) for t in _bytes(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
 
     return run
@@ -259,7 +273,7 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent
     blocks = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / BLOCK)).alias("block"), F.col("b").alias("id"))
     wanted = blocks.union(blocks.select("a", "block", F.col("a").alias("id")).distinct())
     bits = bit_table(pairs.select(F.explode(F.array("a", "b")).alias("id")), size)
-    packed = texts.where("id is not null").mapInArrow(_pack(bits), "id long, packed binary")
+    packed = texts.where("id is not null").mapInArrow(released(_pack(bits)), "id long, packed binary")
     return wanted.join(packed, "id").groupBy("a", "block").applyInArrow(_compare(width, percent), "a long, b long")
 
 
@@ -268,7 +282,7 @@ def near_components(df: DataFrame, width: int = WIDTH, percent: int = PERCENT, i
     docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     classes = frequency_classes(df, width, text_col)
     kind = "id long, n long, fp1 long, fp2 long, prefix array<long>, least array<long>"
-    sketch = materialise(docs.mapInArrow(_sketch(width, percent, classes), kind), "sketch")
+    sketch = materialise(docs.mapInArrow(released(_sketch(width, percent, classes)), kind), "sketch")
     reps = materialise(sketch.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep")).where("rep is not null"), "classes")
     own = materialise(sketch.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").where("n > 0").dropDuplicates(["id"]), "representatives")
 

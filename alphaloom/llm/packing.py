@@ -21,14 +21,14 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alphaloom.llm.shared import materialise, pieces, table, text_or_empty
+from alphaloom.llm.shared import materialise, pieces, released, table, text_or_empty
 
 #: Fixed value: the pre-tokenisation pattern of the byte-level BPE family.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,11 +46,10 @@ class ByteLevel:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.own = Tokenizer.from_file(path)
+        self.path = path
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         # Byte-level files write each byte as a printable character: the printable ones as themselves, the others from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -59,6 +58,13 @@ class ByteLevel:
         ranks = {bytes(map(to_byte.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in self.added}
         self.fast = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def own(self):
+        """The tokeniser itself, read only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> np.ndarray:
         if not any(a in text for a in self.added):
             try:
@@ -94,7 +100,7 @@ def _cut(path: str, window: int, end_id: int):
 
 def token_pieces(df: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut every document's ids (with the end id) into full windows and a remainder."""
-    return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(_cut(path, window, end_id), PIECES)
+    return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(released(_cut(path, window, end_id)), PIECES)
 
 
 def closest_fill(counts: dict[int, int], room: int) -> dict[int, int]:

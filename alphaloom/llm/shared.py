@@ -5,8 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -43,8 +42,7 @@ class Scope(set):
 
     def keep(self, df: DataFrame) -> None:
         """Let a table live on after the scope."""
-        names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
-        self.difference_update([at for at in self if at.rsplit("/", 1)[1] in names])
+        self.discard(df.scratch_path)
 
 
 #: Paths of scratch tables that still exist, with a session to delete them by; and those of open scopes.
@@ -60,7 +58,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     if _scopes:
         _scopes[-1].add(at)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.scratch_path = at
+    return out
 
 
 def _delete(at: str) -> None:
@@ -93,9 +93,41 @@ def _delete_all() -> None:
 
 def drop_scratch(df: DataFrame) -> None:
     """Delete a table made by materialise() once nothing reads it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for at in [a for a in _made if a.rsplit("/", 1)[1] == path.rsplit("/", 1)[1]]:
-            _delete(at)
+    _delete(df.scratch_path)
+
+
+_FAST, _TIGHT = pa.Codec("zstd", compression_level=1), pa.Codec("zstd", compression_level=6)
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function on batches that, when it is done, gives the memory it no longer uses back to the system: a Python worker lives on, idle, beside the next stages."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def squeezed(data: bytes, tight: bool = False) -> bytes:
+    """Compressed bytes that know their size."""
+    return len(data).to_bytes(8, "little") + (_TIGHT if tight else _FAST).compress(data, asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    n = int.from_bytes(data[:8], "little")
+    return _FAST.decompress(memoryview(data)[8:], n, asbytes=True) if n else b""
 
 
 def text_or_empty(name: str) -> Column:
@@ -140,16 +172,16 @@ def bit_table(values: DataFrame, bits: int) -> np.ndarray:
         ctx = TaskContext.get()
         part = ctx.partitionId() if ctx else 0
         if any_:
-            yield pa.RecordBatch.from_arrays([pa.array([part % 64], pa.int32()), pa.array([zlib.compress(table_.tobytes(), 1)], pa.binary())], ["salt", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([part % 64], pa.int32()), pa.array([squeezed(table_.tobytes())], pa.binary())], ["salt", "bits"])
 
     def either(key, tbl):
         total = np.zeros(bits // 8, np.uint8)
         for b in tbl.column("bits").to_pylist():
-            total |= np.frombuffer(zlib.decompress(b), np.uint8)
-        return pa.table({"salt": pa.array([0], pa.int32()), "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+            total |= np.frombuffer(unsqueezed(b), np.uint8)
+        return pa.table({"salt": pa.array([0], pa.int32()), "bits": pa.array([squeezed(total.tobytes())], pa.binary())})
 
     rows = values.mapInArrow(mark, kind).groupBy("salt").applyInArrow(either, kind).groupBy("salt").applyInArrow(either, kind).collect()
-    return np.frombuffer(zlib.decompress(bytes(rows[0]["bits"])), np.uint8) if rows else np.zeros(bits // 8, np.uint8)
+    return np.frombuffer(unsqueezed(bytes(rows[0]["bits"])), np.uint8) if rows else np.zeros(bits // 8, np.uint8)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -27,7 +27,6 @@ they are; an empty table gives an empty one; other columns are ignored, or carri
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.shared import bit_slots, bit_table, materialise, pieces, table, text_or_empty
+from alphaloom.llm.shared import bit_slots, bit_table, materialise, pieces, release, released, squeezed, table, text_or_empty, unsqueezed
 
 LENGTH, GRAM = 50, 16
 BUCKET_BYTES = 8 << 20
 #: A key is hot if so many documents hold it; bits of the table that tells the hot keys, per input byte between two bounds (2 and 32 MB).
 HOT_LEAST, HOT_BITS = 2_000, (1 << 24, 1 << 28)
 
-#: Suffixes sorted at once (a group of one key is never cut).
+#: Suffixes sorted at once.
 SORT_WINDOWS = 100_000
 
 _M = 0x9E3779B97F4A7C15
@@ -127,19 +126,27 @@ def _from_six(data: bytes) -> np.ndarray:
 
 
 def _deltas(x: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(x, prepend=0).astype("<i8").tobytes(), 1)
+    return squeezed(np.diff(x, prepend=0).astype("<i8").tobytes())
 
 
 def _undeltas(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), "<i8"))
+    return np.cumsum(np.frombuffer(unsqueezed(data), "<i8"))
 
 
-def _small(x) -> bytes:
-    return zlib.compress(np.asarray(x, "<i4").tobytes(), 1)
+def _small(x, kind: str = "<i4") -> bytes:
+    return squeezed(np.asarray(x, kind).tobytes())
 
 
-def _unsmall(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), "<i4")
+def _unsmall(data: bytes, kind: str = "<i4") -> np.ndarray:
+    return np.frombuffer(unsqueezed(data), kind)
+
+
+#: Where several texts share an id, the upper 32 bits of a start tell which of them it lies in.
+PART = 32
+
+
+def _kind(several: bool) -> str:
+    return "<i8" if several else "<i4"
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -149,7 +156,7 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
         for batch in pieces(big):
-            data = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column(1).to_pylist()]
+            data = [squeezed(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(data, pa.binary())], ["id", *batch.schema.names[2:], "packed"])
 
 
@@ -181,7 +188,7 @@ def _keys(length: int, buckets: int):
                 order = np.lexsort((i, b))
                 k, i, c, b = k[order], i[order], c[order], b[order]
                 cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]][: len(b)])
-                rows = [(int(b[s]), _six(k[s:e]), _deltas(i[s:e]), zlib.compress(c[s:e].astype("<i4").tobytes(), 1)) for s, e in zip(cuts, [*cuts[1:], len(b)])]
+                rows = [(int(b[s]), _six(k[s:e]), _deltas(i[s:e]), squeezed(c[s:e].astype("<i4").tobytes())) for s, e in zip(cuts, [*cuts[1:], len(b)])]
                 cols = list(zip(*rows)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "keys", "ids", "counts"])
 
@@ -192,7 +199,7 @@ def _repeated(_, tbl):
     """(id, key, documents): holders of repeated keys with documents 0, and without an id the keys that many documents hold."""
     k = np.concatenate([_from_six(b) for b in tbl.column("keys").to_pylist()] or [np.zeros(0, np.uint64)])
     i = np.concatenate([_undeltas(b) for b in tbl.column("ids").to_pylist()] or [np.zeros(0, np.int64)])
-    c = np.concatenate([np.frombuffer(zlib.decompress(b), "<i4") for b in tbl.column("counts").to_pylist()] or [np.zeros(0, np.int32)]).astype(np.int64)
+    c = np.concatenate([np.frombuffer(unsqueezed(b), "<i4") for b in tbl.column("counts").to_pylist()] or [np.zeros(0, np.int32)]).astype(np.int64)
     told = c == 0
     out_i, out_k = [i[told]], [k[told]]
     k, i, c = k[~told], i[~told], c[~told]
@@ -209,11 +216,12 @@ def _repeated(_, tbl):
     return pa.table({"id": pa.array(np.concatenate(out_i), pa.int64(), mask=n > 0), "key": pa.array(np.concatenate(out_k).astype(np.int64)), "docs": pa.array(n, pa.int64())})
 
 
-SEGMENT_ROWS = "bucket int, texts binary, sizes binary, ids binary, parts binary, starts binary, keys binary"
+SEGMENT_ROWS = "bucket int, texts binary, sizes binary, ids binary, starts binary, keys binary"
 
 
-def _segments(length: int, buckets: int, hot_bits: np.ndarray):
-    """Distinct segments of repeated keys by bucket. A row without texts holds spans already known to be repeated. A part tells texts of one id apart."""
+def _segments(length: int, buckets: int, hot_bits: np.ndarray, several: bool):
+    """Distinct segments of repeated keys by bucket. A row without texts holds spans already known to be repeated."""
+    kind = _kind(several)
 
     def is_hot(low: np.ndarray) -> np.ndarray:
         slot = bit_slots(low, len(hot_bits) * 8)
@@ -223,7 +231,7 @@ def _segments(length: int, buckets: int, hot_bits: np.ndarray):
         for big in batches:
             for batch in pieces(big, 1 << 20, "packed"):
                 all_ids, all_parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                texts = [zlib.decompress(p) for p in batch.column(2).to_pylist()]
+                texts = [unsqueezed(p) for p in batch.column(2).to_pylist()]
                 told = batch.column(3)
                 key, doc, first, last = runs(texts, length)
                 low = key & _LOW48
@@ -237,53 +245,55 @@ def _segments(length: int, buckets: int, hot_bits: np.ndarray):
                 base = np.r_[0, np.cumsum([len(t) for t in texts])]
                 windows = is_hot(low)
                 known: dict[bytes, list] = {}
-                spans: list[tuple[int, int, int, int]] = []
+                spans: list[tuple[int, int, int]] = []
 
-                def meet(seg: bytes, i: int, part: int, start: int, k: int) -> None:
+                def meet(seg: bytes, i: int, start: int, k: int) -> None:
                     at = known.get(seg)
                     if at is None:
-                        known[seg] = [i, part, start, k]
+                        known[seg] = [i, start, k]
                     elif i > at[0]:
-                        spans.append((i, part, start, len(seg)))
+                        spans.append((i, start, len(seg)))
                     elif i < at[0]:
-                        spans.append((*at[:3], len(seg)))
-                        known[seg] = [i, part, start, k]
+                        spans.append((at[0], at[1], len(seg)))
+                        known[seg] = [i, start, k]
                         for other in more.pop(seg, []):
-                            spans.append((at[0], *other, len(seg)))
+                            spans.append((at[0], other, len(seg)))
                     else:
-                        more.setdefault(seg, []).append((part, start))
+                        more.setdefault(seg, []).append(start)
 
-                more: dict[bytes, list[tuple[int, int]]] = {}
-                ids, parts, starts = all_ids[doc].tolist(), all_parts[doc].tolist(), (first - base[doc]).tolist()
-                for k, i, part, a, z, start, cut in zip(key.tolist(), ids, parts, first.tolist(), (last + length).tolist(), starts, windows.tolist()):
+                more: dict[bytes, list[int]] = {}
+                begun = first - base[doc]
+                if several:
+                    begun = begun + (all_parts[doc].astype(np.int64) << PART)
+                for k, i, a, z, start, cut in zip(key.tolist(), all_ids[doc].tolist(), first.tolist(), (last + length).tolist(), begun.tolist(), windows.tolist()):
                     if cut:
                         for w in range(z - a - length + 1):
-                            meet(joined[a + w : a + w + length], i, part, start + w, k)
+                            meet(joined[a + w : a + w + length], i, start + w, k)
                     else:
-                        meet(joined[a:z], i, part, start, k)
-                segs = [(s, i, q, p, k) for s, (i, part, start, k) in known.items() for q, p in ((part, start), *more.get(s, ()))]
+                        meet(joined[a:z], i, start, k)
+                segs = [(s, i, p, k) for s, (i, start, k) in known.items() for p in (start, *more.get(s, ()))]
                 out = []
                 if spans:
-                    i, q, p, n = (np.array(c, np.int64) for c in zip(*spans))
+                    i, p, n = (np.array(c, np.int64) for c in zip(*spans))
                     order = np.lexsort((p, i))
-                    out.append((int(i[0] % buckets), None, _small(n[order]), _deltas(i[order]), _small(q[order]), _small(p[order]), b""))
+                    out.append((int(i[0] % buckets), None, _small(n[order]), _deltas(i[order]), _small(p[order], kind), b""))
                 if segs:
-                    keys = np.array([s[4] for s in segs], np.uint64)
+                    keys = np.array([s[3] for s in segs], np.uint64)
                     single = is_hot(keys & _LOW48)
                     if single.any():  # windows of hot keys go by their content
                         for j in np.flatnonzero(single):
                             keys[j] = int.from_bytes(hashlib.blake2b(segs[j][0], digest_size=8).digest(), "little")
                     b = _bucket(keys, buckets)
-                    order = np.lexsort(([x[3] for x in segs], [x[1] for x in segs], b))
+                    order = np.lexsort(([x[2] for x in segs], [x[1] for x in segs], b))
                     cuts = np.flatnonzero(np.r_[True, b[order][1:] != b[order][:-1]])
                     for s, e in zip(cuts, [*cuts[1:], len(order)]):
                         part = [segs[j] for j in order[s:e]]
                         # Of a key 32 bits are enough: keys that agree in them are sorted together, no more.
                         out.append((
-                            int(b[order[s]]), zlib.compress(b"".join(x[0] for x in part), 6), _small([len(x[0]) for x in part]), _deltas(np.array([x[1] for x in part], np.int64)),
-                            _small([x[2] for x in part]), _small([x[3] for x in part]), keys[order[s:e]].astype("<u4").tobytes()))
-                cols = list(zip(*out)) or [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "texts", "sizes", "ids", "parts", "starts", "keys"])
+                            int(b[order[s]]), squeezed(b"".join(x[0] for x in part), tight=True), _small([len(x[0]) for x in part]), _deltas(np.array([x[1] for x in part], np.int64)),
+                            _small([x[2] for x in part], kind), keys[order[s:e]].astype("<u4").tobytes()))
+                cols = list(zip(*out)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "texts", "sizes", "ids", "starts", "keys"])
 
     return run
 
@@ -364,17 +374,29 @@ class Suffixes:
             width *= 2
         return order
 
+    def hashes(self, at: np.ndarray) -> np.ndarray:
+        """A hash of `length` bytes from each position."""
+        inverse = np.full(len(self.raw), np.uint64(pow(_M, -1, 1 << 64)))
+        inverse[0] = 1
+        np.cumprod(inverse, out=inverse)
+        return (self.sums[at + self.length] - self.sums[at]) * inverse[at]
+
+    def verify(self, a: np.ndarray, b: np.ndarray) -> None:
+        """ValueError if some pair of suffixes that hashes call equal isn't, over `length` bytes."""
+        span = np.arange(self.length)
+        for k in range(0, len(a), 1 << 16):
+            x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+            other = x != y
+            if (self.raw[x[other][:, None] + span] != self.raw[y[other][:, None] + span]).any():
+                raise ValueError("hash collision")
+
     def equal_neighbours(self, at: np.ndarray) -> np.ndarray:
         """For suffixes in order: whether each equals the one before it; ValueError if hashes say so and bytes don't."""
         out = np.zeros(len(at), bool)
         if len(at) > 1:
             out[1:] = self.same(at[:-1], at[1:])
         pairs = np.flatnonzero(out)
-        for s in range(0, len(pairs), 1 << 16):
-            p = pairs[s : s + (1 << 16)]
-            span = np.arange(self.length)
-            if (self.raw[at[p - 1][:, None] + span] != self.raw[at[p][:, None] + span]).any():
-                raise ValueError("hash collision")
+        self.verify(at[pairs - 1], at[pairs])
         return out
 
 
@@ -385,58 +407,93 @@ def repeated_windows(segments: list[bytes], owner: np.ndarray, group: np.ndarray
     text = b"".join(segments[j] for j in order)
     base = np.cumsum(sizes) - sizes
     counts = sizes - length + 1
-    seg = np.repeat(np.arange(len(order)), counts)
-    offset = np.arange(len(seg)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at, own = base[seg] + offset, owner[order][seg]
-    # Equal windows hold their key's first occurrence at one place, so only suffixes with that distance to it are sorted together.
-    raw = np.frombuffer(text, np.uint8)
-    h = np.concatenate([gram_hashes(raw), np.full(GRAM - 1, np.uint64((1 << 64) - 1))])
-    for k in range(1, GRAM):  # grams that reach into the next segment are none
-        h[base + sizes - k] = np.uint64((1 << 64) - 1)
-    is_key = np.flatnonzero(h == np.repeat(np.minimum.reduceat(h, base), sizes))
-    distance = is_key[np.minimum(np.searchsorted(is_key, at), len(is_key) - 1)] - at
-    _, grp = np.unique(group[order][seg].astype(np.int64) * 4096 + np.clip(distance, 0, 4095), return_inverse=True)
-    by = np.argsort(grp, kind="stable")
-    at, own, seg, offset, grp = at[by], own[by], seg[by], offset[by], grp[by]
+    seg = np.repeat(np.arange(len(order), dtype=np.int32), counts)
+    at = np.arange(len(seg)) - np.repeat(np.cumsum(counts) - counts, counts) + base[seg]
+    own = owner[order]
     try:
-        s = Suffixes(text, length)
-        rank = s.sort(at, grp)
-        equal = s.equal_neighbours(at[rank])
-    except ValueError:
-        strings = [text[a : a + length] for a in at.tolist()]
-        rank = np.array(sorted(range(len(at)), key=lambda j: (grp[j], strings[j])), np.int64)
-        equal = np.array([j > 0 and strings[rank[j]] == strings[rank[j - 1]] for j in range(len(rank))])
-    equal[1:] &= grp[rank][1:] == grp[rank][:-1]
-    first = np.flatnonzero(~equal)
-    least = np.repeat(np.minimum.reduceat(own[rank], first), np.diff(np.r_[first, len(rank)]))
-    hit = rank[least < own[rank]]
+        hit = _sorted_hits(text, at, seg, own, group[order], base, sizes, length)
+    except ValueError:  # a hash collision: without hashes
+        least: dict[bytes, int] = {}
+        for a, j in zip(at.tolist(), seg.tolist()):
+            w = text[a : a + length]
+            least[w] = min(least.get(w, own[j]), own[j])
+        hit = np.array([k for k, (a, j) in enumerate(zip(at.tolist(), seg.tolist())) if least[text[a : a + length]] < own[j]], np.int64)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(segments)
-    hit = hit[np.lexsort((offset[hit], seg[hit]))]
+    hit = np.sort(hit)  # windows are numbered by segment and place
     cuts = np.flatnonzero(np.r_[True, seg[hit][1:] != seg[hit][:-1]][: len(hit)])
     for a, b in zip(cuts, [*cuts[1:], len(hit)]):
-        out[order[seg[hit[a]]]] = offset[hit[a:b]]
+        j = seg[hit[a]]
+        out[order[j]] = at[hit[a:b]] - base[j]
     return out
 
 
-def _spans(length: int):
+def _sorted_hits(text: bytes, at: np.ndarray, seg: np.ndarray, own: np.ndarray, group: np.ndarray, base: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Numbers of the windows that a segment with a smaller owner holds too; ValueError at a hash collision.
+
+    A group of one key can hold any number of windows (long texts that repeat one word or line). Beyond SORT_WINDOWS, windows of one owner with
+    equal hashes are told by one of them, after their bytes have been compared, and what is left is sorted in classes of the
+    window's hash; equal windows are always in one class, so this bounds the work arrays and changes no result.
+    """
+    s = Suffixes(text, length)
+    raw = np.frombuffer(text, np.uint8)
+    # Equal windows hold their key's first occurrence at one place, so only suffixes with that distance to it are sorted together.
+    h = np.concatenate([gram_hashes(raw), np.full(GRAM - 1, np.uint64((1 << 64) - 1))])
+    for k in range(1, GRAM):  # grams that reach into the next segment are none
+        h[base + sizes - k] = np.uint64((1 << 64) - 1)
+    is_key = np.flatnonzero(h == np.repeat(np.minimum.reduceat(h, base), sizes))
+    del h
+
+    def hits(some: np.ndarray) -> np.ndarray:
+        here, mine = at[some], own[seg[some]]
+        distance = is_key[np.minimum(np.searchsorted(is_key, here), len(is_key) - 1)] - here
+        _, grp = np.unique(group[seg[some]].astype(np.int64) * 4096 + np.clip(distance, 0, 4095), return_inverse=True)
+        by = np.argsort(grp, kind="stable")
+        some, here, mine, grp = some[by], here[by], mine[by], grp[by]
+        rank = s.sort(here, grp)
+        equal = s.equal_neighbours(here[rank])
+        equal[1:] &= grp[rank][1:] == grp[rank][:-1]
+        first = np.flatnonzero(~equal)
+        least = np.repeat(np.minimum.reduceat(mine[rank], first), np.diff(np.r_[first, len(rank)]))
+        return some[rank[least < mine[rank]]]
+
+    every = np.arange(len(at))
+    if len(at) <= SORT_WINDOWS:
+        return hits(every)
+    told = s.hashes(at)
+    by = np.lexsort((own[seg], told))
+    new = np.r_[True, (told[by[1:]] != told[by[:-1]]) | (own[seg[by[1:]]] != own[seg[by[:-1]]])]
+    of = np.cumsum(new) - 1
+    single = by[new]
+    s.verify(at[by], at[single[of]])
+    parts = -(-len(single) // SORT_WINDOWS)
+    of_class = (_mixed(told[single]) % np.uint64(parts)).astype(np.int64)
+    flagged = np.zeros(len(at), bool)
+    for k in range(parts):
+        flagged[hits(single[of_class == k])] = True
+    return by[flagged[single][of]]
+
+
+def _spans(length: int, several: bool):
+    kind = _kind(several)
+
     def run(_, tbl):
-        out_i, out_q, out_s, out_n = [], [], [], []
+        out_i, out_s, out_n = [], [], []
         known: dict[bytes, list] = {}
-        for texts, sizes, ids, parts, starts, keys in zip(*(tbl.column(c).to_pylist() for c in ("texts", "sizes", "ids", "parts", "starts", "keys"))):
-            n, i, q, p = _unsmall(sizes), _undeltas(ids), _unsmall(parts), _unsmall(starts)
+        for texts, sizes, ids, starts, keys in zip(*(tbl.column(c).to_pylist() for c in ("texts", "sizes", "ids", "starts", "keys"))):
+            n, i, p = _unsmall(sizes), _undeltas(ids), _unsmall(starts, kind)
             if texts is None:
-                for x, c in zip((out_i, out_q, out_s, out_n), (i, q, p, n)):
+                for x, c in zip((out_i, out_s, out_n), (i, p, n)):
                     x.append(c.astype(np.int64))
                 continue
-            text, at = zlib.decompress(texts), 0
-            for size, doc, part, start, key in zip(n.tolist(), i.tolist(), q.tolist(), p.tolist(), np.frombuffer(keys, "<u4").tolist()):
-                known.setdefault(text[at : at + size], [key]).append((doc, part, start))
+            text, at = unsqueezed(texts), 0
+            for size, doc, start, key in zip(n.tolist(), i.tolist(), p.tolist(), np.frombuffer(keys, "<u4").tolist()):
+                known.setdefault(text[at : at + size], [key]).append((doc, start))
                 at += size
         segments = list(known)
         owner = np.array([min(x[0] for x in v[1:]) for v in known.values()], np.int64)
-        more: list[tuple[int, int, int, int]] = []
+        more: list[tuple[int, int, int]] = []
         for seg, least in zip(segments, owner.tolist()):
-            more += [(doc, part, start, len(seg)) for doc, part, start in known[seg][1:] if doc > least]
+            more += [(doc, start, len(seg)) for doc, start in known[seg][1:] if doc > least]
         group = np.array([v[0] for v in known.values()], np.uint64)
         _, number, count = np.unique(group, return_inverse=True, return_counts=True) if len(group) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
         several = np.flatnonzero(count[number] > 1) if len(group) else np.zeros(0, np.int64)
@@ -453,12 +510,15 @@ def _spans(length: int):
                     cut = np.flatnonzero(np.r_[True, np.diff(offsets) > 1])
                     ends = offsets[np.r_[cut[1:] - 1, len(offsets) - 1]] + length
                     for at, end in zip(offsets[cut].tolist(), ends.tolist()):
-                        more += [(doc, part_, start + at, end - at) for doc, part_, start in known[segments[j]][1:] if doc == owner[j]]
+                        more += [(doc, start + at, end - at) for doc, start in known[segments[j]][1:] if doc == owner[j]]
         if more:
-            for x, c in zip((out_i, out_q, out_s, out_n), zip(*more)):
+            for x, c in zip((out_i, out_s, out_n), zip(*more)):
                 x.append(np.array(c, np.int64))
         flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"id": pa.array(flat(out_i), pa.int64()), "part": pa.array(flat(out_q), pa.int32()), "start": pa.array(flat(out_s), pa.int32()), "size": pa.array(flat(out_n), pa.int32())})
+        starts = flat(out_s)
+        known.clear()
+        release()
+        return pa.table({"id": pa.array(flat(out_i), pa.int64()), "part": pa.array(starts >> PART, pa.int32()), "start": pa.array(starts & ((1 << PART) - 1), pa.int32()), "size": pa.array(flat(out_n), pa.int32())})
 
     return run
 
@@ -504,7 +564,7 @@ def _apply(keep_text: bool):
                 at = np.concatenate([[0], np.cumsum(lens)])
                 texts, begun, total = [], 0, 0
                 for k, packed in enumerate(batch.column(1).to_pylist(), 1):
-                    texts.append(zlib.decompress(packed))
+                    texts.append(unsqueezed(packed))
                     total += len(texts[-1])
                     if total >= CUT_BYTES or k == batch.num_rows:
                         part = slice(at[begun], at[k])
@@ -522,25 +582,25 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, keep_text: bool = True,
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields[2:]}
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(16, total // BUCKET_BYTES))
-    # Texts of one id are told apart by a hash, which is 0 for the ids (usually all) that have one text.
-    told_apart = docs.select("id", F.xxhash64("text").alias("h")).groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("id is not null and a <> b").select(F.col("id").alias("several"))
-    part = F.lit(0)
-    if told_apart.limit(1).count():
-        docs = docs.join(told_apart, F.col("id") == F.col("several"), "left")
-        part = F.when(F.col("several").isNotNull(), F.pmod(F.xxhash64("text"), F.lit((1 << 31) - 1)).cast("int")).otherwise(0)
+    # Texts of one id are told apart by a hash; usually no id repeats, which the ids alone tell.
+    several = bool(docs.groupBy("id").count().where("id is not null and count > 1").limit(1).count())
+    part = F.pmod(F.xxhash64("text"), F.lit((1 << 31) - 1)).cast("int") if several else F.lit(0)
     docs = docs.select("id", "text", part.alias("part"), *kinds)
     with_id = docs.where("id is not null")
-    repeated = materialise(with_id.select("id", "text").mapInArrow(_keys(length, buckets), KEY_ROWS).groupBy("bucket").applyInArrow(_repeated, "id long, key long, docs long"), "keys")
+    repeated = materialise(with_id.select("id", "text").mapInArrow(released(_keys(length, buckets)), KEY_ROWS).groupBy("bucket").applyInArrow(_repeated, "id long, key long, docs long"), "keys")
     hot = bit_table(repeated.where("docs > 0").select("key"), min(HOT_BITS[1], max(HOT_BITS[0], 1 << (total // 64).bit_length())))
     told = repeated.where("docs = 0").groupBy("id").agg(F.collect_list("key").alias("keys"))
     more = "".join(f", {n} {k}" for n, k in kinds.items())
-    packed = docs.mapInArrow(_pack, f"id long, part int{more}, packed binary").where("id is not null")  # both joins read one exchange of it
-    found = packed.join(told, "id").select("id", "part", "packed", "keys").mapInArrow(_segments(length, buckets, hot), SEGMENT_ROWS)
-    spans = found.groupBy("bucket").applyInArrow(_spans(length), "id long, part int, start int, size int")
+    packed = docs.mapInArrow(released(_pack), f"id long, part int{more}, packed binary").where("id is not null")  # both joins read one exchange of it
+    found = packed.join(told.hint("merge"), "id").select("id", "part", "packed", "keys").mapInArrow(released(_segments(length, buckets, hot, several)), SEGMENT_ROWS)
+    spans = found.groupBy("bucket").applyInArrow(_spans(length, several), "id long, part int, start int, size int")
     each = spans.groupBy("id", "part").agg(F.collect_list(F.struct("start", "size")).alias("spans")).withColumnRenamed("part", "of")
-    without = docs.where("id is null").mapInArrow(_pack, f"id long, part int{more}, packed binary").select("id", "packed", F.lit(None).cast("array<struct<start:int,size:int>>").alias("spans"), *kinds)
-    both = packed.join(each.withColumnRenamed("id", "its"), (F.col("id") == F.col("its")) & (F.col("part") == F.col("of")), "left").select("id", "packed", "spans", *kinds).union(without)
-    out = both.mapInArrow(_apply(keep_text), f"id long, n_bytes long, n_removed long, n_spans long, kept string{more}")
+    both = packed.join(each.withColumnRenamed("id", "its").hint("merge"), (F.col("id") == F.col("its")) & (F.col("part") == F.col("of")), "left").select("id", "packed", "spans", *kinds)
+    out = both.mapInArrow(released(_apply(keep_text)), f"id long, n_bytes long, n_removed long, n_spans long, kept string{more}")
+    # Rows without an id need no Python: they stay as they are.
+    kept = F.col("text") if keep_text else F.sha2(F.col("text").cast("binary"), 256)
+    none = F.lit(0).cast("long")
+    out = out.unionByName(docs.where("id is null").select("id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), kept.alias("kept"), *kinds))
     return out.select("id", "n_bytes", "n_removed", "n_spans", "kept", *[F.col(k).alias(c) for k, c in zip(kinds, carry)])
 
 

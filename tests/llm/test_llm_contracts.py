@@ -183,9 +183,31 @@ def plain_removed(docs, length=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_passages_with_repeated_negative_and_null_ids(spark, monkeypatch, hot):
+def test_large_groups_are_sorted_in_classes(monkeypatch):
+    rng = random.Random(8)
+    unit = "one line that is said over and over again, "
+    texts = [(unit * rng.randint(2, 9)).encode()[rng.randint(0, 9) :] for _ in range(30)] + [bytes(rng.choice(b"ab") for _ in range(rng.randint(50, 90))) for _ in range(40)] + [b"a" * 700, b"a" * 300, b"a" * 50, (b"ab " * 300), (b"ab " * 200) + b"x"]
+    key, doc, start, last = suffix_dedup.runs(texts)
+    joined = b"".join(texts)
+    segments = [joined[a : z + 50] for a, z in zip(start.tolist(), last.tolist())]
+    owner = suffix_dedup.np.array([rng.randint(0, 9) for _ in texts])[doc]
+    group = suffix_dedup.np.unique(key, return_inverse=True)[1]
+    first = {}
+    for s, o in zip(segments, owner.tolist()):
+        for k in range(len(s) - 49):
+            first[s[k : k + 50]] = min(first.get(s[k : k + 50], o), o)
+    want = [[k for k in range(len(s) - 49) if first[s[k : k + 50]] < o] for s, o in zip(segments, owner.tolist())]
+    for most in (100_000, 700, 30):
+        monkeypatch.setattr(suffix_dedup, "SORT_WINDOWS", most)
+        assert [x.tolist() for x in suffix_dedup.repeated_windows(segments, owner, group)] == want
+    monkeypatch.setattr(suffix_dedup.Suffixes, "verify", lambda self, a, b: (_ for _ in ()).throw(ValueError("hash collision")))
+    assert [x.tolist() for x in suffix_dedup.repeated_windows(segments, owner, group)] == want
+
+
+@pytest.mark.parametrize("hot, most", [(2000, 100_000), (3, 40)])
+def test_passages_with_repeated_negative_and_null_ids(spark, monkeypatch, hot, most):
     monkeypatch.setattr(suffix_dedup, "HOT_LEAST", hot)
+    monkeypatch.setattr(suffix_dedup, "SORT_WINDOWS", most)
     rng = random.Random(7)
     shared = ["".join(rng.choice("abcdefg ") for _ in range(rng.randint(60, 140))) for _ in range(6)]
     noise = lambda: "".join(rng.choice("uvwxyz ") for _ in range(rng.randint(0, 80)))
@@ -337,3 +359,16 @@ def test_classifier_edges(spark):
     labels = spark.createDataFrame([(None, 1, 0), (1, 1, 0), (1, 0, 1), (3, 7, 0), (2, None, None)], "doc_id long, quality int, toxic int")
     rows = classifier.score_quality(docs, classifier.fit_quality(docs, labels)).collect()
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows) and len({r.score for r in rows if r.id == 2}) == 1
+
+
+def test_run_keeps_no_scratch_and_takes_empty_tables(spark, sf_dir, tmp_path):
+    import corpus_pipeline as cp
+    from alphaloom.llm import shared
+
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert cp.run(spark, str(tmp_path)).count() == 0
+    before = set(shared._made)
+    out = cp.run(spark, sf_dir)
+    assert out.count() > 0 and not shared._scopes
+    left = {at.rsplit("/", 1)[1].split("-")[0] for at in set(shared._made) - before}
+    assert left <= {"pieces", "pii"}
