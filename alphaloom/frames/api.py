@@ -177,6 +177,10 @@ def _shares(f: Frame) -> dict:
             "residue_share": float(own["background_residue"].mean()), "subject_share": float(own["subject"].mean()), "solid_share": float((a >= 0.70).mean())}
 
 
+def level_of(score: Column) -> Column:
+    return F.when(score >= 0.70, "fail").when(score >= 0.35, "warn").otherwise("pass")
+
+
 def _stats(name: str) -> list[Column]:
     """mean, max, 95th percentile, min and mean of the three largest, by clip; the three largest are a bounded array."""
     top = F.slice(F.sort_array(F.collect_list(name), asc=False), 1, 3)
@@ -214,8 +218,7 @@ def risks(owned: DataFrame, report: DataFrame | None = None) -> DataFrame:
         signals(*stats("subject_coverage_ratio", "subject_share", "mean", "min", "p95", "top3"), ("solid_alpha_ratio", F.col("solid")))]
     rows = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(n).alias("risk"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), s)).alias("score"), t.alias("signals")) for k, (n, s, t) in enumerate(zip(RISKS, scores, told))])
     d = wide.select("clip", F.explode(rows).alias("x")).select("clip", "x.*")
-    level = F.when(F.col("score") >= 0.70, "fail").when(F.col("score") >= 0.35, "warn").otherwise("pass")
-    return d.select("clip", "ord", "risk", "score", level.alias("level"), "signals")
+    return d.select("clip", "ord", "risk", "score", level_of(F.col("score")).alias("level"), "signals")
 
 
 # --- candidates: rows (clip, frame_idx, height, width, ord, candidate, a), beside frames with region masks

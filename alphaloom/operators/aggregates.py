@@ -117,7 +117,7 @@ for _name, _column in (("quality_mean_edge_uncertainty", "edge"), ("quality_hole
 FORMS: dict[str, Relation] = {
     "a01": QUALITY.select("clip", "frames", "speckles", "holes", edge=rnd("edge"), residue=rnd("residue"), flicker=rnd("flicker"), overall_score=rnd("greatest(0e0, least(1e0, score))")),
     "a11": risk(R_HAIR), "a12": risk(R_RESIDUE), "a13": risk(R_LIGHT), "a14": risk(R_EFFECT), "a15": risk(R_TEMPORAL), "a16": risk(R_SUBJECT),
-    "a18": all_risks(), "x35": SIGNALS, "w01": FLICKER.select("clip", flicker=rnd("flicker")), "ranked": RANKED,
+    "a17": QUALITY.select("clip", level=level("(1e0 - score) * 4e0")), "a18": all_risks(), "x35": SIGNALS, "w01": FLICKER.select("clip", flicker=rnd("flicker")), "ranked": RANKED,
 }
 
 OPS: dict[str, Relation] = {
@@ -129,7 +129,6 @@ OPS: dict[str, Relation] = {
     "a08_ratio_stats": ratio_stats(PIXELS.agg(FRAME, v="avg(a)")).select("clip", mean=rnd("mean_v"), max=rnd("max_v"), p95=rnd("p95"), min=rnd("min_v"), top3=rnd("top3")),
     "a09_masked_ratio": RESIDUE.select("clip", mean=rnd("mean_v"), max=rnd("max_v"), p95=rnd("p95"), min=rnd("min_v"), top3=rnd("top3")),
     "a10_low_alpha_ratio": MASKS.agg(FRAME, hair=rnd(low_alpha("hair", 0.08)), effect=rnd(low_alpha("(transparent or luminous)", 0.08)), light=rnd(low_alpha(f"({px.LIGHT_LOW_SATURATION} and subject)", 0.35))),
-    "a17_risk_level": QUALITY.select("clip", level=level("(1e0 - score) * 4e0")),
     "a19_candidate_quality": SCORED.select("clip", "frame_idx", "candidate", overall=rnd("overall"), mean_alpha=rnd("mean_a"), soft_ratio=rnd("soft"), **{f"{k}_score": rnd(k) for k in WEIGHTS}),
     "a20_mean_alpha_score": SCORES.select("clip", "frame_idx", "candidate", subject=rnd("subject"), residue=rnd("residue")),
     "a21_soft_alpha_score": SCORES.select("clip", "frame_idx", "candidate", hair=rnd("hair"), uncertain=rnd("uncertain")),

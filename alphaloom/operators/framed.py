@@ -438,6 +438,7 @@ OPS: dict[str, Relation] = {
     "a01_alpha_quality": query(quality, AGGREGATES["a01"]),
     "a11_risk_hair": query(risk("hair_edge_loss"), AGGREGATES["a11"]), "a12_risk_residue": query(risk("background_residue"), AGGREGATES["a12"]), "a13_risk_light": query(risk("light_subject_loss"), AGGREGATES["a13"]),
     "a14_risk_transparent": query(risk("transparent_effect_loss"), AGGREGATES["a14"]), "a15_risk_temporal": query(risk("temporal_instability"), AGGREGATES["a15"]), "a16_risk_subject": query(risk("subject_misidentification"), AGGREGATES["a16"]),
+    "a17_risk_level": query(lambda s, d: api.quality(frames(s, d)).select("clip", api.level_of((1 - F.col("overall_score")) * 4).alias("level")), AGGREGATES["a17"]),
     "a18_p0_report": query(lambda s, d: all_risks(s, d).select("clip", "ord", "risk", _six(F.col("score")).alias("score"), "level"), AGGREGATES["a18"]),
     "x35_risk_signal_rounding": query(lambda s, d: all_risks(s, d).where("ord = 0").select("clip", F.explode("signals").alias("signal", "value")), AGGREGATES["x35"]),
     "a24_black_effect_history": query(black_history, _BLACK_HISTORY),

@@ -347,14 +347,14 @@ def report_view(d: DataFrame) -> DataFrame:
 def _view_sql(what: str) -> str:
     from alphaloom.operators.gates import _WITH
 
-    shown = {"质量评分": "printf('%.3f', overall_score)", "边缘不确定性": "printf('%.3f', mean_edge_uncertainty)", "孔洞像素": "hole_pixels::BIGINT::VARCHAR", "噪点像素": "'0'", "背景残留": "printf('%.3f', background_residue)", "时序闪烁": "printf('%.3f', temporal_flicker)", "边缘时序闪烁": "printf('%.3f', edge_temporal_flicker)",
-             "半透明时序闪烁": "printf('%.3f', transparent_temporal_flicker)", "最大帧差": "printf('%.3f', max_frame_delta)", "帧数": "CASE WHEN kind = 3 THEN '0' ELSE '3' END", "总耗时": "'N/A'"}
+    shown = {"质量评分": "printf('%.3f', round(overall_score::DECIMAL(18,9), 3))", "边缘不确定性": "printf('%.3f', round(mean_edge_uncertainty::DECIMAL(18,9), 3))", "孔洞像素": "hole_pixels::BIGINT::VARCHAR", "噪点像素": "'0'", "背景残留": "printf('%.3f', round(background_residue::DECIMAL(18,9), 3))", "时序闪烁": "printf('%.3f', round(temporal_flicker::DECIMAL(18,9), 3))", "边缘时序闪烁": "printf('%.3f', round(edge_temporal_flicker::DECIMAL(18,9), 3))",
+             "半透明时序闪烁": "printf('%.3f', round(transparent_temporal_flicker::DECIMAL(18,9), 3))", "最大帧差": "printf('%.3f', round(max_frame_delta::DECIMAL(18,9), 3))", "帧数": "CASE WHEN kind = 3 THEN '0' ELSE '3' END", "总耗时": "'N/A'"}
     text = "'**质量摘要**' || " + " || ".join(f"chr(10) || '{k}：' || {v}" for k, v in shown.items())
     if what == "loaded":
         return _WITH + "SELECT path, kind IN (1, 2) AS unavailable FROM f"
     if what == "quality":
         return _WITH + f"SELECT path, {text} AS quality_text, CASE WHEN kind = 3 THEN '**质量选择**' || chr(10) || '质量选择: 未启用' ELSE '**质量选择**' || chr(10) || '质量选择: 已启用' || chr(10) || '候选数量: ' || cands END AS selection_text, '**融合诊断**' || chr(10) || '无融合诊断。' AS fusion_text FROM f WHERE kind NOT IN (1, 2)"
-    return _WITH + f"SELECT path, CASE WHEN kind IN (1, 2) THEN '{UNAVAILABLE}' ELSE '### 处理诊断报告' END AS title, CASE WHEN kind NOT IN (1, 2) THEN '质量评分：' || printf('%.3f', overall_score) END AS score_line FROM f"
+    return _WITH + f"SELECT path, CASE WHEN kind IN (1, 2) THEN '{UNAVAILABLE}' ELSE '### 处理诊断报告' END AS title, CASE WHEN kind NOT IN (1, 2) THEN '质量评分：' || printf('%.3f', round(overall_score::DECIMAL(18,9), 3)) END AS score_line FROM f"
 
 
 # --- jobs
