@@ -35,8 +35,6 @@ SOLID_FOREGROUND = f"({NON_SCREEN} and ((br > 155 and ch < 90) or (r > g + 45 an
 SOFT_SUBJECT = f"({NON_SCREEN} and abs(r - g) < 45 and abs(b - g) < 45 and ((br > 165 and ch < 75) or (br > 150 and br < 190 and ch < 45 and b >= r - 5)))"
 WARM_SHELL = f"(r > 170 and g > 115 and b < 175 and r - b > 45 and g - b > 8 and {NON_SCREEN})"
 BRIGHT_CORE = f"(br > 165 and r > 190 and g > 145 and b > 70 and {NON_SCREEN})"
-WHITE_YELLOW_CORE = f"(br > 185 and r > 175 and g > 150 and b > 95 and ch < 120 and {NON_SCREEN})"
-WARM_HALO = f"(r > 145 and g > 105 and b < 190 and r - b > 20 and {NON_SCREEN})"
 LIGHT_LOW_SATURATION = "(br >= 180 and ch <= 35)"
 SATURATION = "(case when mx > 0 then ch / (mx + 1e-6) else 0e0 end)"
 PURE_BLACK = "(br <= 3.1875e0)"

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from alphaloom.functions import pixel as px
 from alphaloom.operators.neighbours import EDGE, HOLE, SPECKLE
-from alphaloom.operators.points import DESPILLED, LAYERS, RECOVERED, hsv, rnd
+from alphaloom.operators.points import LAYERS, RECOVERED, hsv, rnd
 from alphaloom.plans.relation import Relation, isum, table
-from alphaloom.plans.views import BASELINE, CANDIDATES, COLOURS, MASKS, METRICS, PIXELS
+from alphaloom.plans.views import CANDIDATES, COLOURS, MASKS, PIXELS
 
 FRAME = "clip frame_idx"
 
@@ -100,7 +100,6 @@ DELTAS = PART.agg(FRAME, entity="coalesce(avg(case when gate >= 0.55e0 then fb -
 EXCESS = PIXELS.select("clip", "frame_idx", r="r / 255e0", g="g / 255e0", b="b / 255e0").let(gx="greatest(0e0, g - greatest(r, b))", bx="greatest(0e0, b - greatest(r, g))", br="(r + g + b) / 3e0", ch="greatest(r, g, b) - least(r, g, b)").let(screen="(gx > 0.12e0 or bx > 0.12e0)")
 AUTO = EXCESS.agg(FRAME, green_excess="avg(gx)", blue_excess="avg(bx)", white_subject=share("not screen and br > 0.66e0 and ch < 0.22e0"), pink_glow=share("not screen and r > g + 0.12e0 and b > g + 0.04e0 and br > 0.45e0"),
                   white_glow=share("not screen and br > 0.72e0 and ch < 0.35e0"), green_haze=share("gx > 0.04e0 and gx < 0.2e0 and br > 0.22e0"))
-SAMPLE_DIAG = CANDIDATES.where("ord < 2")
 
 #: Ranks of candidates by region: regions as columns of a score, unpivoted.
 RANKED = None

@@ -17,10 +17,10 @@ from alphaloom.frames import api, grid, rules
 from alphaloom.frames.api import Frame
 from alphaloom.operators.aggregates import FORMS as AGGREGATES
 from alphaloom.operators.neighbours import FORMS
-from alphaloom.operators.points import DESPILLED, EFFECT_LAYER, KEYED
+from alphaloom.operators.points import DESPILLED, KEYED
 from alphaloom.plans import grid_sql as gs
-from alphaloom.plans.relation import Relation, table
-from alphaloom.plans.views import CANDIDATES, FRAMES, MASKS
+from alphaloom.plans.relation import Relation
+from alphaloom.plans.views import CANDIDATES, FRAMES
 
 COLOURS = ("r", "g", "b")
 REGIONS = rules.REGIONS
@@ -219,7 +219,6 @@ def smoothed(mode: str, sql) -> Relation:
     return query(build, sql)
 
 
-_ORDERED = "o AS (SELECT *, row_number() OVER (PARTITION BY clip, y, x ORDER BY frame_idx) AS n FROM px)"
 _EMA = gs.query("SELECT clip, frame_idx, y, x, " + gs.rnd("s") + " AS alpha FROM r0", o="SELECT *, row_number() OVER (PARTITION BY clip, y, x ORDER BY frame_idx) AS n FROM px",
                 r0="SELECT clip, frame_idx, y, x, n, a AS s FROM o WHERE n = 1 UNION ALL SELECT o.clip, o.frame_idx, o.y, o.x, o.n, 0.85e0 * r0.s + 0.15000000000000002e0 * o.a FROM r0 JOIN o ON o.clip = r0.clip AND o.y = r0.y AND o.x = r0.x AND o.n = r0.n + 1")
 

@@ -6,7 +6,7 @@ Only their SQL is used; the queries themselves run by the kernels (framed.py), o
 from __future__ import annotations
 
 from alphaloom.functions import pixel as px
-from alphaloom.operators.points import CORRECTED, KEYS, rnd, shown
+from alphaloom.operators.points import KEYS, rnd, shown
 from alphaloom.plans.relation import Relation, rows, table
 from alphaloom.plans.views import COLOURS, MASKS, PIXELS, _on
 
@@ -74,7 +74,6 @@ def erode(array: str, element) -> tuple[str, str]:
 
 
 GAUSS3 = {(y, x): (0.25, 0.5, 0.25)[y + 1] * (0.25, 0.5, 0.25)[x + 1] for y in (-1, 0, 1) for x in (-1, 0, 1)}
-BOX3 = dict.fromkeys(GAUSS3, 1 / 9)
 
 
 def cells(rel: Relation, **cols: str) -> Relation:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from alphaloom.operators.aggregates import FRAME, SCORED, SCORES, WEIGHTS
-from alphaloom.operators.neighbours import EDGE, HOLE
+from alphaloom.operators.aggregates import FRAME, SCORED
 from alphaloom.operators.points import KEYS, rnd
-from alphaloom.plans.relation import Relation, isum, table
-from alphaloom.plans.views import CANDIDATES, COLOURS, JOBS, MASKS, PIXELS
+from alphaloom.plans.relation import Relation, table
+from alphaloom.plans.views import CANDIDATES, COLOURS, PIXELS
 
 #: Fixed value: order in which regions claim a pixel.
 ORDER = ("subject", "hair", "luminous", "transparent", "residue", "uncertain")
@@ -15,22 +14,9 @@ for _k, _region in enumerate(ORDER):
     _one = SCORED.select("clip", "frame_idx", "candidate", "ord", "overall", region=f"'{_region}'", region_ord=str(_k), score=f"{_region} + 0.1e0 * overall", own=_region)
     LONG = _one if LONG is None else LONG.union(_one)
 
-#: Champions: the best score wins, earlier candidates win ties; at hair and uncertain edges a challenger
-#: must also beat the base by 0.03 in the region and not fall 0.05 behind it overall.
-BASE = LONG.where("ord = 0").select("clip", "frame_idx", "region", base_own="own", base_all="overall")
-CHAMPION = LONG.join(BASE, "clip frame_idx region").where("ord = 0 or region not in ('hair', 'uncertain') or (own >= base_own + 0.03e0 and overall >= base_all - 0.05e0)").let(
-    k="row_number() over (partition by clip, frame_idx, region order by score desc, ord)").where("k = 1")
-OWNER = MASKS.select(*KEYS, region="(case when subject then 'subject' when hair then 'hair' when luminous then 'luminous' when transparent then 'transparent' when residue then 'residue' when uncertain then 'uncertain' else 'none' end)")
-CHOSEN = OWNER.join(CHAMPION.select("clip", "frame_idx", "region", "candidate"), "clip frame_idx region", "left").select(*KEYS, "region", candidate="coalesce(candidate, 'base')").join(
-    CANDIDATES.select(*KEYS, "candidate", "ca"), "clip frame_idx y x candidate")
-FUSED = CHOSEN.join(PIXELS.select(*KEYS, "a"), "clip frame_idx y x")
-GUARD = FUSED.agg(FRAME, edge=("avg(case when ca > 0.05e0 and ca < 0.95e0 then 1e0 else 0e0 end)"), edge0="avg(case when a > 0.05e0 and a < 0.95e0 then 1e0 else 0e0 end)", holes="count_if(ca < 0.7e0 and a >= 0.95e0)", takeovers="count_if(ca < a - 0.5e0)", n="count(*)")
-REASONS = "concat_ws(',', case when holes > 5 then 'hole_pixels' end, case when edge > edge0 + 0.001e0 then 'edge_uncertainty' end, case when takeovers > 5 then 'edge_takeover' end)"
 GATE = CANDIDATES.let(residue_s="0.75e0 * (1e0 - ca) + 0.25e0 * cf", subject_s="0.7e0 * cf + 0.3e0 * ca", transparent_s="0.8e0 * cf + 0.2e0 * ca")
 PIXEL_BEST = GATE.let(part="(case when uncertain then 'uncertain' when subject then 'subject' when hair then 'hair' when transparent then 'transparent' when luminous then 'luminous' when residue then 'residue' else 'none' end)").let(
     s="(case when part = 'residue' then residue_s when part = 'subject' then subject_s when part = 'transparent' then transparent_s else cf end)")
-STANDALONE = CANDIDATES.agg("clip frame_idx candidate ord", holes="count_if(ca < 0.7e0 and ca > 0.6e0)", speckles="count_if(ca > 0.03e0 and ca < 0.1e0)", edge="avg(case when ca > 0.05e0 and ca < 0.95e0 then 1e0 else 0e0 end)").join(
-    SCORED.select("clip", "frame_idx", "candidate", "overall"), "clip frame_idx candidate")
 NUMBERED = table("events", "event_id", "user_id", "ts", "value").let(i="row_number() over (partition by user_id order by ts, event_id) - 1", n="count(*) over (partition by user_id)")
 
 OPS: dict[str, Relation] = {

@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-from alphaloom.operators.aggregates import CLASSIFIED, QUALITY, R_HAIR
-from alphaloom.operators.points import DESPILLED, EFFECT_LAYER, KEYED, KEYS, rnd, shown
-from alphaloom.plans.relation import Relation, isum, rows, table
-from alphaloom.plans.views import BASELINE, CANDIDATES, JOBS, MASKS, METRICS, PIXELS
-
-THREE = "%.3f"
+from alphaloom.operators.aggregates import CLASSIFIED
+from alphaloom.operators.points import rnd, shown
+from alphaloom.plans.relation import Relation, table
+from alphaloom.plans.views import JOBS
 
 
 def over(metric: str, name: str, limit: float) -> str:
     return f"case when {metric} > {limit!r}e0 then concat('{name} ', format_string('%.3f', {metric}), ' above maximum {limit:.3f}') end"
 
 
-#: Ordered checks; the text of each failure names metric, value and limit.
-FAILURES = "concat_ws('; ', " + ", ".join([
-    "case when overall_score < 0.8e0 then concat('overall_score ', format_string('%.3f', overall_score), ' below minimum 0.800') end",
-    over("edge", "mean_edge_uncertainty", 0.08), "case when holes > 100 then concat('hole_pixels ', cast(holes as string), ' above maximum 100') end", over("residue", "background_residue", 0.02), over("flicker", "temporal_flicker", 0.08),
-    over("edge_flicker", "edge_temporal_flicker", 0.08), over("transparent_flicker", "transparent_temporal_flicker", 0.08), over("frame_delta", "max_frame_delta", 0.12), over("hair_low", "hair_low_alpha", 0.3), over("effect_low", "effect_low_alpha", 0.3),
-    "case when base_score is not null and base_score - overall_score > 0.05e0 then concat('overall_score dropped ', format_string('%.3f', base_score - overall_score), ' from baseline ', format_string('%.3f', base_score)) end"]) + ")"
-GATED = METRICS.join(BASELINE, "sample", "left").let(failures=FAILURES)
-P0 = METRICS.join(BASELINE, "sample", "left").let(level="(case when hair_risk >= 0.7e0 then 'fail' when hair_risk >= 0.35e0 then 'warn' else 'pass' end)").let(
-    failures="concat_ws('; ', case when level = 'fail' then concat('hair_edge_loss level fail ', format_string('%.3f', hair_risk)) end, case when base_hair is not null and hair_risk - base_hair > 0.2e0 then concat('hair_edge_loss increased ', format_string('%.3f', hair_risk - base_hair)) end)")
-RESULTS = GATED.select("sample", "failures", "overall_score", status="(case when failures = '' then 'pass' else 'fail' end)")
-
 SUFFIX = "lower(regexp_extract(path, '([.][^./]+)$', 1))"
 #: Suffixes of videos and images.
 VIDEO, IMAGE = "('.mp4', '.mov', '.avi', '.mkv', '.webm')", "('.png', '.jpg', '.jpeg', '.exr', '.bmp', '.tif', '.tiff', '.webp')"
 PATHS = table("part", "p_partkey", "p_name", "p_type").select("p_partkey", path="concat('/assets/', replace(p_type, ' ', '_'), '/clip', cast(p_partkey as string), (case when p_partkey % 6 = 0 then '.MP4' when p_partkey % 6 = 1 then '.png' when p_partkey % 6 = 2 then '.Exr' when p_partkey % 6 = 3 then '.txt' when p_partkey % 6 = 4 then '' else '.JPG' end))")
-JSONS = table("events", "event_id", "props").select("event_id", raw="(case when event_id % 10 = 0 then concat('{', props) when event_id % 10 = 1 then '[1]' else props end)")
-PARSED = JSONS.let(k=("get_json_object(raw, '$.k')", "(case when json_valid(raw) then json_extract_string(raw, '$.k') end)"), ok=("try_parse_json(raw) is not null and substring(ltrim(raw), 1, 1) = '{'", "json_valid(raw) and json_type(case when json_valid(raw) then raw else 'null' end) = 'OBJECT'"))
 MESSAGES = table("documents", "doc_id", "text").select("doc_id", msg="lower(substring(text, 1, 200))")
 URLS = table("pages", "page_id", "url")
 

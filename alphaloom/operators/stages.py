@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from alphaloom.frames import api, grid, models, process, rules
 from alphaloom.frames.api import KEYS, Frame
-from alphaloom.operators.aggregates import CLASSIFIED, DELTAS, FORMS as AGGREGATES
-from alphaloom.operators.framed import A, ALL, BOTH, COLOURS, OPS as FRAMED, VIEWED, _six, candidates, frames, owned, pixels, query, regions_of
-from alphaloom.operators.gates import assets, baselines, items, reports, run
+from alphaloom.operators.aggregates import FORMS as AGGREGATES
+from alphaloom.operators.framed import A, ALL, BOTH, COLOURS, OPS as FRAMED, VIEWED, _six, candidates, frames, owned, pixels, query
+from alphaloom.operators.gates import items, reports, run
 from alphaloom.operators.points import LAYERS, rnd
 from alphaloom.plans import grid_sql as gs
 from alphaloom.plans.relation import Relation, table
-from alphaloom.plans.views import COLOURS as COLOURED, JOBS, MASKS, PIXELS
-from alphaloom.reports import manifests, regression
+from alphaloom.plans.views import JOBS, MASKS, PIXELS
+from alphaloom.reports import regression
 from alphaloom.settings import Settings
 from alphaloom.sources import images, png
 

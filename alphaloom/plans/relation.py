@@ -18,7 +18,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-Expr = "str | tuple[str, str]"
 
 #: Spark function names and what DuckDB calls them.
 _NAMES = {
