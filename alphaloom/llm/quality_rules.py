@@ -88,9 +88,7 @@ def base_features(df: DataFrame, id_col: str = "doc_id", host_col: str = "source
 def _judged(df: DataFrame, id_col: str, host_col: str, text_col: str, min_words: int, left_percent: int, common: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """base_features() of df beside its host's boilerplate lines (common), with words_left, removed, base_failed and kept."""
     d = base_features(df, id_col, host_col, text_col, carry).join(common, "host", "left")
-    known = F.map_from_arrays("common", F.transform("common", lambda _: F.lit(True)))  # a look-up by hash, not a scan of the list for each line
-    d = d.withColumn("known", F.when(F.col("common").isNotNull(), known))
-    stays = F.when(F.col("known").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: F.col("known")[x["h"]].isNull()))
+    stays = F.when(F.col("common").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("common"), x["h"])))
     total = F.aggregate("lines", F.lit(0), lambda a, x: a + x["w"])
     d = d.withColumn("stays", stays).withColumn("words_left", F.aggregate("stays", F.lit(0), lambda a, x: a + x["w"])).withColumn("total", total)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
