@@ -364,7 +364,7 @@ def placed(jobs: DataFrame, order: list[str]) -> DataFrame:
     """Jobs with their place in one order over all of them: ranked within days, with the days before counted, so no task sorts everything."""
     d = jobs.withColumn("day_", F.to_date(order[0]))
     days = d.groupBy("day_").agg(F.count(F.lit(1)).alias("n_"))
-    before = days.alias("x").join(days.select(F.col("day_").alias("e_"), F.col("n_").alias("m_")), F.col("e_") < F.col("day_"), "left").groupBy("day_").agg(F.coalesce(F.sum("m_"), F.lit(0)).alias("off_"))
+    before = days.select("day_", F.coalesce(F.sum("n_").over(Window.orderBy("day_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off_"))  # one row a day
     k = F.row_number().over(Window.partitionBy("day_").orderBy(*order))
     return d.withColumn("k_", k).join(before, "day_").withColumn("place", (F.col("k_") + F.col("off_")).cast("long")).drop("day_", "k_", "off_")
 
