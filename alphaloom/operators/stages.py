@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from alphaloom.frames import api, grid, models, process, rules
 from alphaloom.frames.api import KEYS, Frame
+from alphaloom.functions import pixel as px
 from alphaloom.operators.aggregates import FORMS as AGGREGATES
 from alphaloom.operators.framed import A, ALL, BOTH, COLOURS, OPS as FRAMED, VIEWED, _six, candidates, frames, owned, pixels, query
 from alphaloom.operators.gates import items, reports, run
-from alphaloom.operators.points import LAYERS, rnd
+from alphaloom.operators.points import AI_SOLID, EFFECT_LAYER, GATE, LAYERS, OPS as POINTS, SOLID
 from alphaloom.plans import grid_sql as gs
 from alphaloom.plans.relation import Relation, table
 from alphaloom.plans.views import JOBS, MASKS, PIXELS
@@ -428,19 +429,78 @@ def _lost_sql(clips: bool = False) -> str:
     return gs.query(f"SELECT clip, frame_idx, hit, {gs.rnd('avg(CASE WHEN hit AND subject_like THEN greatest(ai, least(1e0, a * 0.98e0)) ELSE ai END)')} AS mean_alpha FROM m JOIN h USING (clip, frame_idx) GROUP BY ALL", **steps)
 
 
-from alphaloom.operators.points import OPS as POINTS  # noqa: E402  (its SQL is part of the text above)
+# --- SQL of light and its halos on the view's 8 x 8 frames
+
+
+def _grouped(name: str, source: str, cond: str, least: int) -> dict[str, str]:
+    """Steps to <name>: cells of components of at least so many cells."""
+    at = "m.clip = k.clip AND m.frame_idx = k.frame_idx"
+    return {f"{name}_m": f"SELECT {gs.KEYS} FROM {source} WHERE {cond}", f"{name}_l": f"SELECT {gs.KEYS}, y * 8 + x AS l FROM {name}_m UNION SELECT m.clip, m.frame_idx, m.y, m.x, k.l FROM {name}_l k JOIN {name}_m m ON {at} AND abs(m.y - k.y) <= 1 AND abs(m.x - k.x) <= 1",
+            name: f"SELECT {gs.KEYS} FROM (SELECT *, count(*) OVER (PARTITION BY clip, frame_idx, l) AS area FROM (SELECT {gs.KEYS}, min(l) AS l FROM {name}_l GROUP BY {gs.KEYS})) WHERE area >= {least}"}
+
+
+_GLARE = f"(((br > 205 AND ch < 70) OR (br > 185 AND b > 150 AND g > 140 AND r > 130 AND ch < 95) OR (r > 200 AND g > 155 AND b > 90 AND br > 165)) AND NOT {gs.SCREEN})"
+_PURPLE = "(r > 120 AND b > 130 AND g < 180)"
+
+
+def _core(cond: str) -> dict[str, str]:
+    """Steps to co(.., core): large components of a condition, closed."""
+    return {**_grouped("big", "px", cond, 12), "c0": f"SELECT px.*, b.y IS NOT NULL AS kept FROM px LEFT JOIN big b USING ({gs.KEYS})", "c1": gs.near("c0", gs.ellipse(5), grown="bool_or(n.kept)"),
+            "c2": gs.near("c1", gs.ellipse(5), core="bool_and(n.grown)"), "co": f"SELECT px.*, core FROM px JOIN c2 USING ({gs.KEYS})"}
+
+
+_EVIDENCE = gs.query(f"SELECT {gs.KEYS}, NOT core AND NOT (reach AND NOT core AND b > 140 AND g > 120 AND r < 155 AND br > 120 AND a < 0.45e0 AND NOT {_PURPLE} AND NOT {gs.SCREEN}) AND NOT {_PURPLE} AND NOT {gs.SCREEN} AND b > 80 AND g > 120 AND r < 170 AND br > 80 AS evidence FROM co JOIN rc USING ({gs.KEYS})",
+                     **_core(f"{_GLARE} AND NOT {_PURPLE}"), rc=gs.near("co", gs.ellipse(25), reach="bool_or(n.core)"))
+
+
+def _ramp(x: str, lo: float, hi: float) -> str:
+    t = f"least(1e0, greatest(0e0, ({x} - {lo}e0) / {hi - lo!r}e0))"
+    return f"({t} * {t} * (3e0 - 2e0 * {t}))"
+
+
+_LIGHT = {**_core(_GLARE), "h1": gs.near("co", gs.ellipse(11), beside="bool_or(n.core)"), "h2": gs.near("co", gs.ellipse(25), reach="bool_or(n.core)", dist="min(CASE WHEN n.core THEN sqrt((n.y - p.y) * (n.y - p.y) + (n.x - p.x) * (n.x - p.x)) END)"),
+          "li": f"SELECT {gs.KEYS}, least(1e0, greatest(CASE WHEN core THEN 1e0 ELSE 0e0 END, CASE WHEN beside AND ((br > 145 AND ch < 120) OR (b > 135 AND g > 105 AND r > 95) OR (r > 185 AND g > 120)) AND NOT {gs.SCREEN} THEN 0.34e0 * {_ramp('br / 255e0', 0.42, 0.82)} ELSE 0e0 END, "
+          f"CASE WHEN reach AND NOT core AND b > 140 AND g > 120 AND r < 150 AND br > 120 AND a < 0.45e0 AND NOT {gs.SCREEN} THEN (0.36e0 + 0.18e0 * greatest(0e0, (14e0 - dist) / 14e0)) * {_ramp('br / 255e0', 0.42, 0.72)} ELSE 0e0 END)) AS light FROM co JOIN h1 USING ({gs.KEYS}) JOIN h2 USING ({gs.KEYS})"}
+
+
+def _merged_sql() -> str:
+    cells = LAYERS.select("clip", "frame_idx", "y", "x", subj=f"greatest({px.pick(AI_SOLID, 'ai')}, ai * {GATE})", sol=px.one(SOLID), conf="sc")
+    effects = EFFECT_LAYER.select("clip", "frame_idx", "y", "x", eff="effect")
+    return gs.query(gs.shown(f"(SELECT {gs.KEYS}, greatest(subj, sol) AS s, greatest(eff * 0.7e0 * (1e0 - 0.85e0 * {_ramp('conf', 0.45, 0.80)}), light * 0.7001e0, CASE WHEN w.y IS NOT NULL THEN greatest(a, 0.98e0) ELSE 0e0 END) AS e FROM px JOIN sj USING ({gs.KEYS}) JOIN ef USING ({gs.KEYS}) JOIN li USING ({gs.KEYS}) LEFT JOIN wa w USING ({gs.KEYS}))",
+                             alpha="least(1e0, greatest(0e0, s + e * (1e0 - s)))"),
+                    sj=cells.sql(), ef=effects.sql(), **_LIGHT, **_grouped("wa", "px", f"a >= 0.6e0 AND {gs.WARM} AND NOT {gs.SCREEN}", 12))
+
+
+def _black_spill_sql() -> str:
+    """Lift, HSV and back, in 8-bit steps."""
+    up = lambda c: f"floor(least(255e0, greatest(0e0, {c} + lift)))"
+    band = "(a > 0.02e0 AND a < 0.75e0)"
+    steps = {
+        "q0": "SELECT *, greatest(0e0, 50e0 - br) * 0.6e0 * (1e0 - a) * 0.3e0 * (CASE WHEN a > 0.05e0 AND a < 0.95e0 AND br < 60 THEN 1e0 ELSE 0e0 END) AS lift FROM px",
+        "q1": f"SELECT *, {up('r')} AS r1, {up('g')} AS g1, {up('b')} AS b1 FROM q0", "q2": "SELECT *, greatest(r1, g1, b1) AS t, greatest(r1, g1, b1) - least(r1, g1, b1) AS d FROM q1",
+        "q3": "SELECT *, CASE WHEN d = 0 THEN 0e0 WHEN t = r1 THEN 60e0 * (g1 - b1) / d WHEN t = g1 THEN 120e0 + 60e0 * (b1 - r1) / d ELSE 240e0 + 60e0 * (r1 - g1) / d END AS h0, floor(CASE WHEN t > 0 THEN 255e0 * d / t ELSE 0e0 END + 0.5e0) AS s0 FROM q2",
+        "q4": "SELECT *, floor((CASE WHEN h0 < 0 THEN h0 + 360e0 ELSE h0 END) / 2e0 + 0.5e0) AS h1 FROM q3", "q5": "SELECT *, CASE WHEN h1 >= 180 THEN h1 - 180 ELSE h1 END AS h, CASE WHEN a > 0.1e0 AND s0 < 50 AND t > 15 AND ch < 15 THEN least(255e0, s0 * 1.2e0) ELSE s0 END AS s1, CASE WHEN a > 0.05e0 AND t < 60 AND t > 5 THEN least(255e0, t * 1.08e0) ELSE t END AS v1 FROM q4",
+        "q6": f"SELECT *, CASE WHEN {band} AND v1 < 70 AND v1 > 5 THEN least(255e0, v1 + least(18e0, greatest(0e0, (78e0 - v1) * 0.35e0))) ELSE v1 END AS v2, CASE WHEN {band} AND s1 < 32 AND ch < 18 AND v1 > 10 THEN least(255e0, s1 + least(18e0, greatest(0e0, (40e0 - s1) * 0.45e0))) ELSE s1 END AS s2 FROM q5",
+        "q7": "SELECT *, h / 30e0 AS sec, floor(s2) / 255e0 AS s, floor(v2) AS v FROM q6", "q8": "SELECT *, floor(sec)::INT % 6 AS k, sec - floor(sec) AS f FROM q7",
+        "q9": "SELECT *, v * (1e0 - s) AS p_, v * (1e0 - s * f) AS q_, v * (1e0 - s * (1e0 - f)) AS t_ FROM q8",
+        "qa": "SELECT *, floor([v, q_, p_, p_, t_, v][k + 1] + 0.5e0) AS r2, floor([t_, v, v, q_, p_, p_][k + 1] + 0.5e0) AS g2, floor([p_, p_, t_, v, v, q_][k + 1] + 0.5e0) AS b2, a > 0.1e0 AND br < 40 AND ch > 10 AS own FROM q9",
+        "qb": "SELECT *, " + ", ".join(f"CASE WHEN own THEN floor({c}2 * 0.7e0 + {c} * 0.3e0) ELSE {c}2 END AS {c}3" for c in "rgb") + " FROM qa",
+        "qc": f"SELECT *, CASE WHEN {band} AND (r3 + g3 + b3) / 3e0 < 52 THEN least(10e0, greatest(0e0, (58e0 - (r3 + g3 + b3) / 3e0) * 0.35e0)) ELSE 0e0 END AS more FROM qb"}
+    return gs.query(gs.shown("qc", **{n: f"floor(least(255e0, greatest(0e0, {c}3 + more * {w}e0)))" for n, c, w in (("red", "r", 0.85), ("green", "g", 1.0), ("blue", "b", 0.9))}), **steps)
+
+
 
 OPS: dict[str, Relation] = {
     "f06_region_luminous": counted(lambda e: [rules.luminous(e.p, e.of("a"))], "luminous"),
-    "f20_background_evidence": counted(lambda e: [rules.background_evidence(e.p, e.of("a"))], "evidence"),
+    "f20_background_evidence": pixels(lambda f: {"evidence": rules.background_evidence(f.picture, f["a"])}, ALL, _EVIDENCE, None, evidence="boolean"),
     "f21_document_evidence": counted(lambda e: [rules.document_evidence(e.p, e.of("a"))], "evidence"),
-    "f22_luminous_reconstruct": counted(lambda e: [rules.luminous_reconstruction(e.p, e.of("a"))], "layer"),
+    "f22_luminous_reconstruct": pixels(lambda f: {"layer": rules.luminous_reconstruction(f.picture, f["a"])}, ALL, gs.query(gs.shown("li", layer="light"), **_LIGHT), None, layer="double"),
     "f25_subject_integrity": counted(_integrity, "layer"),
     "f26_subject_instance": counted(lambda e: [rules.subject_instance(gate_of(e) >= 0.75)], "instance"),
     "f27_subject_core": counted(lambda e: [rules.subject_core(*[np.maximum(gate_of(e), e.of("a") >= 0.5)] * 3, e.of("ai") * 0.4)], "core"),
     "n06_fill_holes": counted(_holes, "whole", "allowed"),
     "n15_boxfilter": pixels(lambda f: {"mean": grid.boxed(f["a"], 3), "wide": grid.boxed(f["a"], 5)}, A, gs.query(gs.shown(f"(SELECT *, s3 / 9e0 AS v, s5 / 25e0 AS w FROM b3 JOIN b5 USING ({gs.KEYS}))", mean="v", wide="w"), b3=gs.filtered("px", gs.ones(3), "a", "s3"), b5=gs.filtered("px", gs.ones(5), "a", "s5")), None, mean="double", wide="double"),
-    "p27_black_despill": pixels(lambda f: dict(zip(("red", "green", "blue"), rules.black_spill_removed(f.picture, f["a"]))), ALL, None, None, red="double", green="double", blue="double"),
+    "p27_black_despill": pixels(lambda f: dict(zip(("red", "green", "blue"), rules.black_spill_removed(f.picture, f["a"]))), ALL, _black_spill_sql(), None, red="double", green="double", blue="double"),
     "p45_input_rescale": query(rescaled, bilinear(13)),
     "p46_extract_alpha": pixels(lambda f: {"alpha": models.checked({"matte": (f["a"] * 255)[None, :, :, None]} if f["frame_idx"] % 2 else [f["a"]], f.shape)}, A, gs.query(gs.shown("(SELECT *, max(a) OVER (PARTITION BY clip, frame_idx) AS top FROM px)", alpha="CASE WHEN frame_idx % 2 = 1 AND top * 255 <= 1 THEN a * 255 ELSE a END")), None, alpha="double"),
     "w04_flow_smooth": query(lambda s, d: api.cells(api.stabilise(frames(s, d), "high"), "alpha").select(*KEYS, "y", "x", _six(F.col("alpha")).alias("alpha")), None),
@@ -452,7 +512,7 @@ OPS: dict[str, Relation] = {
     "u04_skip_reasons": query(lambda s, d: generated(s, d)[1].select("clip", "name", "reason"), f"SELECT DISTINCT clip, x.name, x.reason FROM ({PIXELS.sql()}), (VALUES ('sam2', 'guidance_missing'), ('gvm', 'model_unavailable'), ('matanyone2', 'generation_failed'), ('rembg', 'disabled_by_config')) AS x(name, reason)"),
     "u06_birefnet_candidate": query(model_alphas("birefnet"), gs.query(gs.shown("(SELECT *, max(ai) OVER (PARTITION BY clip, frame_idx) AS top FROM px)", alpha="CASE WHEN top * 255 <= 1 THEN ai * 255 ELSE ai END"))),
     "u11_hybrid_dispatch": query(whole(Settings(quality="fast")), None),
-    "u12_green_path": pixels(lambda f: {"alpha": rules.green_merged(f.picture, f["a"], f["ai"]), "competing": rules.green_merged(f.picture, f["a"], f["ai"], model="gvm")}, BOTH, None, None, alpha="double", competing="double"),
+    "u12_green_path": pixels(lambda f: {"alpha": rules.green_merged(f.picture, f["a"], f["ai"])}, BOTH, _merged_sql(), None, alpha="double"),
     "u14_unknown_path": query(unknown_choice, _unknown_sql()),
     "u17_decontaminate": query(decontaminated, None),
     "u20_recover_degenerate": query(lambda s, d: recovered_frames(s, d).select(*KEYS, "hit", _six(F.col("alpha")).alias("mean_alpha")), _lost_sql()),

@@ -8,7 +8,8 @@ from alphaloom.plans.relation import duck_text, rows, table
 
 SAMPLE = ["x03_threshold_gate", "p18_green_despill", "p33_effect_layer", "f07_region_classify_all", "a08_ratio_stats", "a05_bg_classify", "a19_candidate_quality", "r05_fusion_gate", "w10_queue_submit", "j05_manifest_merge", "j06_temporal_model_antijoin",
           "n01_uncertain_edge", "n02_speckle", "n03_hole", "n10_median_despeckle", "n12_luminous_restore", "f24_cyan_halo_band", "f29_trimap", "p06_chroma_key", "p11_black_key", "p25_prop_projection", "p50_green_generate", "u13_black_path", "u16_refine", "a01_alpha_quality", "a18_p0_report",
-          "x35_risk_signal_rounding", "a24_black_effect_history", "a27_screen_color_median", "w02_ema", "w03_adaptive_bidirectional", "r02_standalone_best", "r03_region_select", "r04_selection_guard", "r07_fusion_risk_guard", "r20_selection_payload"]
+          "x35_risk_signal_rounding", "a24_black_effect_history", "a27_screen_color_median", "w02_ema", "w03_adaptive_bidirectional", "r02_standalone_best", "r03_region_select", "r04_selection_guard", "r07_fusion_risk_guard", "r20_selection_payload", "u12_green_path", "p27_black_despill", "f20_background_evidence", "f22_luminous_reconstruct", "r01_region_rank", "w07_mask_tracking", "k03_compose_output", "s04_sequence_scan",
+          "x02_flatten_metrics", "x10_exception_rules", "x34_manifest_build_sample", "a07_region_supervision", "k06_regression_markdown"]
 
 
 def same(spark, duck, sf_dir, relation):
