@@ -8,29 +8,24 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Modules with OPS (relations with both renderings) and, where SQL has no form, FREE (Spark functions only).
+#: Modules of alphaloom.operators with OPS: relations by name, with a Spark form and, where there is one, a SQL text.
 MODULES = ("points", "neighbours", "joins", "aggregates", "ranking", "temporal", "reports", "framed", "gates", "stages", "further")
 
 
 @lru_cache(maxsize=1)
-def _modules() -> tuple:
-    found = []
+def _relations() -> dict:
+    out: dict = {}
     for name in MODULES:
-        spec = importlib.util.find_spec(f"alphaloom.operators.{name}")
-        if spec is not None:
-            found.append(importlib.import_module(f"alphaloom.operators.{name}"))
-    return tuple(found)
+        ops = importlib.import_module(f"alphaloom.operators.{name}").OPS
+        if twice := out.keys() & ops.keys():
+            raise ValueError(f"queries defined twice: {sorted(twice)}")
+        out |= ops
+    return out
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for m in _modules():
-        out |= {k: r.frame for k, r in m.OPS.items()} | dict(getattr(m, "FREE", {}))
-    return out
+    return {k: r.frame for k, r in _relations().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
-    for m in _modules():
-        out |= {k: text for k, r in m.OPS.items() if (text := r.sql())}
-    return out
+    return {k: text for k, r in _relations().items() if (text := r.sql())}

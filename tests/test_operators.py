@@ -23,10 +23,7 @@ def same(spark, duck, sf_dir, relation):
 
 @pytest.mark.parametrize("name", SAMPLE)
 def test_against_sql(spark, duck, sf_dir, name):
-    from alphaloom.plans.registry import _modules
-
-    relation = next(m.OPS[name] for m in _modules() if name in m.OPS)
-    same(spark, duck, sf_dir, relation)
+    same(spark, duck, sf_dir, registry._relations()[name])
 
 
 def test_every_query_has_columns_and_sql():
