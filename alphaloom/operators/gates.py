@@ -155,6 +155,16 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CASE = lambda values, of: "CASE " + of + " " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
 _CODE = _CASE(CODES, "event_id % 12")
 
+
+
+def _user_text_sql() -> str:
+    said = lambda code: f"[error] {diagnostics.TEXTS[code][0]}: {diagnostics.TEXTS[code][1]}"
+    own = "SELECT user_id, event_id, " + _CODE + " AS key, " + _CASE([said(c) for c in CODES], "event_id % 12") + " AS said, " + "CASE event_id % 12 " + " ".join(f"WHEN {k} THEN {1 + len(diagnostics.TEXTS[c][2])}" for k, c in enumerate(CODES)) + " END AS n FROM events"
+    models = {0: "[error] GVM runtime 不可用: GVM 已安装，但运行时依赖无法导入。", 1: "[error] SAM2 需要 CUDA: SAM2 仅支持 CUDA GPU。", 3: "[warning] BiRefNet 不可用: BiRefNet 当前不可用，通常是模型文件缺失。", 4: "[error] rembg 不可用: rembg 当前不可用，通常是模型文件缺失。"}
+    asked = "SELECT user_id, event_id, 'model ' || event_id % 5, CASE event_id % 5 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in models.items()) + " END, 3 FROM events WHERE event_id % 2 = 0 AND event_id % 5 <> 2"
+    return f"WITH i AS ({own} UNION ALL {asked}), d AS (SELECT user_id, key, said, n, min(event_id) AS event_id FROM i GROUP BY user_id, key, said, n) SELECT user_id, sum(n)::INT AS lines, first(said ORDER BY event_id, said) AS first_line FROM d GROUP BY user_id"
+
+
 _COUNTS = "SELECT clip, count(*) AS cells, count(DISTINCT frame_idx) AS frames, " + ", ".join(f"count(CASE WHEN {b} THEN 1 END) AS {a}" for a, b in (("subject", "subject"), ("hair_edge", "hair"), ("luminous_prop", "luminous"), ("transparent_effect", "transparent"), ("background_residue", "residue"), ("uncertain_edge", "uncertain")))
 
 
@@ -231,7 +241,7 @@ OPS: dict[str, Relation] = {
     "x12_media_tool_rules": query(lambda s, d: table("supplier", "s_suppkey", "s_name", "s_acctbal").frame(s, d).select("s_suppkey", F.when(F.col("s_acctbal") > 0, F.concat(F.lit("/usr/bin/ffmpeg-"), F.col("s_name"))).alias("ffmpeg"), F.when(F.col("s_suppkey") % 3 > 0, F.lit("/usr/bin/ffprobe")).alias("ffprobe"))
                                   .withColumn("code", diagnostics.media_code(F.col("ffmpeg"), F.col("ffprobe"))).select("s_suppkey", "code", diagnostics.text_of(F.col("code"), 0).alias("title"), F.col("code").isNotNull().alias("blocking")),
                                   "SELECT s_suppkey, CASE WHEN NOT s_acctbal > 0 THEN 'FFMPEG_NOT_FOUND' WHEN s_suppkey % 3 = 0 THEN 'FFPROBE_NOT_FOUND' END AS code, CASE WHEN NOT s_acctbal > 0 THEN '未找到 FFmpeg' WHEN s_suppkey % 3 = 0 THEN 'FFprobe 缺失' END AS title, NOT s_acctbal > 0 OR s_suppkey % 3 = 0 AS blocking FROM supplier"),
-    "x13_report_to_text": query(lambda s, d: diagnostics.user_text(items(s, d), "user_id", order="event_id").select("user_id", F.size(F.split("text", "\n")).alias("lines"), F.substring_index("text", "\n", 1).alias("first_line")), None),
+    "x13_report_to_text": query(lambda s, d: diagnostics.user_text(items(s, d), "user_id", order="event_id").select("user_id", F.size(F.split("text", "\n")).alias("lines"), F.substring_index("text", "\n", 1).alias("first_line")), _user_text_sql()),
     "a36_diagnostic_counts": query(lambda s, d: diagnostics.counts(items(s, d), "user_id"), "SELECT user_id, sum(1 + (CASE WHEN event_id % 2 = 0 AND event_id % 5 IN (0, 1, 4) THEN 1 ELSE 0 END))::BIGINT AS blocking, count(CASE WHEN event_id % 2 = 0 AND event_id % 5 = 3 THEN 1 END) AS warning, 0::BIGINT AS info, false AS ok FROM events GROUP BY user_id"),
     "a07_region_supervision": query(supervision, _supervision_sql()),
 }

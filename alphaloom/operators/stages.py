@@ -58,9 +58,21 @@ def _integrity(e: Enlarged):
     return [rules.subject_integrity(e.p, e.of("ai"), e.of("a"), gate_of(e))]
 
 
-def _holes(e: Enlarged):
-    mask = e.of("a") >= 0.7
-    return grid.fill_holes(mask, np.ones_like(mask)), grid.fill_holes(mask, e.of("ai") >= 0.3)
+def _holes(f: Frame) -> dict:
+    mask = f["a"] >= 0.7
+    return {"whole": grid.fill_holes(mask, np.ones_like(mask), 4.0), "allowed": grid.fill_holes(mask, f["ai"] >= 0.3, 4.0)}
+
+
+#: Outside is what four-connected steps reach from a rim around the frame; an outline's area counts the squares between cells of one component.
+_HOLES = gs.query(
+    f"SELECT px.clip, px.frame_idx, px.y, px.x, px.a >= 0.7e0 OR k.l IS NOT NULL AS whole, px.a >= 0.7e0 OR (k.l IS NOT NULL AND px.ai >= 0.3e0) AS allowed FROM px LEFT JOIN kept k USING ({gs.KEYS})",
+    free="SELECT f.clip, f.frame_idx, y::INT AS y, x::INT AS x FROM (SELECT DISTINCT clip, frame_idx FROM px) f CROSS JOIN range(-1, 9) b(y) CROSS JOIN range(-1, 9) c(x) ANTI JOIN (SELECT clip, frame_idx, y, x FROM px WHERE a >= 0.7e0) m USING (clip, frame_idx, y, x)",
+    outer_="SELECT clip, frame_idx, y, x FROM free WHERE y = -1 AND x = -1 UNION SELECT f.clip, f.frame_idx, f.y, f.x FROM outer_ o JOIN free f ON f.clip = o.clip AND f.frame_idx = o.frame_idx AND abs(f.y - o.y) + abs(f.x - o.x) = 1",
+    solid=f"SELECT {gs.KEYS} FROM px ANTI JOIN outer_ USING ({gs.KEYS})",
+    lab="SELECT clip, frame_idx, y, x, y * 8 + x AS l FROM solid UNION SELECT m.clip, m.frame_idx, m.y, m.x, k.l FROM lab k JOIN solid m ON m.clip = k.clip AND m.frame_idx = k.frame_idx AND abs(m.y - k.y) <= 1 AND abs(m.x - k.x) <= 1",
+    one=f"SELECT {gs.KEYS}, min(l) AS l FROM lab GROUP BY {gs.KEYS}",
+    sq="SELECT clip, frame_idx, l, y - dy AS qy, x - dx AS qx, count(*) AS n FROM one CROSS JOIN range(2) a(dy) CROSS JOIN range(2) b(dx) GROUP BY ALL",
+    big="SELECT clip, frame_idx, l FROM sq GROUP BY clip, frame_idx, l HAVING sum(CASE n WHEN 4 THEN 1e0 WHEN 3 THEN 0.5e0 ELSE 0e0 END) >= 4", kept=f"SELECT one.* FROM one JOIN big USING (clip, frame_idx, l)")
 
 
 # --- models
@@ -498,7 +510,7 @@ OPS: dict[str, Relation] = {
     "f25_subject_integrity": counted(_integrity, "layer"),
     "f26_subject_instance": counted(lambda e: [rules.subject_instance(gate_of(e) >= 0.75)], "instance"),
     "f27_subject_core": counted(lambda e: [rules.subject_core(*[np.maximum(gate_of(e), e.of("a") >= 0.5)] * 3, e.of("ai") * 0.4)], "core"),
-    "n06_fill_holes": counted(_holes, "whole", "allowed"),
+    "n06_fill_holes": pixels(_holes, BOTH, _HOLES, None, whole="boolean", allowed="boolean"),
     "n15_boxfilter": pixels(lambda f: {"mean": grid.boxed(f["a"], 3), "wide": grid.boxed(f["a"], 5)}, A, gs.query(gs.shown(f"(SELECT *, s3 / 9e0 AS v, s5 / 25e0 AS w FROM b3 JOIN b5 USING ({gs.KEYS}))", mean="v", wide="w"), b3=gs.filtered("px", gs.ones(3), "a", "s3"), b5=gs.filtered("px", gs.ones(5), "a", "s5")), None, mean="double", wide="double"),
     "p27_black_despill": pixels(lambda f: dict(zip(("red", "green", "blue"), rules.black_spill_removed(f.picture, f["a"]))), ALL, _black_spill_sql(), None, red="double", green="double", blue="double"),
     "p45_input_rescale": query(rescaled, bilinear(13)),
