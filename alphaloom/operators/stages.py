@@ -63,16 +63,43 @@ def _holes(f: Frame) -> dict:
     return {"whole": grid.fill_holes(mask, np.ones_like(mask), 4.0), "allowed": grid.fill_holes(mask, f["ai"] >= 0.3, 4.0)}
 
 
-#: Outside is what four-connected steps reach from a rim around the frame; an outline's area counts the squares between cells of one component.
-_HOLES = gs.query(
-    f"SELECT px.clip, px.frame_idx, px.y, px.x, px.a >= 0.7e0 OR k.l IS NOT NULL AS whole, px.a >= 0.7e0 OR (k.l IS NOT NULL AND px.ai >= 0.3e0) AS allowed FROM px LEFT JOIN kept k USING ({gs.KEYS})",
-    free="SELECT f.clip, f.frame_idx, y::INT AS y, x::INT AS x FROM (SELECT DISTINCT clip, frame_idx FROM px) f CROSS JOIN range(-1, 9) b(y) CROSS JOIN range(-1, 9) c(x) ANTI JOIN (SELECT clip, frame_idx, y, x FROM px WHERE a >= 0.7e0) m USING (clip, frame_idx, y, x)",
-    outer_="SELECT clip, frame_idx, y, x FROM free WHERE y = -1 AND x = -1 UNION SELECT f.clip, f.frame_idx, f.y, f.x FROM outer_ o JOIN free f ON f.clip = o.clip AND f.frame_idx = o.frame_idx AND abs(f.y - o.y) + abs(f.x - o.x) = 1",
-    solid=f"SELECT {gs.KEYS} FROM px ANTI JOIN outer_ USING ({gs.KEYS})",
-    lab="SELECT clip, frame_idx, y, x, y * 8 + x AS l FROM solid UNION SELECT m.clip, m.frame_idx, m.y, m.x, k.l FROM lab k JOIN solid m ON m.clip = k.clip AND m.frame_idx = k.frame_idx AND abs(m.y - k.y) <= 1 AND abs(m.x - k.x) <= 1",
-    one=f"SELECT {gs.KEYS}, min(l) AS l FROM lab GROUP BY {gs.KEYS}",
-    sq="SELECT clip, frame_idx, l, y - dy AS qy, x - dx AS qx, count(*) AS n FROM one CROSS JOIN range(2) a(dy) CROSS JOIN range(2) b(dx) GROUP BY ALL",
-    big="SELECT clip, frame_idx, l FROM sq GROUP BY clip, frame_idx, l HAVING sum(CASE n WHEN 4 THEN 1e0 WHEN 3 THEN 0.5e0 ELSE 0e0 END) >= 4", kept=f"SELECT one.* FROM one JOIN big USING (clip, frame_idx, l)")
+def _filled_sql(name: str, source: str, mask: str, allowed: str, least: float) -> dict[str, str]:
+    """Steps to <name>(.., filled): a mask with what it encloses, where allowed. Outside is what four-connected steps reach from a rim around the frame; an outline's area counts the squares between cells of one component."""
+    n = name
+    return {
+        f"{n}_f": f"SELECT f.clip, f.frame_idx, y::INT AS y, x::INT AS x FROM (SELECT DISTINCT clip, frame_idx FROM px) f CROSS JOIN range(-1, 9) b(y) CROSS JOIN range(-1, 9) c(x) ANTI JOIN (SELECT {gs.KEYS} FROM {source} WHERE {mask}) m USING ({gs.KEYS})",
+        f"{n}_o": f"SELECT {gs.KEYS} FROM {n}_f WHERE y = -1 AND x = -1 UNION SELECT f.clip, f.frame_idx, f.y, f.x FROM {n}_o o JOIN {n}_f f ON f.clip = o.clip AND f.frame_idx = o.frame_idx AND abs(f.y - o.y) + abs(f.x - o.x) = 1",
+        f"{n}_s": f"SELECT {gs.KEYS} FROM px ANTI JOIN {n}_o USING ({gs.KEYS})",
+        f"{n}_l": f"SELECT {gs.KEYS}, y * 8 + x AS l FROM {n}_s UNION SELECT m.clip, m.frame_idx, m.y, m.x, k.l FROM {n}_l k JOIN {n}_s m ON m.clip = k.clip AND m.frame_idx = k.frame_idx AND abs(m.y - k.y) <= 1 AND abs(m.x - k.x) <= 1",
+        f"{n}_c": f"SELECT {gs.KEYS}, min(l) AS l FROM {n}_l GROUP BY {gs.KEYS}",
+        f"{n}_q": f"SELECT clip, frame_idx, l, y - dy AS qy, x - dx AS qx, count(*) AS n FROM {n}_c CROSS JOIN range(2) a(dy) CROSS JOIN range(2) b(dx) GROUP BY ALL",
+        f"{n}_b": f"SELECT clip, frame_idx, l FROM {n}_q GROUP BY clip, frame_idx, l HAVING sum(CASE n WHEN 4 THEN 1e0 WHEN 3 THEN 0.5e0 ELSE 0e0 END) >= {least}",
+        name: f"SELECT s.*, ({mask}) OR (k.l IS NOT NULL AND ({allowed})) AS filled FROM {source} s LEFT JOIN (SELECT c.* FROM {n}_c c JOIN {n}_b USING (clip, frame_idx, l)) k USING ({gs.KEYS})"}
+
+
+_HOLES = gs.query("SELECT px.clip, px.frame_idx, px.y, px.x, h1.filled AS whole, h2.filled AS allowed FROM px JOIN h1 USING (clip, frame_idx, y, x) JOIN h2 USING (clip, frame_idx, y, x)",
+                  **_filled_sql("h1", "px", "a >= 0.7e0", "true", 4), **_filled_sql("h2", "px", "a >= 0.7e0", "ai >= 0.3e0", 4))
+
+
+def _luminous_sql() -> str:
+    """Shells filled, their reach, closed candidates filled again, and components of eight cells with a warm one."""
+    keep, steps = gs.KEYS, {}
+    steps["p0"] = (f"SELECT *, {gs.WARM} AND NOT {gs.SCREEN} AS shell, br > 165 AND r > 190 AND g > 145 AND b > 70 AND NOT {gs.SCREEN} AS bright, br > 185 AND r > 175 AND g > 150 AND b > 95 AND ch < 120 AND NOT {gs.SCREEN} AS pale, "
+                   f"r > 145 AND g > 105 AND b < 190 AND r - b > 20 AND NOT {gs.SCREEN} AS halo FROM px")
+    steps |= _filled_sql("p1", "p0", "shell", "a >= 0.55e0", 12)
+    # On 8 x 8 cells any shell is within 45 of every cell.
+    steps["p2"] = gs.near("p1", gs.ellipse(19), near="bool_or(n.filled)")
+    steps["p3"] = f"SELECT p1.* EXCLUDE (filled), filled, bool_or(filled) OVER (PARTITION BY clip, frame_idx) AS any_, near FROM p1 JOIN p2 USING ({keep})"
+    steps["p4"] = "SELECT * EXCLUDE (filled, near), filled, near OR ((bright OR pale) AND any_) AS reach, a >= 0.18e0 OR bright OR pale OR halo AS support FROM p3"
+    steps["p5"] = "SELECT * EXCLUDE (filled), reach AND support AND (filled OR shell OR bright OR pale OR halo) AS cand FROM p4"
+    steps["p6"] = gs.near("p5", gs.ellipse(11), grown="bool_or(n.cand)")
+    steps["p7"] = gs.near("p6", gs.ellipse(11), cl="bool_and(n.grown)")
+    steps["p8"] = f"SELECT p5.*, cl FROM p5 JOIN p7 USING ({keep})"
+    steps |= _filled_sql("p9", "p8", "cl", "reach AND support", 12)
+    steps["pl"] = f"SELECT {keep}, y * 8 + x AS l FROM p9 WHERE filled AND any_ UNION SELECT m.clip, m.frame_idx, m.y, m.x, k.l FROM pl k JOIN p9 m ON m.filled AND m.clip = k.clip AND m.frame_idx = k.frame_idx AND abs(m.y - k.y) <= 1 AND abs(m.x - k.x) <= 1"
+    steps["pc"] = f"SELECT {keep}, min(l) AS l FROM pl GROUP BY {keep}"
+    steps["pk"] = f"SELECT clip, frame_idx, l FROM pc JOIN p0 USING ({keep}) GROUP BY clip, frame_idx, l HAVING count(*) >= 8 AND bool_or(shell)"
+    return gs.query(f"SELECT {keep}, k.l IS NOT NULL AS luminous FROM px LEFT JOIN (SELECT pc.* FROM pc JOIN pk USING (clip, frame_idx, l)) k USING ({keep})", **steps)
 
 
 # --- models
@@ -503,7 +530,7 @@ def _black_spill_sql() -> str:
 
 
 OPS: dict[str, Relation] = {
-    "f06_region_luminous": counted(lambda e: [rules.luminous(e.p, e.of("a"))], "luminous"),
+    "f06_region_luminous": pixels(lambda f: {"luminous": rules.luminous(f.picture, f["a"])}, ALL, _luminous_sql(), None, luminous="boolean"),
     "f20_background_evidence": pixels(lambda f: {"evidence": rules.background_evidence(f.picture, f["a"])}, ALL, _EVIDENCE, None, evidence="boolean"),
     "f21_document_evidence": counted(lambda e: [rules.document_evidence(e.p, e.of("a"))], "evidence"),
     "f22_luminous_reconstruct": pixels(lambda f: {"layer": rules.luminous_reconstruction(f.picture, f["a"])}, ALL, gs.query(gs.shown("li", layer="light"), **_LIGHT), None, layer="double"),
