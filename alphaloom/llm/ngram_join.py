@@ -52,6 +52,8 @@ COUNTERS, CHUNKS = (1 << 20, 1 << 24), 64
 #: Bits of the table that tells which documents a comparison may need, by their number, between two bounds (2 and 64 MB).
 FILTER_BITS = (1 << 24, 1 << 29)
 MINIMA = 4
+#: Bytes of text hashed at once (a text is never cut).
+BATCH_BYTES = 1 << 19
 #: Most candidates in one block of a query.
 BLOCK = 64
 
@@ -125,7 +127,7 @@ def _count(width: int, counters: int):
 
         counts = np.zeros(counters, np.uint32)
         for big in batches:
-            for batch in pieces(big, 1 << 20):
+            for batch in pieces(big, BATCH_BYTES):
                 sets = shingle_sets(_bytes(batch.column(0)), width)
                 np.add.at(counts, (np.concatenate(sets) & np.uint64(counters - 1)).astype(np.int64), 1)
         ctx = TaskContext.get()
@@ -171,7 +173,7 @@ def _required(a, b, percent: int):
 def _sketch(width: int, percent: int, classes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in pieces(big, 1 << 20):
+            for batch in pieces(big, BATCH_BYTES):
                 n, fp1, fp2, prefix, least = [], [], [], [], []
                 for s in shingle_sets(_bytes(batch.column(1)), width):
                     n.append(len(s))
@@ -241,7 +243,12 @@ def _compare(width: int, percent: int):
     def run(key, tbl):
         ids, packed = tbl.column("id").to_pylist(), tbl.column("packed").to_pylist()
         a = key[0].as_py()
-        sets = dict(zip(ids, shingle_sets([unsqueezed(p) for p in packed], width)))
+        sets, begun, texts = {}, 0, []
+        for k, p in enumerate(packed, 1):  # a few texts at a time, as they may be long
+            texts.append(unsqueezed(p))
+            if sum(map(len, texts)) >= BATCH_BYTES or k == len(packed):
+                sets.update(zip(ids[begun:k], shingle_sets(texts, width)))
+                begun, texts = k, []
         query = sets.pop(a, np.zeros(0, np.uint64))
         others = sorted(sets)
         linked = t_occurrence(query, [sets[b] for b in others], [int(_required(len(query), len(sets[b]), percent)) for b in others])
