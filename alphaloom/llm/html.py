@@ -56,7 +56,13 @@ PARTS = re.compile(
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(hidden)(?=[\s/>]|$)", re.I)
-SPACE = re.compile(r"\s+")
+
+
+def spaced(text: str) -> str:
+    """White space as single spaces, none at the ends."""
+    return " ".join(text.split())
+
+
 #: Sequences longer than this have the optional parts of one kind folded into one group.
 WIDE = 60
 #: Cells of an alignment's table, beyond which matching blocks stand in for the longest common subsequence.
@@ -187,7 +193,7 @@ def _parts(node: Node) -> list:
 
 def _shape(node, linked: bool = False) -> list:
     if isinstance(node, str):
-        text = SPACE.sub(" ", node).strip()
+        text = spaced(node)
         return ["#", 0, 0, 1, text, [], 0 if linked else len(text), []]
     kids = [_shape(k, linked or node.tag == "a") for k in _parts(node)]
     return [_key(node), 0, 0, 1, None, _grouped(kids), 0, [_hash(node)] if node.tag in OWN else []]
@@ -201,7 +207,7 @@ def _text(node: Node) -> str:
             parts.append(x)
         elif x.tag not in RAW:
             todo += reversed(x.kids)
-    return SPACE.sub(" ", "".join(parts)).strip()
+    return spaced("".join(parts))
 
 
 def _hash(node: Node) -> str:
@@ -216,9 +222,13 @@ def _alike(x: list) -> tuple:
 def _grouped(seq: list) -> list:
     """Neighbours of one shape, then two or three that alternate, as repeated groups."""
     for width in (1, 2, 3):
+        if len(seq) < 2 * width:
+            return seq
+        shapes = [_alike(x) for x in seq]
+        if len(set(shapes)) == len(shapes):
+            return seq
         out: list = []
         i = 0
-        shapes = [_alike(x) for x in seq]
         while i < len(seq):
             keys = [x[KEY] for x in seq[i : i + width]]
             same = shapes[i : i + width]
@@ -286,6 +296,9 @@ def _aligned(a: list, b: list, again: bool) -> list:
     """Align two sequences; what only one has becomes optional."""
     if not a and not b:
         return []
+    if len(a) == len(b) and all(x[KEY] == y[KEY] for x, y in zip(a, b)):
+        out = [merge(x, y, again) for x, y in zip(a, b)]
+        return _folded(out) if len(out) > WIDE else out
     optional = lambda x: [*x[:OPT], 1, *x[REP:]]
     out, i, j = [], 0, 0
     for m, n in [*_common([x[KEY] for x in a], [x[KEY] for x in b]), (len(a), len(b))]:
@@ -394,7 +407,7 @@ class Template:
         """Of a matched element, the ids of its text's elements and positions that are template."""
         for k, x in self.matches(node, part):
             if isinstance(k, str):
-                if self.fixed(x) and SPACE.sub(" ", k).strip() == x[TEXT]:
+                if self.fixed(x) and spaced(k) == x[TEXT]:
                     out.add(id(k))
             elif x[ALWAYS] and x[SEEN] >= AGREE and not x[OPT] and _hash(k) in x[ALWAYS]:
                 out.update(_strings(k))
@@ -414,17 +427,6 @@ def _strings(node: Node) -> list[int]:
     return out
 
 
-def template_texts(w: list) -> set[str]:
-    """Texts that never vary over three or more pages, if the host has texts that do vary."""
-    t, found, todo = Template(w), set(), [w]
-    while todo:
-        x = todo.pop()
-        if x[KEY] == "#" and t.tells and t.fixed(x) and x[TEXT]:
-            found.add(x[TEXT])
-        todo += x[KIDS]
-    return found
-
-
 # --- extraction
 
 
@@ -491,7 +493,7 @@ def main_text(page: str, template: Template | None = None) -> str:
 
     def end() -> None:
         if line:
-            text = SPACE.sub(" ", entities.unescape("".join(line))).strip()
+            text = spaced(entities.unescape("".join(line)))
             if text and varies[0]:
                 blocks.append(text)
             line.clear()
