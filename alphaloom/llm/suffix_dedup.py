@@ -244,18 +244,18 @@ def _segments(length: int, buckets: int, hot_bits: np.ndarray, several: bool):
                 joined = b"".join(texts)
                 base = np.r_[0, np.cumsum([len(t) for t in texts])]
                 windows = is_hot(low)
-                known: dict[bytes, list] = {}
+                known: dict[bytes, tuple[int, int, int]] = {}
                 spans: list[tuple[int, int, int]] = []
 
                 def meet(seg: bytes, i: int, start: int, k: int) -> None:
-                    at = known.get(seg)
-                    if at is None:
-                        known[seg] = [i, start, k]
-                    elif i > at[0]:
+                    at = known.setdefault(seg, told_by := (i, start, k))
+                    if at is told_by:
+                        return
+                    if i > at[0]:
                         spans.append((i, start, len(seg)))
                     elif i < at[0]:
                         spans.append((at[0], at[1], len(seg)))
-                        known[seg] = [i, start, k]
+                        known[seg] = told_by
                         for other in more.pop(seg, []):
                             spans.append((at[0], other, len(seg)))
                     else:
@@ -269,29 +269,33 @@ def _segments(length: int, buckets: int, hot_bits: np.ndarray, several: bool):
                     if cut:
                         for w in range(z - a - length + 1):
                             meet(joined[a + w : a + w + length], i, start + w, k)
-                    else:
-                        meet(joined[a:z], i, start, k)
-                segs = [(s, i, p, k) for s, (i, start, k) in known.items() for p in (start, *more.get(s, ()))]
+                    elif known.setdefault(seg := joined[a:z], here := (i, start, k)) is not here:
+                        meet(seg, i, start, k)
+                segs, at = list(known), list(known.values())
+                for seg, starts in more.items():
+                    segs += [seg] * len(starts)
+                    at += [(known[seg][0], p, known[seg][2]) for p in starts]
                 out = []
                 if spans:
                     i, p, n = (np.array(c, np.int64) for c in zip(*spans))
                     order = np.lexsort((p, i))
                     out.append((int(i[0] % buckets), None, _small(n[order]), _deltas(i[order]), _small(p[order], kind), b""))
                 if segs:
-                    keys = np.array([s[3] for s in segs], np.uint64)
+                    held, begun, keys = (np.array(c, t) for c, t in zip(zip(*at), (np.int64, np.int64, np.uint64)))
+                    sizes = np.array([len(x) for x in segs])
                     single = is_hot(keys & _LOW48)
                     if single.any():  # windows of hot keys go by their content
                         for j in np.flatnonzero(single):
-                            keys[j] = int.from_bytes(hashlib.blake2b(segs[j][0], digest_size=8).digest(), "little")
+                            keys[j] = int.from_bytes(hashlib.blake2b(segs[j], digest_size=8).digest(), "little")
                     b = _bucket(keys, buckets)
-                    order = np.lexsort(([x[2] for x in segs], [x[1] for x in segs], b))
+                    order = np.lexsort((begun, held, b))
                     cuts = np.flatnonzero(np.r_[True, b[order][1:] != b[order][:-1]])
                     for s, e in zip(cuts, [*cuts[1:], len(order)]):
-                        part = [segs[j] for j in order[s:e]]
+                        part = order[s:e]
                         # Of a key 32 bits are enough: keys that agree in them are sorted together, no more.
                         out.append((
-                            int(b[order[s]]), squeezed(b"".join(x[0] for x in part), tight=True), _small([len(x[0]) for x in part]), _deltas(np.array([x[1] for x in part], np.int64)),
-                            _small([x[2] for x in part], kind), keys[order[s:e]].astype("<u4").tobytes()))
+                            int(b[order[s]]), squeezed(b"".join([segs[j] for j in part.tolist()]), tight=True), _small(sizes[part]), _deltas(held[part]),
+                            _small(begun[part], kind), keys[part].astype("<u4").tobytes()))
                 cols = list(zip(*out)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "texts", "sizes", "ids", "starts", "keys"])
 
@@ -402,6 +406,16 @@ class Suffixes:
 
 def repeated_windows(segments: list[bytes], owner: np.ndarray, group: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each segment the offsets of its windows that a segment of the same group with a smaller owner holds."""
+    which, offsets = _window_hits(segments, owner, group, length)
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(segments)
+    cuts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]][: len(which)])
+    for a, b in zip(cuts, [*cuts[1:], len(which)]):
+        out[which[a]] = offsets[a:b]
+    return out
+
+
+def _window_hits(segments: list[bytes], owner: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment number, offset) of those windows: those of a segment lie together, offsets ascending."""
     order = np.argsort(group, kind="stable")
     sizes = np.array([len(segments[j]) for j in order])
     text = b"".join(segments[j] for j in order)
@@ -418,18 +432,14 @@ def repeated_windows(segments: list[bytes], owner: np.ndarray, group: np.ndarray
             w = text[a : a + length]
             least[w] = min(least.get(w, own[j]), own[j])
         hit = np.array([k for k, (a, j) in enumerate(zip(at.tolist(), seg.tolist())) if least[text[a : a + length]] < own[j]], np.int64)
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(segments)
     hit = np.sort(hit)  # windows are numbered by segment and place
-    cuts = np.flatnonzero(np.r_[True, seg[hit][1:] != seg[hit][:-1]][: len(hit)])
-    for a, b in zip(cuts, [*cuts[1:], len(hit)]):
-        j = seg[hit[a]]
-        out[order[j]] = at[hit[a:b]] - base[j]
-    return out
+    return order[seg[hit]], at[hit] - base[seg[hit]]
 
 
 def _sorted_hits(text: bytes, at: np.ndarray, seg: np.ndarray, own: np.ndarray, group: np.ndarray, base: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
     """Numbers of the windows that a segment with a smaller owner holds too; ValueError at a hash collision.
 
+    A window whose hash no other window has is repeated nowhere and isn't sorted; that is told by counts in slots, and sharing a slot costs work, not correctness.
     A group of one key can hold any number of windows (long texts that repeat one word or line). Beyond SORT_WINDOWS, windows of one owner with
     equal hashes are told by one of them, after their bytes have been compared, and what is left is sorted in classes of the
     window's hash; equal windows are always in one class, so this bounds the work arrays and changes no result.
@@ -456,17 +466,20 @@ def _sorted_hits(text: bytes, at: np.ndarray, seg: np.ndarray, own: np.ndarray,
         least = np.repeat(np.minimum.reduceat(mine[rank], first), np.diff(np.r_[first, len(rank)]))
         return some[rank[least < mine[rank]]]
 
-    every = np.arange(len(at))
-    if len(at) <= SORT_WINDOWS:
-        return hits(every)
     told = s.hashes(at)
-    by = np.lexsort((own[seg], told))
-    new = np.r_[True, (told[by[1:]] != told[by[:-1]]) | (own[seg[by[1:]]] != own[seg[by[:-1]]])]
+    slot = (_mixed(told) >> np.uint64(64 - max(16, (4 * len(at)).bit_length()))).astype(np.int64)
+    every = np.flatnonzero(np.bincount(slot)[slot] > 1)
+    if len(every) <= SORT_WINDOWS:
+        return hits(every) if len(every) else every
+    told = told[every]
+    by = np.lexsort((own[seg[every]], told))
+    told, by = told[by], every[by]
+    new = np.r_[True, (told[1:] != told[:-1]) | (own[seg[by[1:]]] != own[seg[by[:-1]]])]
     of = np.cumsum(new) - 1
     single = by[new]
     s.verify(at[by], at[single[of]])
     parts = -(-len(single) // SORT_WINDOWS)
-    of_class = (_mixed(told[single]) % np.uint64(parts)).astype(np.int64)
+    of_class = (_mixed(told[new]) % np.uint64(parts)).astype(np.int64)
     flagged = np.zeros(len(at), bool)
     for k in range(parts):
         flagged[hits(single[of_class == k])] = True
@@ -478,45 +491,54 @@ def _spans(length: int, several: bool):
 
     def run(_, tbl):
         out_i, out_s, out_n = [], [], []
-        known: dict[bytes, list] = {}
+        known: dict[bytes, int] = {}
+        numbers: list[int] = []
+        docs, begun, of_key = [], [], []
         for texts, sizes, ids, starts, keys in zip(*(tbl.column(c).to_pylist() for c in ("texts", "sizes", "ids", "starts", "keys"))):
             n, i, p = _unsmall(sizes), _undeltas(ids), _unsmall(starts, kind)
             if texts is None:
                 for x, c in zip((out_i, out_s, out_n), (i, p, n)):
                     x.append(c.astype(np.int64))
                 continue
-            text, at = unsqueezed(texts), 0
-            for size, doc, start, key in zip(n.tolist(), i.tolist(), p.tolist(), np.frombuffer(keys, "<u4").tolist()):
-                known.setdefault(text[at : at + size], [key]).append((doc, start))
-                at += size
-        segments = list(known)
-        owner = np.array([min(x[0] for x in v[1:]) for v in known.values()], np.int64)
-        more: list[tuple[int, int, int]] = []
-        for seg, least in zip(segments, owner.tolist()):
-            more += [(doc, start, len(seg)) for doc, start in known[seg][1:] if doc > least]
-        group = np.array([v[0] for v in known.values()], np.uint64)
+            text, end = unsqueezed(texts), np.cumsum(n, dtype=np.int64)
+            numbers += [known.setdefault(text[a:z], len(known)) for a, z in zip((end - n).tolist(), end.tolist())]
+            for x, c in zip((docs, begun, of_key), (i, p.astype(np.int64), np.frombuffer(keys, "<u4"))):
+                x.append(c)
+        # One entry for each holder of a segment, by segment; a segment belongs to its least holder.
+        flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        segments, which = list(known), np.array(numbers, np.int64)
+        known.clear()
+        by = np.argsort(which, kind="stable")
+        which, doc, start = which[by], flat(docs)[by], flat(begun)[by]
+        first = np.flatnonzero(np.r_[True, which[1:] != which[:-1]][: len(which)])
+        size = np.array([len(x) for x in segments], np.int64)
+        owner = np.minimum.reduceat(doc, first) if len(first) else doc
+        copies = doc > owner[which]
+        for x, c in zip((out_i, out_s, out_n), (doc[copies], start[copies], size[which[copies]])):
+            x.append(c)
+        which, doc, start = which[~copies], doc[~copies], start[~copies]
+        entry = np.searchsorted(which, np.arange(len(segments) + 1))
+        group = flat(of_key)[by][first]
         _, number, count = np.unique(group, return_inverse=True, return_counts=True) if len(group) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
         several = np.flatnonzero(count[number] > 1) if len(group) else np.zeros(0, np.int64)
         several = several[np.argsort(number[several], kind="stable")]
         # Whole groups of about SORT_WINDOWS suffixes at a time bound the work arrays.
-        done = np.cumsum([len(segments[j]) - length + 1 for j in several]) // SORT_WINDOWS
+        done = np.cumsum(size[several] - length + 1) // SORT_WINDOWS
         cuts = np.flatnonzero(np.r_[True, (done[1:] != done[:-1])][: len(several)])
         cuts = sorted({int(np.searchsorted(number[several], number[several[c]])) for c in cuts})
         for a, z in zip(cuts, [*cuts[1:], len(several)]):
             part = several[a:z]
-            found = repeated_windows([segments[j] for j in part], owner[part], number[part], length)
-            for j, offsets in zip(part, found):
-                if len(offsets):
-                    cut = np.flatnonzero(np.r_[True, np.diff(offsets) > 1])
-                    ends = offsets[np.r_[cut[1:] - 1, len(offsets) - 1]] + length
-                    for at, end in zip(offsets[cut].tolist(), ends.tolist()):
-                        more += [(doc, start + at, end - at) for doc, start in known[segments[j]][1:] if doc == owner[j]]
-        if more:
-            for x, c in zip((out_i, out_s, out_n), zip(*more)):
-                x.append(np.array(c, np.int64))
-        flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+            seg, offset = _window_hits([segments[j] for j in part], owner[part], number[part], length)
+            new = np.r_[True, (seg[1:] != seg[:-1]) | (offset[1:] != offset[:-1] + 1)][: len(seg)]
+            last = np.r_[np.flatnonzero(new)[1:], len(seg)][: int(new.sum())] - 1
+            j, at, end = part[seg[new]], offset[new], offset[last] + length
+            # Each span for each place where the segment's owner holds it.
+            times = entry[j + 1] - entry[j]
+            e = np.repeat(entry[j] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+            for x, c in zip((out_i, out_s, out_n), (doc[e], start[e] + np.repeat(at, times), np.repeat(end - at, times))):
+                x.append(c)
         starts = flat(out_s)
-        known.clear()
+        del segments
         release()
         return pa.table({"id": pa.array(flat(out_i), pa.int64()), "part": pa.array(starts >> PART, pa.int32()), "start": pa.array(starts & ((1 << PART) - 1), pa.int32()), "size": pa.array(flat(out_n), pa.int32())})
 

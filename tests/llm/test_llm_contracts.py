@@ -204,6 +204,19 @@ def test_large_groups_are_sorted_in_classes(monkeypatch):
     assert [x.tolist() for x in suffix_dedup.repeated_windows(segments, owner, group)] == want
 
 
+def test_windows_held_once_are_not_sorted(monkeypatch):
+    rng = random.Random(12)
+    gram, noise = b"the very same 16", lambda: bytes(rng.choice(b"abcdefgh") for _ in range(60))
+    segments = [noise() + gram + noise() for _ in range(50)] + [b"-" * 40 + gram + b"-" * 40] * 2
+    owner, group = suffix_dedup.np.arange(len(segments)), suffix_dedup.np.zeros(len(segments), int)
+    sorted_ = []
+    plain = suffix_dedup.Suffixes.sort
+    monkeypatch.setattr(suffix_dedup.Suffixes, "sort", lambda self, at, grp: sorted_.append(len(at)) or plain(self, at, grp))
+    got = [x.tolist() for x in suffix_dedup.repeated_windows(segments, owner, group)]
+    assert got == [[]] * 51 + [list(range(len(segments[-1]) - 49))]
+    assert sum(sorted_) < sum(len(x) - 49 for x in segments) / 2  # all of them, before
+
+
 @pytest.mark.parametrize("hot, most", [(2000, 100_000), (3, 40)])
 def test_passages_with_repeated_negative_and_null_ids(spark, monkeypatch, hot, most):
     monkeypatch.setattr(suffix_dedup, "HOT_LEAST", hot)
