@@ -61,6 +61,13 @@ def number(report: str, path: str, whole: bool = False) -> Column:
     return v.cast("long") if whole else v
 
 
+def fixed(v: Column, digits: int = 3) -> Column:
+    """A number with so many decimals, as C and Python write it: its exact value is rounded, half-way ones to the even digit (format_string rounds its shortest text upwards)."""
+    tie = float(f"5e-{digits + 1}")  # the one value that Java's DecimalFormat takes for half-way even if it isn't
+    finite = F.call_function("format_number", v, F.lit("0." + "0" * digits))
+    return F.when(F.abs(v) == tie, F.concat(F.when(v < 0, "-").otherwise(""), F.lit(f"{tie:.{digits}f}"))).when(F.isnan(v) | (F.abs(v) == float("inf")), F.format_string(f"%.{digits}f", v)).otherwise(finite)
+
+
 def parsed(raw: DataFrame) -> DataFrame:
     """raw rows with the report as a VARIANT, its sample's name, and what is wrong with it, if anything."""
     d = raw.withColumn("report", F.expr("try_parse_json(raw)"))
@@ -105,14 +112,14 @@ def baseline(raw: DataFrame) -> DataFrame:
 
 def _above(column: str, name: str, limit: float) -> Column:
     v = F.col(column) if "." not in column else F.coalesce(F.col("risk_signals")[column], F.lit(0.0))
-    return F.when(v > limit, F.concat(F.lit(f"{name} "), F.format_string("%.3f", v), F.lit(f" above maximum {limit:.3f}")))
+    return F.when(v > limit, F.concat(F.lit(f"{name} "), fixed(v), F.lit(f" above maximum {limit:.3f}")))
 
 
 def failures(t: Thresholds) -> Column:
     """The ordered failure texts of a flattened row with its baseline (a map of metrics)."""
     checks = [
         F.col("failure"),
-        F.when(F.col("overall_score") < t.min_overall_score, F.concat(F.lit("overall_score "), F.format_string("%.3f", F.col("overall_score")), F.lit(f" below minimum {t.min_overall_score:.3f}"))),
+        F.when(F.col("overall_score") < t.min_overall_score, F.concat(F.lit("overall_score "), fixed(F.col("overall_score")), F.lit(f" below minimum {t.min_overall_score:.3f}"))),
         _above("mean_edge_uncertainty", "mean_edge_uncertainty", t.max_mean_edge_uncertainty),
         F.when(F.col("hole_pixels") > t.max_hole_pixels, F.concat(F.lit("hole_pixels "), F.col("hole_pixels").cast("string"), F.lit(f" above maximum {t.max_hole_pixels}"))),
         _above("background_residue", "background_residue", t.max_background_residue), _above("temporal_flicker", "temporal_flicker", t.max_temporal_flicker),
@@ -123,11 +130,11 @@ def failures(t: Thresholds) -> Column:
         F.when(F.col("selection_available") & (F.col("candidate_count") <= 0), "quality selection enabled but no candidates available")]
     base = F.col("base")["overall_score"]
     drop = base - F.col("overall_score")
-    checks.append(F.when(drop > t.max_score_drop, F.concat(F.lit("overall_score dropped "), F.format_string("%.3f", drop), F.lit(" from baseline "), F.format_string("%.3f", base))))
+    checks.append(F.when(drop > t.max_score_drop, F.concat(F.lit("overall_score dropped "), fixed(drop), F.lit(" from baseline "), fixed(base))))
     risk = lambda key, end: F.regexp_replace(F.regexp_replace(key, r"^p0_risk\.", ""), rf"\.{end}$", "")
     failed = F.transform(F.filter(F.array_sort(F.map_entries("risk_levels")), lambda e: e["value"] == "fail"), lambda e: F.concat(F.lit("p0 "), risk(e["key"], "level"), F.lit(" level fail")))
     risen = F.filter(F.array_sort(F.map_entries("risk_scores")), lambda e: e["value"] - F.col("base")[e["key"]] > t.max_p0_risk_score_increase)
-    rise = F.transform(risen, lambda e: F.concat(F.lit("p0 "), risk(e["key"], "score"), F.lit(" risk increased "), F.format_string("%.3f", e["value"] - F.col("base")[e["key"]]), F.lit(" from baseline "), F.format_string("%.3f", F.col("base")[e["key"]])))
+    rise = F.transform(risen, lambda e: F.concat(F.lit("p0 "), risk(e["key"], "score"), F.lit(" risk increased "), fixed(e["value"] - F.col("base")[e["key"]]), F.lit(" from baseline "), fixed(F.col("base")[e["key"]])))
     # A report that couldn't be read fails by that alone.
     return F.when(F.col("failure").isNotNull(), F.array("failure")).otherwise(F.concat(F.array_compact(F.array(*checks)), failed, rise))
 
@@ -157,7 +164,7 @@ def summary(d: DataFrame) -> DataFrame:
 
 def markdown_rows(d: DataFrame) -> DataFrame:
     """(sample, line): one table line a sample."""
-    line = F.concat(F.lit("| "), F.col("sample"), F.lit(" | "), F.when(F.col("passed"), "PASS").otherwise("FAIL"), F.lit(" | "), F.format_string("%.3f", F.col("overall_score")), F.lit(" | "),
+    line = F.concat(F.lit("| "), F.col("sample"), F.lit(" | "), F.when(F.col("passed"), "PASS").otherwise("FAIL"), F.lit(" | "), fixed(F.col("overall_score")), F.lit(" | "),
                     F.col("hole_pixels").cast("string"), F.lit(" | "), F.array_join("failures", "<br>"), F.lit(" |"))
     return d.select("path", "sample", line.alias("line"))
 

@@ -47,6 +47,15 @@ def test_threshold_texts(spark, tmp_path):
     assert whole["summary"] == {"status": "fail", "total_count": 5, "passed_count": 2, "failed_count": 3} and len(whole["samples"]) == 5 and whole["thresholds"]["max_hole_pixels"] == 100 and whole["samples"][0]["metrics"]["hole_pixels"] == 120
 
 
+def test_numbers_in_texts_are_rounded_from_their_exact_value(spark, tmp_path):
+    values = [k / 2000 for k in range(-41, 1801, 2)] + [k / 16 for k in range(-9, 40)] + [0.0, -0.0, 1e-9, 123456.0625]
+    d = spark.createDataFrame([(v,) for v in values], "v double").select("v", regression.fixed(F.col("v")).alias("three"), regression.fixed(F.col("v"), 12).alias("twelve"))
+    assert [(r.three, r.twelve) for r in d.collect()] == [(f"{v:.3f}", f"{v:.12f}") for v in values]
+    run, told = gate(spark, tmp_path, {"a": report(score=0.7625, edge=0.0845)})
+    assert told["clip_a"] == ["overall_score 0.762 below minimum 0.800", f"mean_edge_uncertainty {0.0845:.3f} above maximum 0.080"]
+    assert "| clip_a | FAIL | 0.762 | 0 |" in regression.markdown(run).first()["document"]
+
+
 def test_baselines(spark, tmp_path):
     risks = {"hair_edge_loss": {"score": 0.5}, "background_residue": {"score": 0.5}}
     base = {"samples": {"clip_a": {"overall_score": 0.98, "p0_risk.hair_edge_loss.score": 0.2, "flag": True, "text": "1"}, "odd": 3}}
