@@ -56,6 +56,12 @@ def test_numbers_in_texts_are_rounded_from_their_exact_value(spark, tmp_path):
     assert "| clip_a | FAIL | 0.762 | 0 |" in regression.markdown(run).first()["document"]
 
 
+def test_risks_are_rounded_from_their_exact_value(spark, tmp_path):
+    risk = {"hair_edge_loss": {"score": 0.625, "level": "warn", "signals": {}}}
+    _, told = gate(spark, tmp_path, {"a": report(p0_risks=risk)}, {"clip_a": {"p0_risk.hair_edge_loss.score": 0.3125}})
+    assert told["clip_a"] == ["p0 hair_edge_loss risk increased 0.312 from baseline 0.312"]
+
+
 def test_baselines(spark, tmp_path):
     risks = {"hair_edge_loss": {"score": 0.5}, "background_residue": {"score": 0.5}}
     base = {"samples": {"clip_a": {"overall_score": 0.98, "p0_risk.hair_edge_loss.score": 0.2, "flag": True, "text": "1"}, "odd": 3}}
