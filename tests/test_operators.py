@@ -26,6 +26,34 @@ def test_against_sql(spark, duck, sf_dir, name):
     same(spark, duck, sf_dir, registry._relations()[name])
 
 
+@pytest.fixture(scope="module")
+def even_screens(tmp_path_factory):
+    """Frames whose green and blue excess are equal but for the order of summing, in which numpy's mean and a running sum choose different screens."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    data = (np.random.default_rng(5).integers(-8, 9, (20_000, 64)) / 32).astype(np.float32)
+    r, g, b = [np.floor(255 * np.clip(0.5 + 2 * np.roll(data.astype(float), -k, axis=1), 0, 1)) / 255 for k in (0, 21, 42)]
+    green, blue = np.maximum(0, g - np.maximum(r, b)), np.maximum(0, b - np.maximum(r, g))
+    running = np.add.accumulate(blue, axis=1)[:, -1] > np.add.accumulate(green, axis=1)[:, -1]
+    odd = np.array([x.reshape(8, 8).mean() > y.reshape(8, 8).mean() for x, y in zip(blue, green)]) != running
+    assert odd.sum() > 3
+    at = tmp_path_factory.mktemp("even")
+    rows_ = data[odd]
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(rows_)), pa.int64()), "embedding": pa.array(list(rows_), pa.list_(pa.float32())), "label": pa.array([0] * len(rows_), pa.int32())}), at / "embeddings.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["p06_chroma_key"])
+def test_screen_of_nearly_equal_colours_against_sql(spark, even_screens, name):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{even_screens}/embeddings.parquet'")
+    same(spark, c, even_screens, registry._relations()[name])
+
+
 def test_every_query_has_columns_and_sql():
     queries, sql = registry.queries(), registry.oracle_sql()
     assert len(queries) > 200 and set(sql) <= set(queries)
