@@ -45,7 +45,7 @@ def even_screens(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["p06_chroma_key", "p50_green_generate"])
+@pytest.mark.parametrize("name", ["p06_chroma_key", "p50_green_generate", "u05_traditional_candidate"])
 def test_screen_of_nearly_equal_colours_against_sql(spark, even_screens, name):
     import duckdb
 
