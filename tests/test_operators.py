@@ -54,6 +54,30 @@ def test_screen_of_nearly_equal_colours_against_sql(spark, even_screens, name):
     same(spark, c, even_screens, registry._relations()[name])
 
 
+@pytest.fixture(scope="module")
+def half_way_risks(tmp_path_factory):
+    """Suppliers with risks and baselines half-way between two numbers of three digits (n / 16 * 1.8, and balances of 12.5 and 25 more each)."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    at = tmp_path_factory.mktemp("half")
+    keys = range(400)
+    lines = [(k, 1.0 if i < 9 + k % 8 else 30.0) for k in keys for i in range(16)]
+    n = len(lines)
+    pq.write_table(pa.table({"l_suppkey": [k for k, _ in lines], "l_quantity": [q for _, q in lines], "l_discount": [0.05] * n, "l_tax": [0.02] * n, "l_returnflag": ["N"] * n, "l_linestatus": ["F"] * n, "l_extendedprice": [1.0] * n, "l_shipdate": pa.nulls(n, pa.timestamp("us"))}), at / "lineitem.parquet")
+    pq.write_table(pa.table({"s_suppkey": list(keys), "s_acctbal": [12.5 + 25 * k for k in keys]}), at / "supplier.parquet")
+    return str(at)
+
+
+def test_risk_gate_at_half_way_values_against_sql(spark, half_way_risks):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("lineitem", "supplier"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{half_way_risks}/{t}.parquet'")
+    same(spark, c, half_way_risks, registry._relations()["x04_p0_gate"])
+
+
 def test_every_query_has_columns_and_sql():
     queries, sql = registry.queries(), registry.oracle_sql()
     assert len(queries) > 200 and set(sql) <= set(queries)
